@@ -32,9 +32,9 @@ def _lit_replace(s: Column, old: str, new: str) -> Column:
 
 def normalize_mteval(col: Column, lowercase: bool = False) -> Column:
     """13a normalisation; returns the normalised string (tokens separated by one blank)."""
-    s = F.regexp_replace(col, "<skipped>", "")
-    s = F.regexp_replace(s, "-\n", "")
-    s = F.regexp_replace(s, "\n", " ")
+    s = _lit_replace(col, "<skipped>", "")
+    s = _lit_replace(s, "-\n", "")
+    s = _lit_replace(s, "\n", " ")
     for old, new in MTEVAL_ENTITIES:
         s = _lit_replace(s, old, new)
     s = F.concat(F.lit(" "), s, F.lit(" "))

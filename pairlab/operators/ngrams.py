@@ -29,9 +29,18 @@ TOKENISERS = {
 }
 
 
-def tokenize_pairs(refs: DataFrame, sys: DataFrame, how: str = "mteval",
-                   ref_col: str = "ref", sys_col: str = "sys"):
-    """Normalise both sides to blank-separated token text ``txt`` plus its length.
+SYS = -1  # ref_no of the system output in a combined text table
+
+
+def texts_of(refs: DataFrame, sys: DataFrame, ref_col: str = "ref", sys_col: str = "sys") -> DataFrame:
+    """Combine references and system outputs into one (inst_id, ref_no, text) table;
+    the system output has ref_no = -1."""
+    return refs.select("inst_id", F.col("ref_no").cast("int"), F.col(ref_col).alias("text")).unionByName(
+        sys.select("inst_id", F.lit(SYS).alias("ref_no"), F.col(sys_col).alias("text")))
+
+
+def tokenize_texts(texts: DataFrame, how: str = "mteval") -> DataFrame:
+    """Normalise every text to blank-separated tokens ``txt`` and its token count ``len``.
 
     how = "mteval": 13a tokens, lower-cased with full Unicode rules (Python scorer)
     how = "perl":   13a tokens, ASCII-only lower-casing (Perl scorer)
@@ -40,19 +49,39 @@ def tokenize_pairs(refs: DataFrame, sys: DataFrame, how: str = "mteval",
     how = "blank":  caption tokens split on one blank (empty text = one empty token)
     """
     fn, empty_token = TOKENISERS[how]
-    r = refs.select("inst_id", "ref_no", fn(F.col(ref_col)).alias("txt"))
-    s = sys.select("inst_id", fn(F.col(sys_col)).alias("txt"))
-    r = r.withColumn("len", T.token_count(F.col("txt"), empty_token))
-    s = s.withColumn("len", T.token_count(F.col("txt"), empty_token))
-    return r, s
+    t = texts.select("inst_id", "ref_no", fn(F.col("text")).alias("txt"))
+    return t.withColumn("len", T.token_count(F.col("txt"), empty_token))
+
+
+def tokenize_pairs(refs: DataFrame, sys: DataFrame, how: str = "mteval",
+                   ref_col: str = "ref", sys_col: str = "sys"):
+    """Tokenise references and system outputs separately (small inputs, tests)."""
+    t = tokenize_texts(texts_of(refs, sys, ref_col, sys_col), how)
+    return t.filter(F.col("ref_no") != SYS), t.filter(F.col("ref_no") == SYS).drop("ref_no")
+
+
+def gram_table(tok: DataFrame, max_n: int, empty_token: bool = True, min_n: int = 1) -> DataFrame:
+    """E5 for every text at once: (inst_id, ref_no, n, gram, cnt).
+
+    One explode and one aggregation per query: every text also emits one length row
+    (n = 0, cnt = its token count), so lengths need no second pass over the text.
+    The length row's gram starts with a blank, which no real gram can.  Grouping is
+    on the gram alone (the order is a function of it) and the order column is
+    computed after the aggregation, on the reduced rows."""
+    grams = F.concat(T.ngram_array(F.col("txt"), max_n, min_n, empty_token),
+                     F.array(F.concat(F.lit(" "), F.col("len").cast("string"))))
+    g = (tok.select("inst_id", "ref_no", F.explode(grams).alias("gram"))
+         .groupBy("inst_id", "ref_no", "gram").agg(F.count(F.lit(1)).alias("cnt")))
+    is_len = F.col("gram").startswith(" ")
+    return g.select("inst_id", "ref_no",
+                    F.when(is_len, F.lit(0)).otherwise(T.gram_order(F.col("gram"))).alias("n"),
+                    F.when(is_len, F.lit("")).otherwise(F.col("gram")).alias("gram"),
+                    F.when(is_len, F.substring(F.col("gram"), 2, 12).cast("long")).otherwise(F.col("cnt")).alias("cnt"))
 
 
 def gram_counts(df: DataFrame, keys: list[str], max_n: int, min_n: int = 1,
                 empty_token: bool = True) -> DataFrame:
-    """E5: count of every n-gram per key, n in [min_n, max_n] -> keys + (n, gram, cnt).
-
-    Grouped by the gram alone (its order is a function of the gram), so the order
-    column is computed after the aggregation, on the reduced rows."""
+    """E5: count of every n-gram per key over a tokenised table -> keys + (n, gram, cnt)."""
     g = (df.select(*keys, F.explode(T.ngram_array(F.col("txt"), max_n, min_n, empty_token)).alias("gram"))
          .groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("cnt")))
     return g.select(*keys, T.gram_order(F.col("gram")).alias("n"), "gram", "cnt")
@@ -94,7 +123,9 @@ def ref_len_pick(ref_len: DataFrame, sys_len: DataFrame, how: str = "closest") -
     shortest: minimum; average: mean (double)."""
     j = ref_len.join(sys_len.select("inst_id", F.col("len").alias("sys_len")), "inst_id")
     if how == "closest":
-        agg = F.min_by("len", F.struct(F.abs(F.col("len") - F.col("sys_len")), F.col("len"))).cast("double")
+        # (distance, length) packed into one long so the aggregate stays a hash aggregate
+        packed = F.abs(F.col("len") - F.col("sys_len")).cast("long") * (1 << 32) + F.col("len")
+        agg = (F.min(packed) % (1 << 32)).cast("double")
     elif how == "shortest":
         agg = F.min("len").cast("double")
     elif how == "average":

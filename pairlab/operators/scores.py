@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +28,26 @@ ROUGE_BETA = 1.2
 class Stats:
     """Tokenised pairs and their n-gram tables, built once and shared by scorers."""
 
-    def __init__(self, refs: DataFrame, sys: DataFrame, max_n: int, how: str = "mteval"):
+    def __init__(self, refs: DataFrame | None, sys: DataFrame | None, max_n: int, how: str = "mteval",
+                 texts: DataFrame | None = None):
+        """Either (refs, sys) or a combined ``texts`` table (inst_id, ref_no, text) with
+        ref_no = -1 for the system output.  Texts are tokenised and counted once; the
+        branches below all read the same aggregated table (its exchange is reused)."""
         self.max_n = max_n
-        self.refs_tok, self.sys_tok = G.tokenize_pairs(refs, sys, how)
-        empty_token = G.TOKENISERS[how][1]
-        self.ref_counts = G.gram_counts(self.refs_tok, ["inst_id", "ref_no"], max_n, empty_token=empty_token)
-        self.sys_counts = G.gram_counts(self.sys_tok, ["inst_id"], max_n, empty_token=empty_token)
-        self.sys_len = G.lengths(self.sys_tok, ["inst_id"])
-        self.ref_len = G.lengths(self.refs_tok, ["inst_id", "ref_no"])
+        if texts is None:
+            texts = G.texts_of(refs, sys)
+        tok = G.tokenize_texts(texts, how)
+        # The branches filter this table by side and order; Catalyst would push those
+        # filters below the aggregation and re-tokenise once per branch, so the table
+        # is materialised once (memory, spilling to disk; rebuilt from lineage if an
+        # executor is lost).
+        self.table = G.gram_table(tok, max_n, G.TOKENISERS[how][1]).persist(StorageLevel.MEMORY_AND_DISK)
+        t = self.table
+        is_sys = F.col("ref_no") == G.SYS
+        self.ref_counts = t.filter(~is_sys & (F.col("n") > 0))
+        self.sys_counts = t.filter(is_sys & (F.col("n") > 0)).drop("ref_no")
+        self.ref_len = t.filter(~is_sys & (F.col("n") == 0)).select("inst_id", "ref_no", F.col("cnt").alias("len"))
+        self.sys_len = t.filter(is_sys & (F.col("n") == 0)).select("inst_id", F.col("cnt").alias("len"))
 
     def ref_max(self) -> DataFrame:
         return G.ref_max_counts(self.ref_counts)

@@ -56,8 +56,7 @@ def tokenize_words(spark, sf):
 # ---------------------------------------------------------------- E5-E9
 
 def _stats(spark, sf, max_n, how="mteval"):
-    refs, sys = _seg(spark, sf)
-    return S.Stats(refs, sys, max_n, how)
+    return S.Stats(None, None, max_n, how, texts=V.seg_texts(spark, sf))
 
 
 @query("ngram_counts", lambda: with_views("seg") + ",\n" + Q.tok_ctes() + "," + Q.gram_ctes(4) + """
@@ -155,14 +154,12 @@ def _bleu_sql(level: str) -> str:
 
 @query("bleu_corpus", lambda: _bleu_sql("corpus"))
 def bleu_corpus(spark, sf):
-    refs, sys = _seg(spark, sf)
-    return S.bleu_corpus(refs, sys).select(_r4(F.col("bleu")).alias("bleu"), "sys_len", "ref_len")
+    return S.bleu_corpus(None, None, stats=_stats(spark, sf, 4)).select(_r4(F.col("bleu")).alias("bleu"), "sys_len", "ref_len")
 
 
 @query("bleu_segment", lambda: _bleu_sql("segment"))
 def bleu_segment(spark, sf):
-    refs, sys = _seg(spark, sf)
-    return S.bleu_segment(refs, sys).select("inst_id", _r4(F.col("bleu")).alias("bleu"),
+    return S.bleu_segment(None, None, stats=_stats(spark, sf, 4)).select("inst_id", _r4(F.col("bleu")).alias("bleu"),
                                             _r4(F.col("sent_bleu")).alias("sent_bleu"))
 
 
@@ -213,11 +210,9 @@ w AS (SELECT h.inst_id, """ + ", ".join(
 
 @query("nist_corpus", lambda: _nist_sql("corpus"))
 def nist_corpus(spark, sf):
-    refs, sys = _seg(spark, sf)
-    return S.nist_corpus(refs, sys).select(_r4(F.col("nist")).alias("nist"))
+    return S.nist_corpus(None, None, stats=_stats(spark, sf, 5)).select(_r4(F.col("nist")).alias("nist"))
 
 
 @query("nist_segment", lambda: _nist_sql("segment"))
 def nist_segment(spark, sf):
-    refs, sys = _seg(spark, sf)
-    return S.nist_segment(refs, sys).select("inst_id", _r4(F.col("nist")).alias("nist"))
+    return S.nist_segment(None, None, stats=_stats(spark, sf, 5)).select("inst_id", _r4(F.col("nist")).alias("nist"))

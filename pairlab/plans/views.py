@@ -62,6 +62,22 @@ def seg_sys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("inst_id", F.array_join(F.filter(t, lambda x, i: (i + iid) % 7 != 0), " ").alias("sys"))
 
 
+def seg_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References and system output in one scan: (inst_id, ref_no, text), ref_no -1 = system."""
+    d = _pieces(table(spark, sf_dir, "documents"))
+    iid, t = F.col("inst_id"), F.col("t")
+    sys = F.struct(F.lit(-1).alias("ref_no"),
+                   F.array_join(F.filter(t, lambda x, i: (i + iid) % 7 != 0), " ").alias("text"))
+    r0 = F.struct(F.lit(0).alias("ref_no"), F.col("text").alias("text"))
+    r1 = F.struct(F.lit(1).alias("ref_no"),
+                  F.array_join(F.filter(t, lambda x, i: (i + iid) % 5 != 2), " ").alias("text"))
+    r2 = F.when(iid % 2 == 0, F.struct(
+        F.lit(2).alias("ref_no"),
+        F.array_join(F.slice(t, 4, F.greatest(F.size(t) - 3, F.lit(0))), " ").alias("text")))
+    rows = F.filter(F.array(sys, r0, r1, r2), lambda s: s.isNotNull())
+    return d.select("inst_id", F.inline(rows))
+
+
 def seg_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(inst_id, ref_no, ref, sys): one row per reference, system output repeated."""
     return seg_refs(spark, sf_dir).join(seg_sys(spark, sf_dir), "inst_id")
