@@ -6,7 +6,7 @@ import importlib
 
 from pairlab.plans.registry import ORACLES, QUERIES
 
-MODULES = ["q_scores"]
+MODULES = ["q_scores", "q_mr"]
 
 
 def _load():
