@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pairlab.session import ensure_importable
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, Callable[[], str]] = {}
 
@@ -13,7 +16,12 @@ def query(name: str, sql: Callable[[], str] | str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            ensure_importable(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql if callable(sql) else (lambda s=sql: s)
         return fn

@@ -127,7 +127,7 @@ def mr_pairs_columns(k: Column) -> dict:
 def mr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     cols = mr_pairs_columns(k)
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(
         k.cast("long").alias("inst_id"), *[v.alias(n) for n, v in cols.items()])
 
 

@@ -58,3 +58,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared scratch folder."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set = set()
+
+
+def ensure_importable(spark: SparkSession) -> None:
+    """Ship this package to the executors' Python workers (the ``--py-files`` step),
+    once per SparkContext, so Arrow UDFs that reference it can be unpickled there.
+    The archive is written to the shared scratch folder."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    target = scratch_path(spark, "pairlab-pyfiles") + ".zip"
+    local = target[len("file:"):] if target.startswith("file:") else target
+    if "://" in local:  # remote shared storage: stage locally, Spark distributes it
+        local = os.path.join(tempfile.mkdtemp(prefix="pairlab-zip-"), "pairlab.zip")
+    os.makedirs(os.path.dirname(local), exist_ok=True)
+    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(local)
+    _SHIPPED.add(key)
