@@ -6,7 +6,7 @@ import importlib
 
 from pairlab.plans.registry import ORACLES, QUERIES
 
-MODULES = ["q_scores", "q_mr", "q_noise"]
+MODULES = ["q_scores", "q_mr", "q_noise", "q_profile"]
 
 
 def _load():
