@@ -78,7 +78,7 @@ captions AS (
 RUNS = """
 runs AS (
   SELECT 'v' || event_id AS version, event_type AS exp, value AS "BLEU",
-         value * 0.16 AS "NIST", value * 0.011 AS "METEOR", value * 0.015 AS "ROUGE_L", value * 0.06 AS "CIDEr",
+         value * 1.5 AS "NIST", value * 0.25 AS "METEOR", value * 0.5 AS "ROUGE_L", value * 2.0 AS "CIDEr",
          '{''num_beams'': ' || (event_id % 7 + 1) || ', ''do_sample'': ' ||
            CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'False' END ||
            ', ''top_k'': ' || coalesce(json_extract_string(props, '$.k'), '0') ||
@@ -94,7 +94,7 @@ train_runs AS (
          ['0.001', '0.0005', '0.0001', 'custom'][p_partkey % 4 + 1] AS learning_rate,
          p_size / 100.0 AS lr_mod,
          (p_retailprice % 100) / 100.0 AS train_accuracy,
-         p_size / 50.0 + (p_partkey % 7) / 100.0 AS train_loss,
+         p_retailprice / 1200.0 + (p_partkey % 7) / 1000.0 AS train_loss,
          (p_retailprice % 37) / 37.0 AS val_accuracy,
          p_retailprice / 1000.0 + (p_partkey % 5) / 100.0 AS val_loss,
          p_retailprice / 10.0 AS total_time,
