@@ -22,8 +22,8 @@ KEY = ["inst_id", "n", "gram"]
 # how -> (text expression, empty text is one token)
 TOKENISERS = {
     "mteval": (lambda c: T.mteval_text(c, "mteval"), True),
-    "perl": (lambda c: T.mteval_text(c, "perl"), True),
-    "perl_cased": (lambda c: T.mteval_text(c, "cased"), True),
+    "perl": (lambda c: T.mteval_text(c, "perl"), False),
+    "perl_cased": (lambda c: T.mteval_text(c, "cased"), False),
     "caption": (lambda c: T.tokenize_caption(c), False),
     "blank": (lambda c: T.tokenize_caption(c), True),
 }

@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark import StorageLevel
+from pyspark.sql.types import IntegerType
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairlab.functions import text as T
 from pairlab.operators import ngrams as G
 
 # Fixed values of the scorers
@@ -176,3 +179,266 @@ def nist_segment(refs: DataFrame, sys: DataFrame, max_n: int = 5, stats: Stats |
     info_sums = (_hit_grams(st).join(info, G.KEY).groupBy("inst_id", "n")
                  .agg(F.sum(F.col("info") * F.col("hits")).alias("hit_info")))
     return _nist_from(_nist_parts(st.segment_stats(), info_sums, ["inst_id"]), ["inst_id"], max_n)
+
+
+# ---------------------------------------------------------------------------
+# Perl scorer: F2, F5, F6, F10, F16, F17 (n up to 9, ASCII lower-casing)
+# ---------------------------------------------------------------------------
+
+
+def perl_segment_stats(st: Stats) -> DataFrame:
+    """per (inst_id, n): match, tst_count, ref_count, tst_info, ref_length (closest,
+    the shorter on ties), nrefs (non-empty references).  Information is corpus-wide."""
+    info = G.ngram_info(st.ref_counts)
+    hits = _hit_grams(st).join(info.select("n", "gram", "info"), ["n", "gram"], "left")
+    per = hits.groupBy("inst_id", "n").agg(F.sum("hits").alias("match"),
+                                           F.sum(F.col("hits") * F.coalesce("info", F.lit(0.0))).alias("tst_info"))
+    # empty references do not take part in the closest-length choice
+    rl = G.ref_len_pick(st.ref_len.filter(F.col("len") > 0), st.sys_len, "closest")
+    nonempty = st.ref_len.groupBy("inst_id").agg(F.sum((F.col("len") > 0).cast("int")).alias("nrefs"),
+                                                   F.collect_list("len").alias("_lens"))
+    grid = G.order_grid(st.sys_len, st.max_n)
+    out = (grid.join(per, ["inst_id", "n"], "left").join(rl.select("inst_id", "ref_len"), "inst_id", "left")
+           .join(nonempty, "inst_id")
+           .select("inst_id", "n", F.coalesce("match", F.lit(0)).cast("long").alias("match"),
+                   F.greatest(F.col("sys_len") - F.col("n") + 1, F.lit(0)).cast("long").alias("tst_count"),
+                   F.aggregate("_lens", F.lit(0).cast("long"),
+                               lambda acc, l: acc + F.greatest(l - F.col("n") + 1, F.lit(0))).alias("ref_count"),
+                   F.coalesce("tst_info", F.lit(0.0)).alias("tst_info"),
+                   F.coalesce("ref_len", F.lit(0.0)).alias("ref_length"), "nrefs", "sys_len"))
+    return out
+
+
+def _perl_wide(stats: DataFrame, keys: list, max_n: int) -> DataFrame:
+    aggs = []
+    for n in range(1, max_n + 1):
+        for c in ("match", "tst_count", "ref_count", "tst_info"):
+            aggs.append(F.sum(F.when(F.col("n") == n, F.col(c))).alias(f"{c}_{n}"))
+    aggs += [F.sum(F.when(F.col("n") == 1, F.col("ref_length"))).alias("ref_length"),
+             F.sum(F.when(F.col("n") == 1, F.col("nrefs"))).alias("nrefs_sum"),
+             F.sum(F.when(F.col("n") == 1, F.lit(1))).alias("nsegs")]
+    return stats.groupBy(*keys).agg(*aggs)
+
+
+def perl_bleu_cols(max_n: int, smoothed: bool = True) -> list:
+    """F5 / F6 individual and cumulative BLEU per n, as columns bleu_ind_n, bleu_cum_n.
+
+    Smoothed (default): the k-th order with no match counts 1/2^k of its n-grams; an
+    order with no n-grams adds 0.  Unsmoothed: an order with no match gives a
+    cumulative score of 0 there and is left out of the running log sum."""
+    t1 = F.col("tst_count_1").cast("double")
+    cols = []
+    score = F.lit(0.0)
+    smooth = F.lit(1.0)
+    if smoothed:
+        len_score = F.when(t1 > 0, F.exp(F.least(F.lit(0.0), 1 - F.col("ref_length") / t1))).otherwise(0.0)
+        for n in range(1, max_n + 1):
+            m, t = F.col(f"match_{n}").cast("double"), F.col(f"tst_count_{n}").cast("double")
+            zero_m = (t > 0) & (m == 0)
+            smooth = F.when(zero_m, smooth * 2).otherwise(smooth)
+            iscore = F.when(t == 0, F.lit(0.0)).when(m == 0, F.log(1.0 / (smooth * t))).otherwise(F.log(m / t))
+            score = score + iscore
+            cols += [F.exp(iscore).alias(f"bleu_ind_{n}"), (F.exp(score / n) * len_score).alias(f"bleu_cum_{n}")]
+    else:
+        len_score = F.least(F.lit(0.0), 1 - F.col("ref_length") / t1)
+        for n in range(1, max_n + 1):
+            m, t = F.col(f"match_{n}").cast("double"), F.col(f"tst_count_{n}").cast("double")
+            iscore = F.log(m / t)
+            score = F.when(m == 0, score).otherwise(score + iscore)
+            cols += [F.when(m == 0, F.lit(None).cast("double")).otherwise(F.exp(iscore)).alias(f"bleu_ind_{n}"),
+                     F.when(m == 0, F.lit(0.0)).otherwise(F.exp(score / n + len_score)).alias(f"bleu_cum_{n}")]
+    return cols
+
+
+def perl_nist_cols(max_n: int) -> list:
+    """individual and cumulative NIST per n; denominators floored at 1; the length
+    ratio uses the mean number of references per segment."""
+    ratio = F.col("tst_count_1") / (F.col("ref_count_1") / (F.col("nrefs_sum") / F.col("nsegs")))
+    pen = nist_penalty(ratio)
+    cols, score = [], F.lit(0.0)
+    for n in range(1, max_n + 1):
+        term = F.col(f"tst_info_{n}") / F.greatest(F.col(f"tst_count_{n}"), F.lit(1))
+        score = score + term
+        cols += [(term * pen).alias(f"nist_ind_{n}"), (score * pen).alias(f"nist_cum_{n}")]
+    return cols
+
+
+def perl_scores(refs, sys, max_n: int = 9, keys=None, stats: Stats | None = None, smoothed: bool = True):
+    st = stats or Stats(refs, sys, max_n, "perl")
+    w = _perl_wide(perl_segment_stats(st), keys or [], max_n)
+    return w.select(*(keys or []), *perl_bleu_cols(max_n, smoothed), *perl_nist_cols(max_n))
+
+
+def ngram_report(refs, sys, max_n: int = 9, stats: Stats | None = None) -> DataFrame:
+    """per n the individual and cumulative BLEU and NIST of the corpus (long form)."""
+    w = perl_scores(refs, sys, max_n, stats=stats)
+    rows = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"bleu_ind_{n}").alias("bleu_ind"),
+                              F.col(f"bleu_cum_{n}").alias("bleu_cum"), F.col(f"nist_ind_{n}").alias("nist_ind"),
+                              F.col(f"nist_cum_{n}").alias("nist_cum")) for n in range(1, max_n + 1)])
+    return w.select(F.inline(rows))
+
+
+def score_levels(refs, sys, doc: Column, max_n: int = 9, stats: Stats | None = None) -> DataFrame:
+    """F16: segment, document and system level in one rollup over the segment statistics."""
+    st = stats or Stats(refs, sys, max_n, "perl")
+    seg = perl_segment_stats(st).withColumn("doc", doc)
+    aggs = []
+    for n in range(1, max_n + 1):
+        for c in ("match", "tst_count", "ref_count", "tst_info"):
+            aggs.append(F.sum(F.when(F.col("n") == n, F.col(c))).alias(f"{c}_{n}"))
+    aggs += [F.sum(F.when(F.col("n") == 1, F.col("ref_length"))).alias("ref_length"),
+             F.sum(F.when(F.col("n") == 1, F.col("nrefs"))).alias("nrefs_sum"),
+             F.sum(F.when(F.col("n") == 1, F.lit(1))).alias("nsegs"),
+             F.grouping_id().alias("gid")]
+    w = seg.rollup("doc", "inst_id").agg(*aggs)
+    level = F.when(F.col("gid") == 0, "segment").when(F.col("gid") == 1, "document").otherwise("system")
+    return w.select(level.alias("level"), "doc", "inst_id", *perl_bleu_cols(max_n), *perl_nist_cols(max_n))
+
+
+# ---------------------------------------------------------------------------
+# Caption scorers: F7 (BLEU), F11 (ROUGE_L), F12 (CIDEr), F13 (METEOR, exact)
+# ---------------------------------------------------------------------------
+
+
+def caption_bleu(refs, sys, max_n: int = 4, option: str = "closest", keys=None, level: str = "corpus",
+                 stats: Stats | None = None) -> DataFrame:
+    """Bleu_1..4 of the caption scorer: tiny/small constants are *added*; the
+    brevity factor applies when the length ratio is below 1."""
+    st = stats or Stats(refs, sys, max_n, "caption")
+    rl = G.ref_len_pick(st.ref_len, st.sys_len, option)
+    seg = st.hits().join(rl, "inst_id").withColumn(
+        "guess", F.greatest(F.col("sys_len") - F.col("n") + 1, F.lit(0)))
+    k = ["inst_id"] if level == "segment" else (keys or [])
+    aggs = []
+    for n in range(1, max_n + 1):
+        aggs.append(F.sum(F.when(F.col("n") == n, F.col("hits"))).alias(f"c_{n}"))
+        aggs.append(F.sum(F.when(F.col("n") == n, F.col("guess"))).alias(f"g_{n}"))
+    aggs += [F.sum(F.when(F.col("n") == 1, F.col("sys_len"))).alias("testlen"),
+             F.sum(F.when(F.col("n") == 1, F.col("ref_len"))).alias("reflen")]
+    w = seg.groupBy(*k).agg(*aggs)
+    ratio = (F.col("testlen") + BLEU_TINY) / (F.col("reflen") + BLEU_SMALL)
+    bp = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(F.lit(1.0))
+    prod, cols = F.lit(1.0), []
+    for n in range(1, max_n + 1):
+        prod = prod * (F.col(f"c_{n}") + BLEU_TINY) / (F.col(f"g_{n}") + BLEU_SMALL)
+        cols.append((F.pow(prod, 1.0 / n) * bp).alias(f"bleu_{n}"))
+    return w.select(*k, *cols)
+
+
+def _lcs_len(a, b) -> int:
+    """Length of the longest common subsequence (bit-parallel, O(len(a) * len(b) / w))."""
+    if not a or not b:
+        return 0
+    masks = {}
+    for i, t in enumerate(b):
+        masks[t] = masks.get(t, 0) | (1 << i)
+    full = (1 << len(b)) - 1
+    v = full
+    for t in a:
+        u = v & masks.get(t, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(b) - v.bit_count()
+
+
+@F.pandas_udf(IntegerType())
+def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_lcs_len(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
+
+
+def rouge_l(refs, sys, beta: float = ROUGE_BETA, level: str = "segment") -> DataFrame:
+    """ROUGE-L with the best precision and best recall taken independently over
+    the references; tokens split on one blank (empty text = one empty token).
+
+    The LCS is a per-pair dynamic programme on whole texts (up to tens of thousands of
+    tokens), so it runs bit-parallel in an Arrow UDF; pairs are partitioned by Spark."""
+    from pairlab.session import ensure_importable
+    ensure_importable(refs.sparkSession)
+    tok = lambda c: F.split(T.tokenize_caption(c), " ")
+    r = refs.select("inst_id", "ref_no", tok(F.col("ref")).alias("rt"))
+    s = sys.select("inst_id", tok(F.col("sys")).alias("st"))
+    j = r.join(s, "inst_id").select("inst_id", "ref_no", F.size("rt").alias("rl"), F.size("st").alias("sl"),
+                                    lcs_udf(F.col("st"), F.col("rt")).alias("lcs"))
+    per = j.groupBy("inst_id").agg(F.max(F.col("lcs") / F.col("sl")).alias("p"), F.max(F.col("lcs") / F.col("rl")).alias("r"))
+    score = F.when((F.col("p") != 0) & (F.col("r") != 0),
+                   (1 + beta ** 2) * F.col("p") * F.col("r") / (F.col("r") + beta ** 2 * F.col("p"))).otherwise(0.0)
+    seg = per.select("inst_id", score.alias("rouge_l"))
+    return seg if level == "segment" else seg.agg(F.avg("rouge_l").alias("rouge_l"))
+
+
+def cider(refs, sys, max_n: int = 4, sigma: float = CIDER_SIGMA, stats: Stats | None = None,
+          level: str = "segment") -> DataFrame:
+    """CIDEr.  tf-idf weights with idf = ln(instances) - ln(max(1, df)); per order
+    the clipped dot product min(h, r) * r over the norms; a Gaussian on the difference
+    of bigram counts; mean over orders and references, times 10."""
+    st = stats or Stats(refs, sys, max_n, "caption")
+    df = G.doc_freq(st.ref_counts)
+    n_inst = st.sys_len.agg(F.count(F.lit(1))).scalar()
+    grams = st.table.filter(F.col("n") > 0).join(df, ["n", "gram"], "left")
+    vec = grams.select("inst_id", "ref_no", "n", "gram",
+                       (F.col("cnt") * (F.log(n_inst.cast("double")) -
+                                        F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double")))).alias("v"))
+    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
+    norms = vec.groupBy("inst_id", "ref_no", "n").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    h = vec.filter(F.col("ref_no") == G.SYS).select("inst_id", "n", "gram", F.col("v").alias("vh"))
+    r = vec.filter(F.col("ref_no") != G.SYS)
+    dots = (h.join(r, ["inst_id", "n", "gram"])
+            .groupBy("inst_id", "ref_no", "n").agg(F.sum(F.least("vh", "v") * F.col("v")).alias("dot")))
+    bigr = st.table.filter(F.col("n") == 0).select("inst_id", "ref_no", F.greatest(F.col("cnt") - 1, F.lit(0)).alias("blen"))
+    hn = norms.filter(F.col("ref_no") == G.SYS).select("inst_id", "n", F.col("norm").alias("nh"))
+    hb = bigr.filter(F.col("ref_no") == G.SYS).select("inst_id", F.col("blen").alias("bh"))
+    refs_n = bigr.filter(F.col("ref_no") != G.SYS)
+    pairs = (refs_n.join(hb, "inst_id")
+             .select("inst_id", "ref_no", F.exp(-F.pow(F.col("bh") - F.col("blen"), 2) / (2 * sigma ** 2)).alias("pen")))
+    cells = (pairs.select("inst_id", "ref_no", "pen", F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n"))
+             .join(norms.filter(F.col("ref_no") != G.SYS).withColumnRenamed("norm", "nr"), ["inst_id", "ref_no", "n"], "left")
+             .join(hn, ["inst_id", "n"], "left").join(dots, ["inst_id", "ref_no", "n"], "left"))
+    nh, nr, dot = F.coalesce("nh", F.lit(0.0)), F.coalesce("nr", F.lit(0.0)), F.coalesce("dot", F.lit(0.0))
+    val = F.when((nh != 0) & (nr != 0), dot / (nh * nr)).otherwise(dot) * F.col("pen")
+    seg = cells.groupBy("inst_id").agg(
+        (F.sum(val) / max_n / F.count_distinct("ref_no") * 10.0).alias("cider"))
+    return seg if level == "segment" else seg.agg(F.avg("cider").alias("cider"))
+
+
+def meteor_stats(refs, sys) -> DataFrame:
+    """F13 statistics per (inst_id, ref_no): exact matches (k-th occurrence of a token to
+    its k-th occurrence), lengths and chunks (runs adjacent on both sides)."""
+    from pyspark.sql import Window
+    tok = lambda c: T.non_empty(F.split(T.tokenize_caption(c), " "))
+    r = refs.select("inst_id", "ref_no", F.posexplode(tok(F.col("ref"))).alias("rpos", "tok"))
+    s = sys.select("inst_id", F.posexplode(tok(F.col("sys"))).alias("hpos", "tok"))
+    r = r.withColumn("occ", F.row_number().over(Window.partitionBy("inst_id", "ref_no", "tok").orderBy("rpos")))
+    s = s.withColumn("occ", F.row_number().over(Window.partitionBy("inst_id", "tok").orderBy("hpos")))
+    al = s.join(r, ["inst_id", "tok", "occ"])
+    w = Window.partitionBy("inst_id", "ref_no").orderBy("hpos")
+    brk = ((F.lag("hpos").over(w).isNull()) | (F.col("hpos") != F.lag("hpos").over(w) + 1) |
+           (F.col("rpos") != F.lag("rpos").over(w) + 1))
+    m = al.withColumn("brk", brk.cast("int")).groupBy("inst_id", "ref_no").agg(
+        F.count(F.lit(1)).alias("matches"), F.sum("brk").alias("chunks"))
+    rl = refs.select("inst_id", "ref_no", F.size(tok(F.col("ref"))).alias("rlen"))
+    sl = sys.select("inst_id", F.size(tok(F.col("sys"))).alias("hlen"))
+    return (rl.join(sl, "inst_id").join(m, ["inst_id", "ref_no"], "left")
+            .fillna(0, ["matches", "chunks"]))
+
+
+def meteor_expr(m: Column, h: Column, r: Column, ch: Column, alpha: float = 0.9, beta: float = 3.0,
+                gamma: float = 0.5) -> Column:
+    p = m / h
+    rc = m / r
+    fmean = p * rc / (alpha * p + (1 - alpha) * rc)
+    pen = gamma * F.pow(ch / m, beta)
+    return F.when(m > 0, fmean * (1 - pen)).otherwise(0.0)
+
+
+def meteor_exact(refs, sys, level: str = "segment") -> DataFrame:
+    """F13 (re-aimed): exact-match METEOR, F = 10PR/(R+9P), penalty 0.5 (chunks/m)^3,
+    best reference per instance; the corpus score uses the summed statistics of the
+    best references."""
+    st = meteor_stats(refs, sys)
+    sc = st.withColumn("score", meteor_expr(F.col("matches").cast("double"), F.col("hlen").cast("double"),
+                                            F.col("rlen").cast("double"), F.col("chunks").cast("double")))
+    best = sc.groupBy("inst_id").agg(F.max_by(F.struct("matches", "hlen", "rlen", "chunks", "score"),
+                                              F.struct("score", -F.col("ref_no"))).alias("b")).select("inst_id", "b.*")
+    if level == "segment":
+        return best.select("inst_id", F.col("score").alias("meteor"))
+    t = best.agg(*[F.sum(c).cast("double").alias(c) for c in ("matches", "hlen", "rlen", "chunks")])
+    return t.select(meteor_expr(F.col("matches"), F.col("hlen"), F.col("rlen"), F.col("chunks")).alias("meteor"))

@@ -216,3 +216,237 @@ def nist_corpus(spark, sf):
 @query("nist_segment", lambda: _nist_sql("segment"))
 def nist_segment(spark, sf):
     return S.nist_segment(None, None, stats=_stats(spark, sf, 5)).select("inst_id", _r4(F.col("nist")).alias("nist"))
+
+
+# ---------------------------------------------------------------- F2, F5, F6, F10, F16, F17 (Perl scorer)
+
+def _perl_sql(max_n: int = 9) -> str:
+    """CTEs: pst (inst_id, n, match, tst_count, ref_count, tst_info, ref_length, nrefs) and pw (corpus sums)."""
+    base = with_views("seg") + ",\n" + Q.tok_ctes("perl") + "," + Q.gram_ctes(max_n)
+    cols = ", ".join(f"sum(CASE WHEN n = {n} THEN {c} END) AS {c}_{n}" for n in range(1, max_n + 1)
+                     for c in ("match", "tst_count", "ref_count", "tst_info"))
+    return base + f""",
+tot AS (SELECT n, gram, sum(cnt) AS tot FROM rc GROUP BY n, gram),
+words AS (SELECT sum(tot) AS words FROM tot WHERE n = 1),
+info AS (SELECT t.n, t.gram, log2(CASE WHEN t.n = 1 THEN (SELECT words FROM words) ELSE p.tot END / t.tot) AS info
+         FROM tot t LEFT JOIN tot p ON p.n = t.n - 1
+              AND p.gram = CASE WHEN t.n > 1 THEN regexp_replace(t.gram, ' [^ ]*$', '') END),
+ti AS (SELECT h.inst_id, h.n, sum(h.hits * coalesce(i.info, 0)) AS tst_info FROM hitg h LEFT JOIN info i USING (n, gram)
+       WHERE h.hits > 0 GROUP BY h.inst_id, h.n),
+rcnt AS (SELECT r.inst_id, o.n, sum(greatest(len(r.toks) - o.n + 1, 0)) AS ref_count FROM rt r, range(1, {max_n + 1}) o(n)
+         GROUP BY r.inst_id, o.n),
+pst AS (SELECT h.inst_id, h.n, h.hits AS match, greatest(l.slen - h.n + 1, 0) AS tst_count, rc2.ref_count,
+               coalesce(ti.tst_info, 0) AS tst_info, coalesce(l.rlen_closest_nz, 0) AS ref_length, l.nrefs_nz AS nrefs
+        FROM hits h JOIN lens l USING (inst_id) JOIN rcnt rc2 USING (inst_id, n) LEFT JOIN ti USING (inst_id, n)),
+pw AS (SELECT {cols}, sum(CASE WHEN n = 1 THEN ref_length END) AS ref_length,
+              sum(CASE WHEN n = 1 THEN nrefs END) AS nrefs_sum, sum(CASE WHEN n = 1 THEN 1 END) AS nsegs FROM pst)"""
+
+
+def _perl_report_sql(max_n: int = 9) -> str:
+    rows = []
+    for n in range(1, max_n + 1):
+        # smoothed BLEU: running log sum with the k-th zero-match order counting 1/2^k
+        terms = []
+        for j in range(1, n + 1):
+            zeros = " + ".join(f"(CASE WHEN tst_count_{i} > 0 AND match_{i} = 0 THEN 1 ELSE 0 END)" for i in range(1, j + 1))
+            terms.append(f"(CASE WHEN tst_count_{j} = 0 THEN 0 WHEN match_{j} = 0 THEN ln(1.0 / (pow(2, {zeros}) * tst_count_{j})) "
+                         f"ELSE ln(match_{j} * 1.0 / tst_count_{j}) END)")
+        ind = terms[-1]
+        lens = "(CASE WHEN tst_count_1 > 0 THEN exp(least(0, 1 - ref_length / tst_count_1)) ELSE 0 END)"
+        pen_ratio = "tst_count_1 / (ref_count_1 / (nrefs_sum * 1.0 / nsegs))"
+        pen = (f"(CASE WHEN {pen_ratio} >= 1 THEN 1.0 WHEN {pen_ratio} <= 0 THEN 0.0 "
+               f"ELSE exp(-{S.NIST_BETA!r} * pow(ln({pen_ratio}), 2)) END)")
+        nist_terms = [f"(tst_info_{j} / greatest(tst_count_{j}, 1))" for j in range(1, n + 1)]
+        rows.append(f"SELECT {n} AS n, round(exp({ind}), 4) AS bleu_ind, round(exp(({' + '.join(terms)}) / {n}) * {lens}, 4) AS bleu_cum, "
+                    f"round({nist_terms[-1]} * {pen}, 4) AS nist_ind, round(({' + '.join(nist_terms)}) * {pen}, 4) AS nist_cum FROM pw")
+    return _perl_sql(max_n) + "\n" + "\nUNION ALL\n".join(rows)
+
+
+def _report_df(spark, sf, max_n=9):
+    st = _stats(spark, sf, max_n, "perl")
+    r = S.ngram_report(None, None, max_n, stats=st)
+    return r.select(F.col("n").cast("int"), *[_r4(F.col(c)).alias(c) for c in ("bleu_ind", "bleu_cum", "nist_ind", "nist_cum")])
+
+
+@query("ngram_report", lambda: _perl_report_sql(9))
+def ngram_report(spark, sf):
+    return _report_df(spark, sf)
+
+
+@query("bleu_smoothed", lambda: "SELECT n, bleu_ind, bleu_cum FROM (" + _perl_report_sql(9) + ")")
+def bleu_smoothed(spark, sf):
+    return _report_df(spark, sf).select("n", "bleu_ind", "bleu_cum")
+
+
+@query("nist_by_n", lambda: "SELECT n, nist_ind, nist_cum FROM (" + _perl_report_sql(9) + ")")
+def nist_by_n(spark, sf):
+    return _report_df(spark, sf).select("n", "nist_ind", "nist_cum")
+
+
+def _unsmoothed_sql(max_n: int = 9) -> str:
+    rows = []
+    for n in range(1, max_n + 1):
+        logs = " + ".join(f"(CASE WHEN match_{j} = 0 THEN 0 ELSE ln(match_{j} * 1.0 / tst_count_{j}) END)" for j in range(1, n + 1))
+        rows.append(f"SELECT {n} AS n, CASE WHEN match_{n} = 0 THEN NULL ELSE round(match_{n} * 1.0 / tst_count_{n}, 4) END AS bleu_ind, "
+                    f"CASE WHEN match_{n} = 0 THEN 0.0 ELSE round(exp(({logs}) / {n} + least(0, 1 - ref_length / tst_count_1)), 4) END AS bleu_cum FROM pw")
+    return _perl_sql(max_n) + "\n" + "\nUNION ALL\n".join(rows)
+
+
+@query("bleu_unsmoothed", lambda: _unsmoothed_sql(9))
+def bleu_unsmoothed(spark, sf):
+    st = _stats(spark, sf, 9, "perl")
+    w = S._perl_wide(S.perl_segment_stats(st), [], 9).select(*S.perl_bleu_cols(9, smoothed=False))
+    rows = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"bleu_ind_{n}").alias("bleu_ind"),
+                              F.col(f"bleu_cum_{n}").alias("bleu_cum")) for n in range(1, 10)])
+    return w.select(F.inline(rows)).select(F.col("n").cast("int"), _r4(F.col("bleu_ind")).alias("bleu_ind"),
+                                            _r4(F.col("bleu_cum")).alias("bleu_cum"))
+
+
+@query("segment_stats", lambda: _perl_sql(9) + """
+SELECT inst_id, CAST(n AS INTEGER) AS n, CAST(match AS BIGINT) AS match, CAST(tst_count AS BIGINT) AS tst_count,
+       CAST(ref_count AS BIGINT) AS ref_count, round(tst_info, 4) AS tst_info, CAST(ref_length AS DOUBLE) AS ref_length,
+       CAST(nrefs AS BIGINT) AS nrefs FROM pst""")
+def segment_stats(spark, sf):
+    st = _stats(spark, sf, 9, "perl")
+    s = S.perl_segment_stats(st)
+    return s.select("inst_id", F.col("n").cast("int"), F.col("match").cast("long"), F.col("tst_count").cast("long"),
+                    F.col("ref_count").cast("long"), _r4(F.col("tst_info")).alias("tst_info"),
+                    F.col("ref_length").cast("double"), F.col("nrefs").cast("long"))
+
+
+@query("score_levels")
+def score_levels(spark, sf):
+    """F16: segment, document (doc = inst_id % 20) and system level in one rollup."""
+    st = _stats(spark, sf, 9, "perl")
+    lv = S.score_levels(None, None, (F.col("inst_id") % 20).cast("int"), 9, stats=st)
+    return lv.select("level", "doc", "inst_id", _r4(F.col("bleu_cum_4")).alias("bleu"), _r4(F.col("nist_cum_5")).alias("nist"))
+
+
+# ---------------------------------------------------------------- F7, F11-F15 (caption scorers)
+
+def _bleu_caption_sql() -> str:
+    base = with_views("seg") + ",\n" + Q.tok_ctes("caption") + "," + Q.gram_ctes(4)
+    cols = ", ".join(f"sum(CASE WHEN h.n = {n} THEN h.hits END) AS c{n}, "
+                     f"sum(CASE WHEN h.n = {n} THEN greatest(l.slen - {n - 1}, 0) END) AS g{n}" for n in range(1, 5))
+    w = (f"w AS (SELECT {cols}, sum(CASE WHEN h.n = 1 THEN l.slen END) AS tl, "
+         f"sum(CASE WHEN h.n = 1 THEN l.rlen_closest END) AS rl FROM hits h JOIN lens l USING (inst_id))")
+    ratio = "((tl + 1e-15) / (rl + 1e-9))"
+    bp = f"(CASE WHEN {ratio} < 1 THEN exp(1 - 1 / {ratio}) ELSE 1.0 END)"
+    outs = []
+    for n in range(1, 5):
+        prod = " * ".join(f"((c{i} + 1e-15) / (g{i} + 1e-9))" for i in range(1, n + 1))
+        outs.append(f"round(pow({prod}, 1.0 / {n}) * {bp}, 4) AS bleu_{n}")
+    return base + ",\n" + w + "\nSELECT " + ", ".join(outs) + " FROM w"
+
+
+@query("bleu_caption", _bleu_caption_sql)
+def bleu_caption(spark, sf):
+    st = _stats(spark, sf, 4, "caption")
+    b = S.caption_bleu(None, None, stats=st)
+    return b.select(*[_r4(F.col(f"bleu_{n}")).alias(f"bleu_{n}") for n in range(1, 5)])
+
+
+@query("rouge_l")
+def rouge_l(spark, sf):
+    """F11 per instance (whole texts; LCS in SQL would be quadratic per pair, so this is
+    checked against a plain dynamic programme in the tests)."""
+    refs, sys = _seg(spark, sf)
+    return S.rouge_l(refs, sys).select("inst_id", _r4(F.col("rouge_l")).alias("rouge_l"))
+
+
+def _cider_sql() -> str:
+    base = with_views("seg") + ",\n" + Q.tok_ctes("caption") + "," + Q.gram_ctes(4)
+    return base + """,
+dfq AS (SELECT n, gram, count(DISTINCT inst_id) AS df FROM rc GROUP BY n, gram),
+ninst AS (SELECT count(*) AS ni FROM st),
+allg AS (SELECT inst_id, ref_no, n, gram, cnt FROM rc UNION ALL SELECT inst_id, -1, n, gram, cnt FROM sc),
+vec AS (SELECT a.inst_id, a.ref_no, a.n, a.gram, a.cnt * (ln((SELECT ni FROM ninst)) - ln(greatest(coalesce(d.df, 0), 1))) AS v
+        FROM allg a LEFT JOIN dfq d USING (n, gram)),
+norms AS (SELECT inst_id, ref_no, n, sqrt(sum(v * v)) AS nm FROM vec GROUP BY ALL),
+dots AS (SELECT r.inst_id, r.ref_no, r.n, sum(least(h.v, r.v) * r.v) AS dot FROM vec h JOIN vec r
+         ON h.inst_id = r.inst_id AND h.n = r.n AND h.gram = r.gram AND h.ref_no = -1 AND r.ref_no >= 0 GROUP BY ALL),
+blen AS (SELECT inst_id, ref_no, greatest(len(toks) - 1, 0) AS bl FROM rt UNION ALL SELECT inst_id, -1, greatest(len(toks) - 1, 0) FROM st),
+cells AS (SELECT b.inst_id, b.ref_no, o.n, exp(-pow(hb.bl - b.bl, 2) / (2 * 36.0)) AS pen,
+                 coalesce(nr.nm, 0) AS nr, coalesce(nh.nm, 0) AS nh, coalesce(d.dot, 0) AS dot
+          FROM blen b JOIN blen hb ON hb.inst_id = b.inst_id AND hb.ref_no = -1 AND b.ref_no >= 0
+          CROSS JOIN range(1, 5) o(n)
+          LEFT JOIN norms nr ON nr.inst_id = b.inst_id AND nr.ref_no = b.ref_no AND nr.n = o.n
+          LEFT JOIN norms nh ON nh.inst_id = b.inst_id AND nh.ref_no = -1 AND nh.n = o.n
+          LEFT JOIN dots d ON d.inst_id = b.inst_id AND d.ref_no = b.ref_no AND d.n = o.n)
+SELECT inst_id, round(sum(CASE WHEN nh <> 0 AND nr <> 0 THEN dot / (nh * nr) ELSE dot END * pen) / 4.0
+                      / count(DISTINCT ref_no) * 10.0, 4) AS cider
+FROM cells GROUP BY inst_id"""
+
+
+@query("cider", _cider_sql)
+def cider(spark, sf):
+    st = _stats(spark, sf, 4, "caption")
+    return S.cider(None, None, stats=st).select("inst_id", _r4(F.col("cider")).alias("cider"))
+
+
+def _meteor_sql() -> str:
+    tok = lambda x: Q.caption_tokens(x)
+    return with_views("seg") + f""",
+rp AS (SELECT inst_id, ref_no, t.tok, t.pos FROM (SELECT inst_id, ref_no, {tok('ref')} AS toks FROM seg_refs),
+       LATERAL (SELECT unnest(toks) AS tok, unnest(generate_series(0, len(toks) - 1)) AS pos) t),
+hp AS (SELECT inst_id, t.tok, t.pos FROM (SELECT inst_id, {tok('sys')} AS toks FROM seg_sys),
+       LATERAL (SELECT unnest(toks) AS tok, unnest(generate_series(0, len(toks) - 1)) AS pos) t),
+ro AS (SELECT *, row_number() OVER (PARTITION BY inst_id, ref_no, tok ORDER BY pos) AS occ FROM rp),
+ho AS (SELECT *, row_number() OVER (PARTITION BY inst_id, tok ORDER BY pos) AS occ FROM hp),
+al AS (SELECT h.inst_id, r.ref_no, h.pos AS hpos, r.pos AS rpos FROM ho h JOIN ro r USING (inst_id, tok, occ)),
+br AS (SELECT inst_id, ref_no, CASE WHEN lag(hpos) OVER w IS NULL OR hpos <> lag(hpos) OVER w + 1
+                                         OR rpos <> lag(rpos) OVER w + 1 THEN 1 ELSE 0 END AS b
+       FROM al WINDOW w AS (PARTITION BY inst_id, ref_no ORDER BY hpos)),
+m AS (SELECT inst_id, ref_no, count(*) AS matches, sum(b) AS chunks FROM br GROUP BY ALL),
+ln_ AS (SELECT r.inst_id, r.ref_no, len({tok('r.ref')}) AS rlen, len({tok('s.sys')}) AS hlen
+        FROM seg_refs r JOIN seg_sys s USING (inst_id)),
+sc AS (SELECT l.inst_id, l.ref_no, coalesce(m.matches, 0) AS mt, l.hlen, l.rlen, coalesce(m.chunks, 0) AS ch
+       FROM ln_ l LEFT JOIN m USING (inst_id, ref_no)),
+sc2 AS (SELECT *, CASE WHEN mt > 0 THEN (mt * 1.0 / hlen) * (mt * 1.0 / rlen) / (0.9 * (mt * 1.0 / hlen) + 0.1 * (mt * 1.0 / rlen))
+                        * (1 - 0.5 * pow(ch * 1.0 / mt, 3)) ELSE 0.0 END AS score FROM sc)
+SELECT inst_id, round(max(score), 4) AS meteor FROM sc2 GROUP BY inst_id"""
+
+
+@query("meteor_exact", _meteor_sql)
+def meteor_exact(spark, sf):
+    refs, sys = _seg(spark, sf)
+    return S.meteor_exact(refs, sys).select("inst_id", _r4(F.col("meteor")).alias("meteor"))
+
+
+def _tables(spark, sf):
+    refs, sys = _seg(spark, sf)
+    mt = _stats(spark, sf, 5)
+    seg = {
+        "bleu": S.bleu_segment(None, None, stats=mt).select("inst_id", "bleu", "sent_bleu"),
+        "nist": S.nist_segment(None, None, stats=mt),
+        "meteor": S.meteor_exact(refs, sys),
+        "rouge_l": S.rouge_l(refs, sys),
+        "cider": S.cider(None, None, stats=_stats(spark, sf, 4, "caption")),
+    }
+    return refs, sys, mt, seg
+
+
+@query("segment_score_table")
+def segment_score_table(spark, sf):
+    """one row per instance: BLEU, sentBLEU, NIST, METEOR, ROUGE_L, CIDEr (4 decimals)."""
+    _, _, _, seg = _tables(spark, sf)
+    out = seg["bleu"]
+    for k in ("nist", "meteor", "rouge_l", "cider"):
+        out = out.join(seg[k], "inst_id", "left")
+    cols = ["bleu", "sent_bleu", "nist", "meteor", "rouge_l", "cider"]
+    return out.select("inst_id", *[_r4(F.col(c)).alias(c) for c in cols])
+
+
+@query("score_table")
+def score_table(spark, sf):
+    """the five corpus scores in the fixed order BLEU, NIST, METEOR, ROUGE_L, CIDEr."""
+    refs, sys, mt, seg = _tables(spark, sf)
+    rows = [S.bleu_corpus(None, None, stats=mt).select(F.lit(1).alias("ord"), F.lit("BLEU").alias("metric"), F.col("bleu").alias("score")),
+            S.nist_corpus(None, None, stats=mt).select(F.lit(2).alias("ord"), F.lit("NIST").alias("metric"), F.col("nist").alias("score")),
+            S.meteor_exact(refs, sys, level="corpus").select(F.lit(3).alias("ord"), F.lit("METEOR").alias("metric"), F.col("meteor").alias("score")),
+            seg["rouge_l"].agg(F.avg("rouge_l").alias("score")).select(F.lit(4).alias("ord"), F.lit("ROUGE_L").alias("metric"), "score"),
+            seg["cider"].agg(F.avg("cider").alias("score")).select(F.lit(5).alias("ord"), F.lit("CIDEr").alias("metric"), "score")]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.select(F.col("ord").cast("int"), "metric", _r4(F.col("score")).alias("score"))

@@ -24,7 +24,7 @@ def mteval_tokens(x: str, how: str = "mteval") -> str:
     if how == "mteval":
         return f"list_transform(string_split({mteval_norm(x)}, ' '), lambda w: lower(w))"
     if how == "perl":
-        return f"string_split({mteval_norm(x, ascii_lower=True)}, ' ')"
+        return f"list_filter(string_split({mteval_norm(x, ascii_lower=True)}, ' '), lambda w: w <> '')"
     raise ValueError(how)
 
 
@@ -77,6 +77,8 @@ hits AS (SELECT st.inst_id, o.n, coalesce(h.hits, 0) AS hits
          FROM st CROSS JOIN range(1, {max_n + 1}) o(n) LEFT JOIN hits0 h ON h.inst_id = st.inst_id AND h.n = o.n),
 lens AS (SELECT s.inst_id, len(s.toks) AS slen,
                 arg_min(len(r.toks), abs(len(r.toks) - len(s.toks)) * 100000000 + len(r.toks)) AS rlen_closest,
+                arg_min(len(r.toks), CASE WHEN len(r.toks) > 0 THEN abs(len(r.toks) - len(s.toks)) * 100000000 + len(r.toks) END) AS rlen_closest_nz,
+                sum(CASE WHEN len(r.toks) > 0 THEN 1 ELSE 0 END) AS nrefs_nz,
                 min(len(r.toks)) AS rlen_short, avg(len(r.toks)) AS rlen_avg,
                 count(*) AS nrefs, sum(len(r.toks)) AS rsum
          FROM st s JOIN rt r USING (inst_id) GROUP BY s.inst_id, len(s.toks))"""
