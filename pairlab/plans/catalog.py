@@ -6,7 +6,7 @@ import importlib
 
 from pairlab.plans.registry import ORACLES, QUERIES
 
-MODULES = ["q_scores", "q_mr", "q_noise", "q_profile", "q_runs", "q_encode", "q_sources"]
+MODULES = ["q_scores", "q_mr", "q_noise", "q_profile", "q_runs", "q_encode", "q_sources", "q_stream"]
 
 
 def _load():
