@@ -450,3 +450,24 @@ def score_table(spark, sf):
     for r in rows[1:]:
         out = out.unionByName(r)
     return out.select(F.col("ord").cast("int"), "metric", _r4(F.col("score")).alias("score"))
+
+
+def _intl_sql() -> str:
+    s = "replace(text, '<skipped>', '')"
+    for old, new in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&apos;", "''")):
+        s = f"replace({s}, '{old}', '{new}')"
+    s = f"lower({s})"
+    s = f"regexp_replace({s}, '(\\PN)(\\pP)', '\\1 \\2 ', 'g')"
+    s = f"regexp_replace({s}, '(\\pP)(\\PN)', ' \\1 \\2', 'g')"
+    s = f"regexp_replace({s}, '(\\pS)', ' \\1 ', 'g')"
+    s = f"regexp_replace({s}, '\\pZ+', ' ', 'g')"
+    s = f"regexp_replace({s}, '^\\pZ+|\\pZ+$', '', 'g')"
+    return _tok_sql(f"string_split({s}, ' ')")
+
+
+@query("tokenize_international", _intl_sql)
+def tokenize_international(spark, sf):
+    """The Unicode tokeniser (punctuation unless between digits, symbols, separators)."""
+    d = table(spark, sf, "documents")
+    toks = T.tokenize_international(F.col("text"))
+    return d.select("doc_id", F.size(toks).cast("int").alias("n_tok"), F.md5(F.array_join(toks, " ")).alias("tok_md5"))

@@ -218,3 +218,18 @@ def write_text_outputs(spark, sf):
 
 
 _ = (M, Window)
+
+
+@query("check_columns", MRV + "\nSELECT inst_id FROM mr_pairs WHERE mr <> orig_mr")
+def check_columns(spark, sf):
+    """A4: lines whose field count differs from the header are reported, not dropped.
+    The file gets a third field on rows whose MR differs from the original MR."""
+    from pyspark.sql import types as T
+    p = scratch_path(spark, "ragged-csv")
+    m = V.mr_pairs(spark, sf)
+    lines = m.select(F.concat_ws(",", F.col("inst_id").cast("string"), F.col("split"),
+                                 F.when(F.col("mr") != F.col("orig_mr"), F.lit("extra"))).alias("value"))
+    lines.write.mode("overwrite").text(p)
+    schema = T.StructType([T.StructField("inst_id", T.LongType()), T.StructField("split", T.StringType())])
+    bad = IO.check_columns(spark, p, schema)
+    return bad.select(F.split("_corrupt", ",").getItem(0).cast("long").alias("inst_id"))

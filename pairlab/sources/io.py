@@ -65,11 +65,14 @@ def read_pairs_csv(spark: SparkSession, path: str, header_src: str = HEADER_SRC,
     return out
 
 
-def check_columns(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def check_columns(spark: SparkSession, path: str, schema: T.StructType, header: bool = False) -> DataFrame:
     """A4: rows whose column count differs, with their text (PERMISSIVE + corrupt column)."""
     s = T.StructType(schema.fields + [T.StructField("_corrupt", T.StringType())])
-    df = spark.read.csv(path, header=True, schema=s, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE")
-    return df.filter(F.col("_corrupt").isNotNull()).select("_corrupt")
+    df = spark.read.csv(path, header=header, schema=s, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE")
+    # the parsed rows are materialised first: Spark refuses filters that reach the raw
+    # scan through the corrupt-record column alone
+    df = df.persist()
+    return df.filter(F.col("_corrupt").isNotNull()).select(schema.fields[0].name, "_corrupt")
 
 
 def check_alignment(a: DataFrame, b: DataFrame, key: str = "inst_id", col: str = "src") -> DataFrame:
