@@ -107,7 +107,7 @@ def param_grid(spark, sf):
 
 
 @query("fit_summary", with_views("epoch_hist") + """
-SELECT run_id, CAST(arg_min(epoch, val_loss * 1000 + epoch / 1000.0) - 1 AS INTEGER) AS best_epoch,
+SELECT run_id, CAST(arg_min(epoch, {'v': val_loss, 'e': epoch}) - 1 AS INTEGER) AS best_epoch,
        round(max(accuracy), 4) AS max_acc, round(max(val_accuracy), 4) AS max_val_acc,
        round(min(loss), 4) AS min_loss, round(min(val_loss), 4) AS min_val_loss, round(min(lr), 4) AS min_lr,
        round(sum(secs) / 60.0, 2) AS total_minutes, round(avg(secs), 4) AS avg_epoch_secs,
