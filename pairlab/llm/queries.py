@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import bpe, chatformat, mixing, quality, secretscan
+from pairlab.llm import bpe, chatformat, minhash, mixing, quality, secretscan
 from pairlab.llm.common import table
 from pairlab.session import ensure_importable, shared_dir
 
@@ -43,6 +43,12 @@ def op3_bpe(spark, sf_dir):
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op4_minhash")
+def op4_minhash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, shingle=3, percent=85)
+
+
 @query("op5_quality")
 def op5_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
