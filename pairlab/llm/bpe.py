@@ -6,7 +6,8 @@ end, so the ids stay the same and no piece of text grows without bound.  ``decod
 the raw bytes of the ids.  Both are row-local: no shuffle, any partition can be redone.
 
 Edge cases: a null text is an empty one (no ids, empty bytes); a null id or a repeated row
-is kept as it is; other columns are dropped by ``encode`` and kept by ``decode``.
+is kept as it is; other columns are dropped by
+``encode``, unless it is told to keep them, and kept by ``decode``.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab.llm.common import slices, texts_of
@@ -60,13 +62,15 @@ def ids_of(text: str, enc: tiktoken.Encoding, limit: int = SPLIT_CHARS) -> np.nd
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id",
-           text_col: str = "text", packed: bool = True, split_chars: int = SPLIT_CHARS) -> DataFrame:
-    """(id, n_tokens long, ids) per row; ids are packed little-endian unsigned 32-bit
-    integers (binary, the form shards are written in) or an array<int>."""
+           text_col: str = "text", packed: bool = True, split_chars: int = SPLIT_CHARS,
+           keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_tokens long, ids, columns to keep) per row; ids are packed little-endian unsigned
+    32-bit integers (binary, the form shards are written in) or an array<int>."""
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
-    src = docs.select(id_col, text_col)
+    src = docs.select(id_col, text_col, *(F.col(c).alias(f"_kept{i}") for i, c in enumerate(keep)))
     out = T.StructType([src.schema[id_col], T.StructField("n_tokens", T.LongType()),
-                        T.StructField("ids", T.BinaryType() if packed else T.ArrayType(T.IntegerType()))])
+                        T.StructField("ids", T.BinaryType() if packed else T.ArrayType(T.IntegerType())),
+                        *(T.StructField(c, docs.schema[c].dataType) for c in keep)])
 
     def run(batches):
         enc = encoding(path, pattern)
@@ -76,7 +80,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 cells = pa.array([a.tobytes() for a in ids], pa.binary()) if packed else pa.array(
                     [a.astype(np.int32) for a in ids], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([len(a) for a in ids], pa.int64()), cells], [id_col, "n_tokens", "ids"])
+                    [b.column(0), pa.array([len(a) for a in ids], pa.int64()), cells, *b.columns[2:]],
+                    out.fieldNames())
 
     return src.mapInArrow(run, out)
 

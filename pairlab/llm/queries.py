@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import bpe, chatformat, minhash, mixing, quality, secretscan
-from pairlab.llm.common import table
+from pairlab.llm import bpe, chatformat, minhash, mixing, quality, secretscan, toxicity
+from pairlab.llm.common import fold, table
 from pairlab.session import ensure_importable, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,14 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), training=fold("_id", 5) != 0)
+    done = toxicity.score(docs, model)
+    return done.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 @query("op2_mixing", mixing.oracle())
 def op2_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
