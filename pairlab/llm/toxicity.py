@@ -39,7 +39,7 @@ from pairlab.session import shared_dir
 #: Labelled rows that the classifier may learn from.
 MAX_ROWS = 20_000
 LEXICON = 256
-STEMS = (3, 4, 5, 6, 7)
+STEMS = (4, 5, 6, 7)
 MIN_LOG_ODDS = 1.6
 INSULTS = frozenset("""
     idiot idiots moron morons stupid dumb dumbass loser losers scum trash garbage filth pathetic worthless disgusting
