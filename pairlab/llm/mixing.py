@@ -35,6 +35,9 @@ from pairlab.session import shared_dir
 WEIGHT_UNIT = 1_000_000
 HALVINGS, ROUNDS = 6, 5
 BLOCK_DIGITS = 3
+#: A source's rows meet its row of the plan in so many parts, so that a source with a third of
+#: all rows is not one partition.
+SALTS = 64
 
 
 def n_words(text: Column) -> Column:
@@ -46,6 +49,13 @@ def perm_key(epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows (src, id, ...) with the columns of their source's row of the plan."""
+    salt = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), F.lit(SALTS))
+    parts = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("_salt", salt.cast("long")).join(parts, ["src", "_salt"]).drop("_salt")
+
+
 def _bisect(shares: DataFrame, holds_below: bool, test) -> float:
     """The end of [0, 1] nearest the change of ``test`` (alpha, z, zl, zr -> bool), which holds
     below it or above it.  z = sum q^a, zl = sum q^a ln q, zr = max q^(a-1)."""
@@ -109,9 +119,9 @@ def source_plan(narrow: DataFrame, budget_ratio: float, entropy_ratio: float | N
 
 def cutoffs(narrow: DataFrame, plan: DataFrame) -> DataFrame:
     """(src, cut): the last key that the last pass of each source takes (no row: null)."""
-    keyed = (narrow.join(plan.select("src", "passes", "rest"), "src")
+    keyed = (_with_plan(narrow, plan.select("src", "passes", "rest"))
              .select("src", "n_tokens", "rest", perm_key(F.col("passes"), F.col("id")).alias("key")))
-    prefix, inside = F.lit(""), keyed.withColumn("before", F.lit(0).cast("long"))
+    inside = keyed.withColumn("before", F.lit(0).cast("long"))
     best = None
     for level in (1, 2, 3):
         digits = level * BLOCK_DIGITS
@@ -133,8 +143,9 @@ def cutoffs(narrow: DataFrame, plan: DataFrame) -> DataFrame:
         if level < 3:
             deeper = found.where("split is not null").select(
                 "src", "split", F.coalesce("upto", "before").alias("before"))
-            inside = (keyed.join(deeper, "src").where(F.substring("key", 1, digits) == F.col("split"))
-                      .drop("split"))
+            inside = keyed.join(deeper.withColumnRenamed("split", "prefix"),
+                                (keyed["src"] == deeper["src"]) & (F.substring("key", 1, digits) == F.col("prefix"))
+                                ).select(keyed["src"], "n_tokens", "rest", "key", "before")
     return best
 
 
@@ -155,7 +166,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     n = F.col("passes") + F.when(last, 1).otherwise(0)
     epoch = F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)))
     key = perm_key(F.col("epoch"), F.col("id"))
-    return (rows.join(plan.select("src", "weight", "passes", "cut"), "src")
+    return (_with_plan(rows, plan.select("src", "weight", "passes", "cut"))
             .select("row", "id", "n_tokens", "weight", epoch.alias("epoch"))
             .select("row", "n_tokens", "weight", "epoch",
                     F.conv(F.substring(key, 1, BLOCK_DIGITS), 16, 10).cast("int").alias("block"),
