@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import bpe, chatformat, minhash, mixing, quality, secretscan, toxicity
+from pairlab.llm import bpe, chatformat, lmscore, minhash, mixing, quality, secretscan, toxicity
 from pairlab.llm.common import fold, table
 from pairlab.session import ensure_importable, shared_dir
 
@@ -73,6 +73,14 @@ def op8_chat(spark, sf_dir):
     return chatformat.conversation_digests(chatformat.format_turns(turns.unionByName(extra)))
 
 
+@query("op9_lm")
+def op9_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = lmscore.score(docs, fold("_id", 5) != 1)
+    return done.select("doc_id", F.coalesce(fold("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens",
+                       "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op10_secrets")
 def op10_secrets(spark, sf_dir):
     found = secretscan.scan(table(spark, sf_dir, "documents"))
