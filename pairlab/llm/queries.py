@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import bpe, chatformat, lmscore, minhash, mixing, quality, secretscan, toxicity, vecgraph
+from pairlab.llm import bpe, chatformat, lmscore, minhash, mixing, quality, secretscan, spandedup, toxicity, vecgraph
 from pairlab.llm.common import fold, table
 from pairlab.session import ensure_importable, shared_dir
 
@@ -63,6 +63,11 @@ def op5_quality(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op6_spans")
+def op6_spans(spark, sf_dir):
+    return spandedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op7_vectors")
 def op7_vectors(spark, sf_dir):
     return vecgraph.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
