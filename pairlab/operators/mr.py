@@ -103,10 +103,23 @@ def delex_key(mr: Column, slots=tuple(fx.DELEX_SLOTS)) -> Column:
     return F.array_join(F.array_sort(items), "|")
 
 
+#: Type of ``mr_items``.
+ITEMS = "array<struct<pos: int, slot: string, value: string>>"
+
+
+def counted(items: Column) -> Column:
+    """array<struct<slot, value, ...>> -> array<struct<slot, value, n>>, on the row."""
+    def count(own):  # bound once, as the inner lambda reads it for every key
+        keys = F.array_distinct(F.transform(own, lambda x: F.struct(x["slot"].alias("slot"), x["value"].alias("value"))))
+        return F.transform(keys, lambda k: F.struct(
+            k["slot"].alias("slot"), k["value"].alias("value"),
+            F.size(F.filter(own, lambda x: (x["slot"] == k["slot"]) & (x["value"] == k["value"]))).alias("n")))
+    return F.element_at(F.transform(F.array(items), count), 1)
+
+
 def mr_counts(df: DataFrame, col: str = "mr", keys=("inst_id",)) -> DataFrame:
-    """Counted MR in long form keys + (slot, value, n), slots normalised."""
-    return (mr_parse(df, col, keys, normalize=True)
-            .groupBy(*keys, "slot", "value").agg(F.count(F.lit(1)).cast("int").alias("n")))
+    """Counted MR in long form keys + (slot, value, n), slots normalised; local to a row."""
+    return df.select(*keys, F.inline(counted(mr_items(F.col(col), normalize=True))))
 
 
 # Slot order used when rendering an MR (same order as the E2E data)
@@ -130,6 +143,11 @@ def render_items(items: Column) -> Column:
     return out
 
 
+def rendered(mr: Column) -> Column:
+    """B11 on the row: an MR in the fixed slot order."""
+    return render_items(counted(mr_items(mr, normalize=True)))
+
+
 def mr_render(counts: DataFrame, keys=("inst_id",)) -> DataFrame:
     """B11 over the long form: keys + (mr)."""
     return counts.groupBy(*keys).agg(

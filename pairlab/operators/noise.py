@@ -1,19 +1,20 @@
 """Semantic-noise detection and repair.
 
-C1+C2 (finding realisation spans in the sentence and settling overlaps and ties)
-are order-dependent per sentence, so they run in one Arrow-batched pandas UDF with
-the patterns compiled once per worker.  Everything after that -- counting (C3),
-the gold-vs-output comparison (C4), the signed difference (C5), repair (C6),
-per-row dump (C7, C8), classes (C9) and totals (C10, C11) -- is joins and
-aggregations on long tables keyed by (inst_id, slot, value).
+C1 and C2 (the realisations named in a sentence, and which of them stand) run in one
+Arrow-batched pandas UDF whose patterns are compiled once per worker.  Everything about
+one row after that -- counting (C3), the gold-vs-output comparison (C4), the signed
+difference (C5), repair (C6), the dump and the class (C7-C9) -- is array expressions on
+that row's few items: no shuffle, no join, nothing cached.  Only the totals (C10, C11)
+aggregate.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,74 +30,85 @@ COUNT = T.StructType([T.StructField("slot", T.StringType()), T.StructField("valu
 SPANS = T.StructType([T.StructField("all", T.ArrayType(MATCH)), T.StructField("kept", T.ArrayType(MATCH)),
                       T.StructField("ref_counts", T.ArrayType(COUNT))])
 
-_COMPILED = None
-
-
-def _compiled():
-    """[(slot, value or None, regex)] in scan order, plus the proper-case lookup."""
-    global _COMPILED
-    if _COMPILED is None:
-        def comp(pats):
-            return re.compile("|".join((r"\b" if not p.startswith("^") else "") + p +
-                                       (r"\b" if not p.endswith("$") else "") for p in pats), re.I | re.U)
-        table, cap = [], {}
-        for slot, spec in REALIZATIONS.items():
-            if isinstance(spec, list):
-                cap[slot] = {v.lower(): v for v in spec}
-                table.append((slot, None, comp(spec)))
-            else:
-                cap[slot] = {v.lower(): v for v in spec}
-                for value, pats in spec.items():
-                    table.append((slot, value, comp(pats)))
-        _COMPILED = (table, cap)
-    return _COMPILED
+
+class Phrase(NamedTuple):
+    """One entry of the pattern table; without a value the matched text is the value."""
+    slot: str
+    value: str | None
+    pattern: re.Pattern
+
+
+def _bounded(alternative: str) -> str:
+    left = "" if alternative[0] == "^" else r"\b"
+    right = "" if alternative[-1] == "$" else r"\b"
+    return left + alternative + right
+
+
+@functools.cache
+def phrases() -> tuple[Phrase, ...]:
+    """The pattern table, in the order in which ties are settled."""
+    out = []
+    for slot, spec in REALIZATIONS.items():
+        by_value = spec.items() if isinstance(spec, dict) else [(None, spec)]
+        out += [Phrase(slot, value, re.compile("|".join(map(_bounded, alternatives)), re.IGNORECASE))
+                for value, alternatives in by_value]
+    return tuple(out)
+
+
+@functools.cache
+def _spelling(slot: str) -> dict[str, str]:
+    return {value.lower(): value for value in REALIZATIONS.get(slot, ())}
+
+
+def proper(slot: str, value: str) -> str:
+    """A value as the table spells it."""
+    return _spelling(slot).get(value.lower(), value)
+
+
+def _standing(hits: list[tuple], gold: set[tuple]) -> list[tuple]:
+    """The hits that count, in pattern order.
+
+    Spans are swept by start, longer ones first: a span that ends no later than what has been
+    reached lies inside a longer one and falls.  Where several values share a span, the
+    one that the gold MR has stands; two gold ones fall together; with none it is the first."""
+    at: dict[tuple, list[int]] = {}
+    for i, (_, _, start, end) in enumerate(hits):
+        at.setdefault((start, end), []).append(i)
+    reached, stand = -1, []
+    for start, end in sorted(at, key=lambda x: (x[0], -x[1])):
+        if end <= reached:
+            continue
+        reached = end
+        rivals = at[start, end]
+        expected = [i for i in rivals if hits[i][:2] in gold]
+        if len(rivals) == 1 or not expected:
+            stand.append(rivals[0])
+        elif len(expected) == 1:
+            stand += expected
+    return [hits[i] for i in sorted(stand)]
 
 
 def find_spans(ref: str, gold_items) -> dict:
     """C1 + C2 for one sentence.  ``gold_items``: (slot, value) pairs of the gold MR
-    (normalised slot names).  Returns all matches, the kept ones, and the counts the
-    reference's stale-variable counting gives (trap T1)."""
-    table, cap = _compiled()
-    gold = {}
-    for slot, value in gold_items:
-        v = cap.get(slot, {}).get(value.lower(), value)
-        gold.setdefault(slot, {})
-        gold[slot][v] = gold[slot].get(v, 0) + 1
-    matches = []
-    for slot, value, rx in table:
-        for m in rx.finditer(ref or ""):
-            v = cap[slot].get(m.group(0).lower(), m.group(0)) if value is None else cap[slot][value.lower()]
-            matches.append((slot, v, m.start(), m.end()))
-    kept = []
-    for a in matches:
-        skip = False
-        for b in matches:
-            if a is b:
-                continue
-            inside = (a[2] > b[2] and a[3] <= b[3]) or (a[2] >= b[2] and a[3] < b[3])
-            same = a[2] == b[2] and a[3] == b[3]
-            if inside or (same and (b[1] in gold.get(b[0], {}) or b in kept)):
-                skip = True
-                break
-        if not skip:
-            kept.append(a)
-    # The reference counts with the value left over from its pattern loop
-    stale = table[-1][1]
-    t1 = {}
-    for slot, v, _, _ in kept:
-        d = t1.setdefault(slot, {})
-        d[v] = d.get(stale, 0) + 1
-    as_rows = lambda ms: [{"slot": s, "value": v, "start": a, "end": b} for s, v, a, b in ms]
-    return {"all": as_rows(matches), "kept": as_rows(kept),
-            "ref_counts": [{"slot": s, "value": v, "n": n} for s, d in t1.items() for v, n in d.items()]}
+    (normalised slot names).  Returns all hits, those that stand, and the counts under trap T1
+    (every value's count restarts from that of the table's last value)."""
+    gold = {(slot, proper(slot, value)) for slot, value in gold_items}
+    hits = [(p.slot, p.value or proper(p.slot, m[0]), *m.span())
+            for p in phrases() for m in p.pattern.finditer(ref or "")]
+    stand = _standing(hits, gold)
+    last = phrases()[-1].value
+    trapped: dict[tuple, int] = {}
+    for slot, value, _, _ in stand:
+        trapped[slot, value] = trapped.get((slot, last), 0) + 1
+    named = lambda rows, keys: [dict(zip(keys, r)) for r in rows]
+    return {"all": named(hits, MATCH.names), "kept": named(stand, MATCH.names),
+            "ref_counts": named([(*k, n) for k, n in trapped.items()], COUNT.names)}
 
 
 @F.pandas_udf(SPANS)
 def _spans_udf(ref: pd.Series, gold: pd.Series) -> pd.DataFrame:
-    out = [find_spans(r, [tuple(x.split("\t", 1)) for x in (g if g is not None else [])])
-           for r, g in zip(ref, gold)]
-    return pd.DataFrame({"all": [o["all"] for o in out], "kept": [o["kept"] for o in out],
-                         "ref_counts": [o["ref_counts"] for o in out]})
+    return pd.DataFrame([find_spans(r, [x.split("\t", 1) for x in (g if g is not None else [])])
+                         for r, g in zip(ref, gold)], columns=SPANS.names)
 
 
 def gold_items(mr: Column) -> Column:
@@ -114,111 +126,112 @@ def slot_matches(spanned: DataFrame, which: str = "all") -> DataFrame:
     return spanned.select("inst_id", F.inline(F.col(f"spans.{which}")))
 
 
+def output_counts(reference_counts: bool = False) -> Column:
+    """C3 on a row with ``spans``: array<struct<slot, value, n>>."""
+    return F.col("spans.ref_counts") if reference_counts else M.counted(F.col("spans.kept"))
+
+
 def reclassify_mr(spanned: DataFrame, reference_counts: bool = False) -> DataFrame:
     """Output MR counted in long form (inst_id, slot, value, n)."""
-    if reference_counts:
-        return spanned.select("inst_id", F.inline("spans.ref_counts"))
-    return (slot_matches(spanned, "kept").groupBy("inst_id", "slot", "value")
-            .agg(F.count(F.lit(1)).cast("int").alias("n")))
-
-
-def slot_diff(gold: DataFrame, out: DataFrame, fix_type: str = "all",
-              reference_counts: bool = False) -> DataFrame:
-    """C4 per (inst_id, slot, value): gold count g, output count o, the repaired count
-    ``fixed`` (C6) and the signed difference ``d`` (out - gold, 0 when not counted),
-    plus per-slot error counts repeated/valerr/missing/added (on the slot's first row
-    only, so sums over rows give instance totals).
-
-    fix_type 'all' counts every kind; 'missing' ignores additions and 'added' ignores
-    omissions: ignored kinds are neither counted nor changed (copied back from gold).
-    With reference_counts the ignored additions are raised instead of lowered (T15)."""
-    fix_missing = fix_type == "all" or "missing" in fix_type
-    fix_added = fix_type == "all" or "added" in fix_type
-    j = (gold.select("inst_id", "slot", "value", F.col("n").alias("g"))
-         .join(out.select("inst_id", "slot", "value", F.col("n").alias("o")), ["inst_id", "slot", "value"], "full")
-         .fillna(0, ["g", "o"]))
-    g, o = F.col("g"), F.col("o")
-    rep = F.when((g > 0) & (o > g), o - g).otherwise(0)
-    o2 = F.when((g > 0) & (o > g), g).otherwise(o)
-    d = g - o2  # > 0: missing occurrence, < 0: added occurrence
-    j = j.withColumn("rep", rep).withColumn("o2", o2).withColumn("d", d)
-    w = ["inst_id", "slot"]
-    from pyspark.sql import Window
-    win = Window.partitionBy(*w)
-    j = (j.withColumn("g_slot", F.sum("g").over(win)).withColumn("o_slot", F.sum("o").over(win))
-         .withColumn("first", F.row_number().over(win.orderBy("value")) == 1))
-    only_g = (F.col("g_slot") > 0) & (F.col("o_slot") == 0)
-    only_o = (F.col("g_slot") == 0) & (F.col("o_slot") > 0)
-    both = (F.col("g_slot") > 0) & (F.col("o_slot") > 0)
-    dd = F.col("d")
-    counted = (F.when(both & (dd > 0), F.lit(fix_missing)).when(both & (dd < 0), F.lit(fix_added))
-               .otherwise(F.lit(True)))
-    pos_row = F.when(both & (dd > 0) & counted, dd).otherwise(0)
-    neg_row = F.when(both & (dd < 0) & counted, -dd).otherwise(0)
-    j = (j.withColumn("pos", F.sum(pos_row).over(win)).withColumn("neg", F.sum(neg_row).over(win))
-         .withColumn("rep_slot", F.sum(F.when(both, F.col("rep")).otherwise(0)).over(win)))
-    first = F.col("first")
-    pos, neg = F.col("pos"), F.col("neg")
-    missing = (F.when(only_g, F.lit(fix_missing).cast("int") * F.col("g_slot"))
-               .when(both, F.greatest(pos - neg, F.lit(0))).otherwise(0))
-    added = (F.when(only_o, F.lit(fix_added).cast("int") * F.col("o_slot"))
-             .when(both, F.greatest(neg - pos, F.lit(0))).otherwise(0))
-    valerr = F.when(both, F.least(pos, neg)).otherwise(0)
-    if reference_counts:
-        lower_added = o2 - dd      # T15: raises the count
-    else:
-        lower_added = g            # lowered to the gold count
-    fixed = (F.when(only_g, F.when(F.lit(fix_missing), F.lit(0)).otherwise(g))
-             .when(only_o, F.when(F.lit(fix_added), o).otherwise(F.lit(0)))
-             .when(dd > 0, F.when(F.lit(fix_missing), o2).otherwise(g))
-             .when(dd < 0, F.when(F.lit(fix_added), o2).otherwise(lower_added))
-             .otherwise(o2))
-    diff = (F.when(only_g, F.when(F.lit(fix_missing), -g).otherwise(0))
-            .when(only_o, F.when(F.lit(fix_added), o).otherwise(0))
-            .otherwise(F.when(counted, -dd).otherwise(0)))
-    return j.select(
-        "inst_id", "slot", "value", "g", "o", fixed.cast("int").alias("fixed"), diff.cast("int").alias("d"),
-        F.when(first, F.col("rep_slot")).otherwise(0).cast("int").alias("repeated"),
-        F.when(first, valerr).otherwise(0).cast("int").alias("valerr"),
-        F.when(first, missing).otherwise(0).cast("int").alias("missing"),
-        F.when(first, added).otherwise(0).cast("int").alias("added"))
-
-
-def diff_json(diff_rows: DataFrame) -> DataFrame:
-    """(inst_id, diff) with diff = JSON {slot: {value: out - gold}}, keys sorted, zero
-    entries and empty slots left out (compact JSON, UTF-8)."""
-    nz = diff_rows.filter(F.col("d") != 0)
-    per_slot = nz.groupBy("inst_id", "slot").agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "d"))))).alias("vals"))
-    # slot names are plain identifiers, so the outer object is assembled as text in
-    # slot order (maps cannot be sorted as values)
-    frags = F.transform(F.array_sort(F.collect_list(F.struct("slot", "vals"))),
-                        lambda s: F.concat(F.lit('"'), s["slot"], F.lit('":'), s["vals"]))
-    return per_slot.groupBy("inst_id").agg(F.concat(F.lit("{"), F.array_join(frags, ","), F.lit("}")).alias("diff"))
+    return spanned.select("inst_id", F.inline(output_counts(reference_counts)))
+
+
+def _sum(items: Column, value) -> Column:
+    return F.aggregate(F.transform(items, value), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)).cast("int"))
+
+
+def _n_of(counts: Column, key: Column) -> Column:
+    return _sum(F.filter(counts, lambda c: (c["slot"] == key["slot"]) & (c["value"] == key["value"])), lambda c: c["n"])
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body's lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def compared(df: DataFrame, gold: Column, out: Column, fix_type: str = "all",
+             reference_counts: bool = False) -> DataFrame:
+    """C4-C6 on the row: adds ``items`` = array<struct<slot, value, g, o, fixed, d>> (gold and
+    output count, repaired count, signed difference where it counts) and the row's totals
+    repeated, valerr, missing and added.  gold, out: array<struct<slot, value, n>>.
+
+    Occurrences beyond the gold count are repeats.  Of a slot that both sides name, surplus and
+    deficit that meet are value errors, what is left is added or missing; a slot that only
+    one side names is missing or added whole.  fix_type 'all' counts every kind; 'missing' ignores
+    additions and 'added' omissions: ignored kinds are neither counted nor changed (copied back from
+    gold).  With reference_counts ignored additions are raised instead of lowered (T15)."""
+    fix_missing, fix_added = (F.lit(fix_type == "all" or k in fix_type) for k in ("missing", "added"))
+
+    def kept(x):  # the output count without repeats
+        return F.when((x["g"] > 0) & (x["o"] > x["g"]), x["g"]).otherwise(x["o"])
+
+    def both_counts(c):
+        keys = F.array_distinct(F.concat(*(F.transform(c[side], lambda x: F.struct(
+            x["slot"].alias("slot"), x["value"].alias("value"))) for side in ("gold", "out"))))
+        return F.transform(keys, lambda k: F.struct(
+            k["slot"].alias("slot"), k["value"].alias("value"), _n_of(c["gold"], k).alias("g"), _n_of(c["out"], k).alias("o")))
+
+    def by_slot(items):
+        def one(slot):
+            return _let(F.filter(items, lambda x: x["slot"] == slot), lambda own: F.struct(
+                slot.alias("slot"), _sum(own, lambda x: x["g"]).alias("g"), _sum(own, lambda x: x["o"]).alias("o"),
+                _sum(own, lambda x: x["o"] - kept(x)).alias("rep"),
+                _sum(own, lambda x: F.when(fix_missing, F.greatest(x["g"] - kept(x), F.lit(0)))).alias("less"),
+                _sum(own, lambda x: F.when(fix_added, F.greatest(kept(x) - x["g"], F.lit(0)))).alias("more")))
+        return F.transform(F.array_distinct(F.transform(items, lambda x: x["slot"])), one)
+
+    def result(items, slots):
+        both = lambda s: (s["g"] > 0) & (s["o"] > 0)
+
+        def item(x):
+            named = lambda side: F.exists(slots, lambda s: (s["slot"] == x["slot"]) & (s[side] > 0))
+            change = kept(x) - x["g"]
+            counts = F.when(change < 0, fix_missing).when(change > 0, fix_added).otherwise(F.lit(True))
+            ignored = F.when((change > 0) & named("g") & F.lit(reference_counts), kept(x) + change).otherwise(x["g"])
+            return F.struct(x["slot"].alias("slot"), x["value"].alias("value"), x["g"].alias("g"), x["o"].alias("o"),
+                            F.when(counts, F.when(named("o"), kept(x)).otherwise(0)).otherwise(ignored).cast("int").alias("fixed"),
+                            F.when(counts, change).otherwise(0).cast("int").alias("d"))
+
+        return F.struct(
+            F.transform(items, item).alias("items"),
+            _sum(slots, lambda s: F.when(both(s), s["rep"])).alias("repeated"),
+            _sum(slots, lambda s: F.when(both(s), F.least(s["less"], s["more"]))).alias("valerr"),
+            _sum(slots, lambda s: F.when(both(s), F.greatest(s["less"] - s["more"], F.lit(0)))
+                 .when(s["g"] > 0, F.when(fix_missing, s["g"]))).alias("missing"),
+            _sum(slots, lambda s: F.when(both(s), F.greatest(s["more"] - s["less"], F.lit(0)))
+                 .when(s["o"] > 0, F.when(fix_added, s["o"]))).alias("added"))
+
+    whole = _let(F.struct(gold.alias("gold"), out.alias("out")), lambda c: _let(
+        both_counts(c), lambda items: _let(by_slot(items), lambda slots: result(items, slots))))
+    return df.withColumn("_compared", whole).select(*df.columns, "_compared.*")
+
+
+def diff_json(items: Column) -> Column:
+    """JSON {slot: {value: out - gold}}, keys sorted, zero entries and empty slots left out
+    (compact JSON, UTF-8)."""
+    def whole(changed):
+        def one(slot):
+            own = F.filter(changed, lambda x: x["slot"] == slot)
+            values = F.array_sort(F.transform(own, lambda x: F.struct(x["value"].alias("value"), x["d"].alias("d"))))
+            return F.concat(F.lit('"'), slot, F.lit('":'), F.to_json(F.map_from_entries(values)))
+        return F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform(changed, lambda x: x["slot"]))), one), ",")
+    return F.concat(F.lit("{"), _let(F.filter(items, lambda x: x["d"] != 0), whole), F.lit("}"))
 
 
 def instance_errors(pairs: DataFrame, fix_type: str = "all", reference_counts: bool = False,
-                    mr: str = "mr", ref: str = "ref") -> DataFrame:
-    """C4-C9 per row: inst_id, added, missing, valerr, repeated, mr_len, diff, fixed_mr, cls."""
-    spanned = with_spans(pairs.select("inst_id", mr, ref), mr, ref)
-    gold = M.mr_counts(pairs, mr)
-    out = reclassify_mr(spanned, reference_counts)
-    # three branches read the compared rows; keep one materialisation (the UDF runs once)
-    rows = slot_diff(gold, out, fix_type, reference_counts).persist(StorageLevel.MEMORY_AND_DISK)
-    totals = rows.groupBy("inst_id").agg(
-        *[F.sum(c).cast("int").alias(c) for c in ("added", "missing", "valerr", "repeated")],
-        F.sum("g").cast("int").alias("mr_len"))
-    fixed = M.mr_render(rows.filter(F.col("fixed") > 0).select("inst_id", "slot", "value", F.col("fixed").alias("n")))
-    base = pairs.select("inst_id", F.col(mr).alias("mr"), F.col(ref).alias("ref"))
-    res = (base.join(totals, "inst_id", "left").join(diff_json(rows), "inst_id", "left")
-           .join(fixed.withColumnRenamed("mr", "fixed_mr"), "inst_id", "left"))
-    a, m, v, r = (F.coalesce(F.col(c), F.lit(0)) for c in ("added", "missing", "valerr", "repeated"))
+                    mr: str = "mr", ref: str = "ref", keep: tuple = ()) -> DataFrame:
+    """C4-C9 per row: inst_id, columns to keep, mr, ref, added, missing, valerr, repeated, mr_len,
+    diff, fixed_mr, cls."""
+    spanned = with_spans(pairs.select("inst_id", *keep, F.col(mr).alias("mr"), F.col(ref).alias("ref")))
+    gold = M.counted(F.coalesce(M.mr_items(F.col("mr"), normalize=True), F.array().cast(M.ITEMS)))
+    rows = compared(spanned, gold, output_counts(reference_counts), fix_type, reference_counts)
+    fixed = F.transform(F.filter("items", lambda x: x["fixed"] > 0), lambda x: F.struct(
+        x["slot"].alias("slot"), x["value"].alias("value"), x["fixed"].alias("n")))
+    a, m, v, r = (F.col(c) for c in ("added", "missing", "valerr", "repeated"))
     cls = (F.when(((a > 0) & (m > 0)) | (v > 0), "M+A").when((a > 0) | (r > 0), "Add")
            .when(m > 0, "Mis").otherwise("OK"))
-    return res.select("inst_id", "mr", "ref", a.alias("added"), m.alias("missing"), v.alias("valerr"),
-                      r.alias("repeated"), F.coalesce("mr_len", F.lit(0)).alias("mr_len"),
-                      F.coalesce("diff", F.lit("{}")).alias("diff"),
-                      F.coalesce("fixed_mr", F.lit("")).alias("fixed_mr"), cls.alias("cls"))
+    return rows.select("inst_id", *keep, "mr", "ref", a, m, v, r, _sum(F.col("items"), lambda x: x["g"]).alias("mr_len"),
+                       diff_json(F.col("items")).alias("diff"), M.render_items(fixed).alias("fixed_mr"), cls.alias("cls"))
 
 
 def fixed_rows(errors: DataFrame) -> DataFrame:

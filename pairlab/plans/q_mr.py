@@ -132,9 +132,8 @@ out AS (SELECT inst_id, replace(replace(replace(replace(t, 'rating[', 'customer
 SELECT o.inst_id, o.mr_out, CAST(o.mr_out = m.mr AS INTEGER) AS same FROM out o JOIN mr_pairs m USING (inst_id)"""))
 def mr_render(spark, sf):
     m = _mr(spark, sf)
-    out = M.mr_render(M.mr_counts(m))
-    return out.join(m.select("inst_id", F.col("mr").alias("orig")), "inst_id").select(
-        "inst_id", F.col("mr").alias("mr_out"), (F.col("mr") == F.col("orig")).cast("int").alias("same"))
+    return m.select("inst_id", "mr", M.rendered(F.col("mr")).alias("mr_out")).select(
+        "inst_id", "mr_out", (F.col("mr_out") == F.col("mr")).cast("int").alias("same"))
 
 
 # ---------------------------------------------------------------- D1-D4

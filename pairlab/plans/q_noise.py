@@ -164,5 +164,4 @@ def slot_error_stats(spark, sf):
 
 @query("slot_error_by_file", _stats_sql("split"))
 def slot_error_by_file(spark, sf):
-    e = _errors(spark, sf).join(V.mr_pairs(spark, sf).select("inst_id", "split"), "inst_id")
-    return _stats_df(e, ("split",))
+    return _stats_df(_errors(spark, sf, keep=("split",)), ("split",))

@@ -119,18 +119,40 @@ def test_stale_count_trap():
     assert out2["ref_counts"] == [{"slot": "eat_type", "value": "pub", "n": 1}]
 
 
+def _counts(*items):
+    return F.array(*[F.struct(F.lit(a).alias("slot"), F.lit(b).alias("value"), F.lit(n).alias("n")) for a, b, n in items])
+
+
 def test_partial_fix_types(spark):
-    gold = spark.createDataFrame([(1, "area", "city centre", 1), (1, "food", "French", 1)],
-                                 "inst_id long, slot string, value string, n int")
-    out = spark.createDataFrame([(1, "area", "riverside", 1), (1, "eat_type", "pub", 1)],
-                                "inst_id long, slot string, value string, n int")
-    tot = lambda d: d.agg(*[F.sum(c).alias(c) for c in ("added", "missing", "valerr", "repeated")]).collect()[0]
-    a = tot(N.slot_diff(gold, out, "all"))
-    assert (a.added, a.missing, a.valerr) == (1, 1, 1)
-    m = tot(N.slot_diff(gold, out, "missing"))
-    assert (m.added, m.missing, m.valerr) == (0, 2, 0)
-    d = tot(N.slot_diff(gold, out, "added"))
-    assert (d.added, d.missing, d.valerr) == (2, 0, 0)
+    gold = _counts(("area", "city centre", 1), ("food", "French", 1))
+    out = _counts(("area", "riverside", 1), ("eat_type", "pub", 1))
+    one = spark.range(1)
+    for kind, want in (("all", (1, 1, 1)), ("missing", (0, 2, 0)), ("added", (2, 0, 0))):
+        r = N.compared(one, gold, out, kind).first()
+        assert (r.added, r.missing, r.valerr, r.repeated) == (*want, 0)
+        fixed = {(x["slot"], x["value"]): x["fixed"] for x in r["items"]}
+        assert fixed == {("area", "city centre"): int(kind == "added"), ("food", "French"): int(kind == "added"),
+                         ("area", "riverside"): int(kind != "missing"), ("eat_type", "pub"): int(kind != "missing")}
+
+
+def test_repeats_and_ignored_additions(spark):
+    gold, out = _counts(("area", "riverside", 1)), _counts(("area", "riverside", 3), ("area", "city centre", 1))
+    r = spark.range(1)
+    a = N.compared(r, gold, out).first()
+    assert (a.repeated, a.added, a.missing, a.valerr) == (2, 1, 0, 0)
+    assert {x["value"]: (x["fixed"], x["d"]) for x in a["items"]} == {"riverside": (1, 0), "city centre": (1, 1)}
+    kept = N.compared(r, gold, out, "missing").first()
+    raised = N.compared(r, gold, out, "missing", reference_counts=True).first()
+    assert [x["fixed"] for x in kept["items"]] == [1, 0] and [x["fixed"] for x in raised["items"]] == [1, 2]
+
+
+def test_spans_inside_and_equal_spans():
+    rows = lambda s, g: [(k["slot"], k["value"]) for k in N.find_spans(s, g)["kept"]]
+    hits = [("a", "x", 0, 5), ("b", "y", 2, 5), ("c", "z", 0, 5), ("d", "w", 5, 6), ("e", "v", 4, 7)]
+    assert N._standing(hits, set()) == [hits[0], hits[4]]
+    assert N._standing(hits, {("c", "z")}) == [hits[2], hits[4]]
+    assert N._standing(hits, {("a", "x"), ("c", "z")}) == [hits[4]]
+    assert rows("", []) == []
 
 
 def test_mr_round_trip(spark):
