@@ -2,9 +2,9 @@
 
 The reference loads a pretrained subword vocabulary; here the vocabulary is built
 from the corpus (pad 0, end 1, unknown 2, then by frequency), and numbering uses the
-range-partitioned ranking of ``runs.rank_within`` so no single task orders it.  The
-vocabulary joins the exploded tokens by broadcast only after its row count is checked
-against a bound; beyond the bound the join is a shuffle join.
+range-partitioned ranking of ``runs.rank_within`` so no single task orders it.  How the
+vocabulary joins the exploded tokens is left to Spark; only the tokens that are kept are
+exploded.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pairlab.operators.mr import PREFIX
 from pairlab.operators.runs import rank_within
 
 PAD, END, UNK = 0, 1, 2
-BROADCAST_ROWS = 2_000_000
 
 
 def tokens(col: Column, special_prefix: bool = False) -> Column:
@@ -37,21 +36,16 @@ def build_vocab(texts: DataFrame, col: str = "text") -> DataFrame:
     return ranked.select("token", "cnt", (F.col("rank") + UNK).cast("int").alias("id"))
 
 
-def _vocab_side(vocab: DataFrame) -> DataFrame:
-    v = vocab.select("token", "id")
-    n = v.count()  # the size check that licenses a broadcast
-    return F.broadcast(v) if n <= BROADCAST_ROWS else v
-
-
 def encode_fixed(df: DataFrame, vocab: DataFrame, col: str, max_len: int = 60, key: str = "inst_id",
                  prefix: bool = False, special_prefix: bool = False) -> DataFrame:
     """Ids truncated to max_len - 1, the end id appended, padded with 0 to max_len;
     the attention mask marks the real positions.  -> key, ids, mask."""
     text = F.concat(F.lit(PREFIX), F.coalesce(F.col(col).cast("string"), F.lit("None"))) if prefix else F.col(col)
-    ex = df.select(key, F.posexplode(tokens(text, special_prefix)).alias("pos", "token"))
-    j = ex.join(_vocab_side(vocab), "token", "left").select(key, "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
+    kept = F.slice(tokens(text, special_prefix), 1, max_len - 1)
+    ex = df.select(key, F.posexplode_outer(kept).alias("pos", "token"))
+    j = ex.join(vocab.select("token", "id"), "token", "left").select(key, "pos", F.when(F.col("pos").isNotNull(), F.coalesce("id", F.lit(UNK))).alias("id"))
     per = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
-    ids = F.transform(F.slice(F.col("_p"), 1, max_len - 1), lambda s: s["id"])
+    ids = F.transform(F.filter("_p", lambda s: s["pos"].isNotNull()), lambda s: s["id"])
     real = F.concat(ids, F.array(F.lit(END)))
     pad = F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size(real))
     mask = F.concat(F.array_repeat(F.lit(1), F.size(real)), F.array_repeat(F.lit(0), F.lit(max_len) - F.size(real)))

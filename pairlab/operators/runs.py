@@ -10,7 +10,6 @@ salt, so each stage's window holds at most salts x k rows per group.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +29,7 @@ def rank_within(df: DataFrame, group: str, order: list[Column], parts: int | Non
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = (df.repartitionByRange(n, F.col(group), *order).sortWithinPartitions(F.col(group), *order)
          .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-         .persist(StorageLevel.MEMORY_AND_DISK))
+         .checkpoint())
     per = s.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     w = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))

@@ -240,10 +240,10 @@ def perl_bleu_cols(max_n: int, smoothed: bool = True) -> list:
             score = score + iscore
             cols += [F.exp(iscore).alias(f"bleu_ind_{n}"), (F.exp(score / n) * len_score).alias(f"bleu_cum_{n}")]
     else:
-        len_score = F.least(F.lit(0.0), 1 - F.col("ref_length") / t1)
+        len_score = F.least(F.lit(0.0), 1 - F.try_divide(F.col("ref_length").cast("double"), t1))
         for n in range(1, max_n + 1):
             m, t = F.col(f"match_{n}").cast("double"), F.col(f"tst_count_{n}").cast("double")
-            iscore = F.log(m / t)
+            iscore = F.log(F.try_divide(m, t))
             score = F.when(m == 0, score).otherwise(score + iscore)
             cols += [F.when(m == 0, F.lit(None).cast("double")).otherwise(F.exp(iscore)).alias(f"bleu_ind_{n}"),
                      F.when(m == 0, F.lit(0.0)).otherwise(F.exp(score / n + len_score)).alias(f"bleu_cum_{n}")]
@@ -253,7 +253,8 @@ def perl_bleu_cols(max_n: int, smoothed: bool = True) -> list:
 def perl_nist_cols(max_n: int) -> list:
     """individual and cumulative NIST per n; denominators floored at 1; the length
     ratio uses the mean number of references per segment."""
-    ratio = F.col("tst_count_1") / (F.col("ref_count_1") / (F.col("nrefs_sum") / F.col("nsegs")))
+    refs = F.col("ref_count_1") / (F.col("nrefs_sum") / F.col("nsegs"))
+    ratio = F.try_divide(F.col("tst_count_1").cast("double"), refs)  # null score where the references are empty
     pen = nist_penalty(ratio)
     cols, score = [], F.lit(0.0)
     for n in range(1, max_n + 1):

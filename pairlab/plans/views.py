@@ -1,8 +1,8 @@
 """Fixture views over the driver tables (Spark side).
 
 Each view is plain projections and integer arithmetic over one table, so the same
-definition exists as DuckDB SQL in ``plans/sqlviews.py``.  Nothing here shuffles:
-every view is a narrow, row-local projection of its base table.
+definition exists as DuckDB SQL in ``plans/sqlviews.py``.  A base
+table is dealt by its key once; after that every view is a row-local projection.
 
 ``seg_pairs`` uses whole document texts (no prefix of the text is taken): reference 0
 is the text, reference 1 drops every fifth piece (shifted by the id), reference 2
@@ -23,21 +23,14 @@ from pairlab.sources.tables import table
 # ---------------------------------------------------------------------------
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small-file scan at least one partition per core.
-
-    Text rows are expensive per row (regex tokenising, n-grams), so a table stored
-    as one small file must not be processed by one task.  Large inputs already scan
-    into many splits and are left as they are (no shuffle)."""
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows by their instance before the expensive work per row (tokenising, n-grams), at
+    every size: files may hold a few rows or a few million, tasks get even shares."""
+    return df.repartition(key)
 
 
 def _pieces(df: DataFrame) -> DataFrame:
-    df = spread(df.select("doc_id", "text"))
+    df = spread(df.select("doc_id", "text"), "doc_id")
     return df.select(F.col("doc_id").alias("inst_id"),
                      F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn(
         "t", F.split(F.col("text"), " ", -1))
@@ -127,7 +120,7 @@ def mr_pairs_columns(k: Column) -> dict:
 def mr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     cols = mr_pairs_columns(k)
-    return spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select(
         k.cast("long").alias("inst_id"), *[v.alias(n) for n, v in cols.items()])
 
 

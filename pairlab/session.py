@@ -16,12 +16,14 @@ from pyspark.sql import SparkSession
 
 def build_session(master: str | None = None, app: str = "pairlab",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+    """A session; master and shuffle partitions are only set for local runs, a submit command
+    brings its own."""
     cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or int(cpus) * 2
-    b = (SparkSession.builder.master(master).appName(app)
-         .config("spark.ui.enabled", "false")
-         .config("spark.sql.shuffle.partitions", str(parts))
+    b = SparkSession.builder.appName(app)
+    if master or "PYSPARK_GATEWAY_PORT" not in os.environ:
+        b = (b.master(master or f"local[{cpus}]")
+             .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 2)))
+    b = (b.config("spark.ui.enabled", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -46,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="pairlab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
         spark.sparkContext.setCheckpointDir(d)

@@ -7,6 +7,9 @@ text file come from the range-partitioned ranking (no single-partition window).
 
 from __future__ import annotations
 
+import csv
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +27,10 @@ REPAIRS = [("Ł", "£"), ("Â£", "£"), ("Ã©", "é"), ("ã©", "é")]
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """A1: one instance per line, trimmed -> (file, inst_id, line), inst_id 0-based per file."""
     t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"),
-                                     F.monotonically_increasing_id().alias("_m"), F.trim("value").alias("line"))
-    r = rank_within(t, "file", [F.col("_m")])
+                                     F.col("_metadata.file_block_start").alias("_b"),
+                                     F.monotonically_increasing_id().alias("_m"),
+                                     F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
+    r = rank_within(t, "file", [F.col("_b"), F.col("_m")])
     return r.select("file", (F.col("rank") - 1).alias("inst_id"), "line")
 
 
@@ -33,33 +38,40 @@ def read_multi_ref(spark: SparkSession, path: str) -> DataFrame:
     """A2: blank lines separate instances -> (file, inst_id, ref_no, ref).  A run of blank
     lines makes empty instances; a trailing blank group is dropped; a file holding a
     single group is read as single-reference (one instance per line)."""
-    lines = read_lines(spark, path)
-    w = Window.partitionBy("file").orderBy("inst_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = lines.withColumn("blank", (F.col("line") == "").cast("int")).withColumn("grp", F.sum("blank").over(w))
-    groups = g.groupBy("file").agg(F.max("grp").alias("ngroups"), F.max("inst_id").alias("last"))
-    refs = g.filter(F.col("blank") == 0).join(groups, "file")
-    single = refs.filter(F.col("ngroups") == 0).select("file", F.col("inst_id"), F.lit(0).alias("ref_no"),
-                                                       F.col("line").alias("ref"))
-    w2 = Window.partitionBy("file", "grp").orderBy("inst_id")
-    multi = refs.filter(F.col("ngroups") > 0).select(
-        "file", F.col("grp").cast("long").alias("inst_id"),
-        (F.row_number().over(w2) - 1).alias("ref_no"), F.col("line").alias("ref"))
-    return single.unionByName(multi)
+    # a text's rank among the non-blank lines gives the blank lines before it, so no window has
+    # to hold a whole file
+    texts = rank_within(read_lines(spark, path).where("line <> ''"), "file", [F.col("inst_id")])
+    texts = texts.withColumn("grp", F.col("inst_id") - F.col("rank") + 1)
+    groups = texts.groupBy("file", "grp").agg(F.min("rank").alias("first"))
+    last = texts.groupBy("file").agg(F.max("grp").alias("last"))
+    single = F.col("last") == 0
+    return (texts.join(groups, ["file", "grp"]).join(last, "file")
+            .select("file", F.when(single, F.col("inst_id")).otherwise(F.col("grp")).alias("inst_id"),
+                    F.when(single, F.lit(0)).otherwise(F.col("rank") - F.col("first")).cast("int").alias("ref_no"),
+                    F.col("line").alias("ref")))
 
 
 def read_pairs_csv(spark: SparkSession, path: str, header_src: str = HEADER_SRC,
                    header_sys: str = HEADER_SYS) -> DataFrame:
-    """A3: CSV/TSV with a guessed header -> (src, sys); tab when the header line has one."""
-    first = spark.read.text(path).limit(1).collect()[0][0]  # the header line only
+    """A3: CSV/TSV with a guessed header -> (src, sys); tab when the first line has one.  The header
+    names one source and one output column, or the file has two columns and no header.  A row
+    with another number of fields is an error that shows the row."""
+    first = spark.read.text(path).limit(1).collect()[0][0].replace("\ufeff", "")  # the first line only
     sep = "\t" if "\t" in first else ","
-    df = spark.read.csv(path, header=True, sep=sep, multiLine=False, mode="PERMISSIVE")
-    df = df.toDF(*[c.replace("﻿", "") for c in df.columns])
-    import re
-    src = [c for c in df.columns if re.match(header_src, c)]
-    sys = [c for c in df.columns if re.match(header_sys, c) and c not in src]
-    if len(src) > 1 or len(sys) != 1:
-        raise ValueError(f"cannot tell the source and output columns apart: {df.columns}")
-    out = df.select((F.col(src[0]) if src else F.lit("")).alias("src"), F.col(sys[0]).alias("sys"))
+    names = next(csv.reader([first], delimiter=sep))
+    src = [i for i, c in enumerate(names) if re.match(header_src, c)]
+    sys = [i for i, c in enumerate(names) if re.match(header_sys, c) and i not in src]
+    headed = bool(src or sys)
+    if not headed and len(names) == 2:
+        src, sys = [0], [1]
+    if len(src) != 1 or len(sys) != 1:
+        raise ValueError(f"cannot tell the source and output columns apart: {names}")
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    df = spark.read.csv(path, schema=schema, header=headed, sep=sep, mode="FAILFAST", enforceSchema=True)
+    df = df.where(F.lit(True))
+    # all columns are parsed, or rows with too few fields would pass
+    checked = F.when(F.size(F.array(*df.columns)) > 0, F.col(f"c{src[0]}"))
+    out = df.select(checked.alias("src"), F.col(f"c{sys[0]}").alias("sys"))
     for a, b in REPAIRS:
         out = out.select(*[F.replace(F.col(c), F.lit(a), F.lit(b)).alias(c) for c in out.columns])
     return out
@@ -134,7 +146,8 @@ def write_text_outputs(df: DataFrame, path: str, col: str, order: str = "inst_id
 
 def write_scores_tsv(df: DataFrame, path: str, score_cols: list) -> None:
     """Tab-separated with header, scores rounded to 4 decimals."""
-    out = df.select(*[F.format_number(F.col(c), 4).alias(c) if c in score_cols else F.col(c) for c in df.columns])
+    out = df.select(*[F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c).cast("double"))).alias(c)
+                      if c in score_cols else F.col(c) for c in df.columns])
     out.write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
