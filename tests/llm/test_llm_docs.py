@@ -308,9 +308,9 @@ def test_toxicity(spark, empty):
 
 def test_toxicity_features():
     names = toxicity.FEATURES
-    f = dict(zip(names, toxicity.features("You are an IDIOT, an id1ot!!", {"idio-": 2.0})))
+    f = dict(zip(names, toxicity.features("You are an IDIOT, an id1ot!!", toxicity.Matcher({"idio-": 2.0}))))
     assert len(f) == len(names) and f["listed"] > 0 and f["near_you"] > 0 and f["disguised_listed"] > 0 and f["shouted"] > 0
-    assert all(math.isfinite(x) for x in toxicity.features("", {}))
+    assert all(math.isfinite(x) for x in toxicity.features("", toxicity.Matcher({})))
 
 
 def test_lm_base_and_scores(spark, docs, rows, empty):

@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from pairlab.llm import bpe, chatformat, mixing, queries, secretscan, vecgraph
-from tests.llm.test_llm_docs import brute_groups, brute_quality, corpus, frame, oracle_rows
+from test_llm_docs import brute_groups, brute_quality, corpus, frame, oracle_rows
 
 
 def brute_links(vectors, least=0.9):

@@ -6,7 +6,7 @@ import numpy as np
 
 from pairlab.llm import spandedup
 from pairlab.llm.common import word_hashes
-from tests.llm.test_llm_docs import LOW, WORD, corpus, frame
+from test_llm_docs import LOW, WORD, corpus, frame
 
 
 def ends(word):
