@@ -231,12 +231,12 @@ def perl_bleu_cols(max_n: int, smoothed: bool = True) -> list:
     score = F.lit(0.0)
     smooth = F.lit(1.0)
     if smoothed:
-        len_score = F.when(t1 > 0, F.exp(F.least(F.lit(0.0), 1 - F.col("ref_length") / t1))).otherwise(0.0)
+        len_score = F.when(t1 > 0, F.exp(F.least(F.lit(0.0), 1 - F.try_divide(F.col("ref_length").cast("double"), t1)))).otherwise(0.0)
         for n in range(1, max_n + 1):
             m, t = F.col(f"match_{n}").cast("double"), F.col(f"tst_count_{n}").cast("double")
             zero_m = (t > 0) & (m == 0)
             smooth = F.when(zero_m, smooth * 2).otherwise(smooth)
-            iscore = F.when(t == 0, F.lit(0.0)).when(m == 0, F.log(1.0 / (smooth * t))).otherwise(F.log(m / t))
+            iscore = F.when(t == 0, F.lit(0.0)).when(m == 0, F.log(F.try_divide(F.lit(1.0), smooth * t))).otherwise(F.log(F.try_divide(m, t)))
             score = score + iscore
             cols += [F.exp(iscore).alias(f"bleu_ind_{n}"), (F.exp(score / n) * len_score).alias(f"bleu_cum_{n}")]
     else:
@@ -253,7 +253,7 @@ def perl_bleu_cols(max_n: int, smoothed: bool = True) -> list:
 def perl_nist_cols(max_n: int) -> list:
     """individual and cumulative NIST per n; denominators floored at 1; the length
     ratio uses the mean number of references per segment."""
-    refs = F.col("ref_count_1") / (F.col("nrefs_sum") / F.col("nsegs"))
+    refs = F.try_divide(F.col("ref_count_1").cast("double"), F.try_divide(F.col("nrefs_sum").cast("double"), F.col("nsegs")))
     ratio = F.try_divide(F.col("tst_count_1").cast("double"), refs)  # null score where the references are empty
     pen = nist_penalty(ratio)
     cols, score = [], F.lit(0.0)
