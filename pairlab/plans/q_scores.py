@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pairlab.functions import text as T
@@ -225,7 +227,8 @@ def _perl_sql(max_n: int = 9) -> str:
     base = with_views("seg") + ",\n" + Q.tok_ctes("perl") + "," + Q.gram_ctes(max_n)
     cols = ", ".join(f"sum(CASE WHEN n = {n} THEN {c} END) AS {c}_{n}" for n in range(1, max_n + 1)
                      for c in ("match", "tst_count", "ref_count", "tst_info"))
-    return base + f""",
+    # every step once: the selects on top of them read the same sums up to nine times
+    return _materialized(base + f""",
 tot AS (SELECT n, gram, sum(cnt) AS tot FROM rc GROUP BY n, gram),
 words AS (SELECT sum(tot) AS words FROM tot WHERE n = 1),
 info AS (SELECT t.n, t.gram, log2(CASE WHEN t.n = 1 THEN (SELECT words FROM words) ELSE p.tot END / t.tot) AS info
@@ -239,7 +242,11 @@ pst AS (SELECT h.inst_id, h.n, h.hits AS match, greatest(l.slen - h.n + 1, 0) AS
                coalesce(ti.tst_info, 0) AS tst_info, coalesce(l.rlen_closest_nz, 0) AS ref_length, l.nrefs_nz AS nrefs
         FROM hits h JOIN lens l USING (inst_id) JOIN rcnt rc2 USING (inst_id, n) LEFT JOIN ti USING (inst_id, n)),
 pw AS (SELECT {cols}, sum(CASE WHEN n = 1 THEN ref_length END) AS ref_length,
-              sum(CASE WHEN n = 1 THEN nrefs END) AS nrefs_sum, sum(CASE WHEN n = 1 THEN 1 END) AS nsegs FROM pst)"""
+              sum(CASE WHEN n = 1 THEN nrefs END) AS nrefs_sum, sum(CASE WHEN n = 1 THEN 1 END) AS nsegs FROM pst)""")
+
+
+def _materialized(sql: str) -> str:
+    return re.sub(r"((?:^|,|WITH)\s*\w+) AS \((?=\s*SELECT)", r"\1 AS MATERIALIZED (", sql)
 
 
 def _perl_report_sql(max_n: int = 9) -> str:
