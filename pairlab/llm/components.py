@@ -2,9 +2,9 @@
 
 Each round turns every node's neighbourhood into a star around its smallest member, first for
 larger neighbours, then for smaller ones; edges never grow in number and the rounds are
-logarithmic in the longest path.  Minima are aggregated before the shuffle, and the edges of
-a hub meet its minimum in an ordinary join, whose large partitions Spark may split.  Each round
-is cut with checkpoint().
+logarithmic in the longest path.  Minima are aggregated before the shuffle and cut off with
+checkpoint(), so that the join of a hub's edges with its minimum deals both sides out anew and
+Spark may split the hub's partition.
 
 Edge cases: null ends and self-loops are no edges; repeated edges count once; no edges give no
 rows.  Every node of an edge comes out once, with the smallest node it can reach.
@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = edges.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
     moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 

@@ -10,14 +10,14 @@ smallest id; only classes are compared.
    are checked against it.  Rows stay linear in the input.
 2. Components of these links; inside a bucket only classes of different components still matter.
 3. The rest, exactly: in every bucket with several components, classes outside the elected one's
-   component meet all classes of other components.  The join's own condition compares sketches
-   of four bits a minimum, sizes, and whether an earlier band has the pair already, so only
-   likely pairs leave it, once each.
+   component meet all classes of other components.  The join's own condition compares sizes, one
+   bit of each of ``FINE`` further minima, and whether an earlier band has the pair already, so
+   only likely pairs leave it, once each.
 4. Every pair of 1 and 3 is confirmed on the full sets (integers, no rounding).
 5. Components by alternating large-star and small-star.
 
 A pair at the limit is missed with a probability of (1 - 0.85^6)^32 < 3e-7 by the bands and
-about 2e-5 by the sketch.  Comparisons in step 3 grow with the square of a family whose members
+about 2e-5 by each sketch.  Comparisons in step 3 grow with the square of a family whose members
 are all alike but stay below the limit; nothing is capped there.
 
 Edge cases: null and empty texts and texts without words have empty sets and link with nothing;
@@ -48,7 +48,12 @@ SEED = 20240229
 SHARES = np.random.default_rng(SEED)
 MULTIPLY = SHARES.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = SHARES.integers(0, 2**63, HASHES, dtype=np.uint64)
-#: Standard deviations of the sketch's estimate that a pair may fall short of the limit.
+#: Further minima, one bit of each kept, of classes that share a crowded bucket.
+FINE = 2048
+FINE_LONGS = FINE // 64
+FINE_MULTIPLY = SHARES.integers(0, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FINE_ADD = SHARES.integers(0, 2**63, FINE, dtype=np.uint64)
+#: Standard deviations of a sketch's estimate that a pair may fall short of the limit.
 MARGIN = 4.2
 
 
@@ -75,14 +80,15 @@ def _doc_sets(data: np.ndarray, off: np.ndarray, k: int):
             yield w
 
 
-def minima(x: np.ndarray) -> np.ndarray:
+def minima(x: np.ndarray, multiply: np.ndarray = MULTIPLY, add: np.ndarray = ADD) -> np.ndarray:
     """The least value of every hash over a non-empty set (upper 32 bits)."""
-    best, buf = None, np.empty((min(len(x), 256), HASHES), np.uint64)
-    for lo in range(0, len(x), 256):
-        part = x[lo:lo + 256]
+    step = max(1, (1 << 16) // len(multiply))
+    best, buf = None, np.empty((min(len(x), step), len(multiply)), np.uint64)
+    for lo in range(0, len(x), step):
+        part = x[lo:lo + step]
         out = buf[:len(part)]
-        np.multiply(part[:, None], MULTIPLY, out=out)
-        np.add(out, ADD, out=out)
+        np.multiply(part[:, None], multiply, out=out)
+        np.add(out, add, out=out)
         low = out.min(axis=0)
         best = low if best is None else np.minimum(best, low)
     return best >> np.uint64(32)
@@ -104,7 +110,16 @@ def _sketch(m: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=1).view(np.int64)
 
 
+_BIT = np.arange(64, dtype=np.uint64)
+
+
+def _fine_sketch(x: np.ndarray) -> np.ndarray:
+    bits = (mix(minima(x, FINE_MULTIPLY, FINE_ADD)) & np.uint64(1)).reshape(FINE_LONGS, 64) << _BIT
+    return np.bitwise_or.reduce(bits, axis=1).view(np.int64)
+
+
 SKETCH = [f"s{i}" for i in range(LONGS)]
+FINE_SKETCH = [f"w{i}" for i in range(FINE_LONGS)]
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -136,7 +151,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
 
 
 def full_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, shingles array<long>) of rows (id, text, digest) whose set has that digest."""
+    """(id, shingles array<long>, fine sketch longs) of rows (id, text, digest) whose set has
+    that digest."""
+    names = ["id", "shingles", *FINE_SKETCH]
 
     def run(batches):
         for batch in batches:
@@ -148,11 +165,13 @@ def full_sets(texts: DataFrame, shingle: int) -> DataFrame:
                 kept = [x for x, g in zip(sets, good) if g]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
                 flat = np.concatenate(kept).view(np.int64) if kept else np.empty(0, np.int64)
+                fine = np.array([_fine_sketch(x) for x in kept], np.int64).reshape(-1, FINE_LONGS)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo).filter(pa.array(good)),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "shingles"])
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                     *(pa.array(np.ascontiguousarray(fine[:, j])) for j in range(FINE_LONGS))], names)
 
-    return texts.mapInArrow(run, "id long, shingles array<long>")
+    return texts.mapInArrow(run, "id long, shingles array<long>, " + ", ".join(f"{c} long" for c in FINE_SKETCH))
 
 
 def _agreeing(left: str, right: str) -> str:
@@ -176,6 +195,15 @@ def _likely(left: str, right: str, percent: int) -> Column:
     return F.expr(f"{sizes} AND {_agreeing(left, right)} >= {_least_agreeing(percent)}")
 
 
+def _likely_fine(left: str, right: str, percent: int) -> Column:
+    """The same by the fine sketches."""
+    p = 0.5 + percent / 200
+    least = int(FINE * p - MARGIN * (FINE * p * (1 - p)) ** 0.5)
+    differing = " + ".join(f"bit_count({left}{c} ^ {right}{c})" for c in FINE_SKETCH)
+    return F.expr(f"100 * least({left}n, {right}n) >= {percent} * greatest({left}n, {right}n) "
+                  f"AND {FINE} - ({differing}) >= {least}")
+
+
 def _named(rows: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
     return rows.select([F.col(c).alias(prefix + c) for c in columns])
 
@@ -199,7 +227,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     own = (rows.where("id is not null").groupBy("id").agg(F.max(F.struct("n", "digest")).alias("x"))
            .select("id", "x.n", "x.digest"))
-    classes = own.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
+    # written, so that joins deal it out anew and Spark may split the partition of a hot class
+    own.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")).write.parquet(f"{path}/classes")
+    classes = spark.read.parquet(f"{path}/classes")
     rows.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"]).dropDuplicates(
         ["id", "digest"]).write.parquet(f"{path}/reps")
     reps = spark.read.parquet(f"{path}/reps")
@@ -220,7 +250,7 @@ def _links(docs: DataFrame, reps: DataFrame, path: str, id_col: str, text_col: s
     """Links (a, b) between classes that join all classes which a chain of links can join."""
     spark = docs.sparkSession
     entries = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    crowded = entries.groupBy("key").agg(F.count("id").alias("members")).where("members > 1")
+    crowded = entries.groupBy("key").agg(F.count("id").alias("members")).where("members > 1").checkpoint()
     entries = entries.join(crowded, "key")
     weight = entries.groupBy("id").agg(F.sum("members").alias("weight"))
     entries.join(weight, "id").select("key", "band", "id", "weight").write.parquet(f"{path}/entries")
@@ -233,7 +263,7 @@ def _links(docs: DataFrame, reps: DataFrame, path: str, id_col: str, text_col: s
     sets = spark.read.parquet(f"{path}/sets")
 
     hubs = entries.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("x"))
-    hubs = hubs.select("key", (-F.col("x.minus")).alias("hub"))
+    hubs = hubs.select("key", (-F.col("x.minus")).alias("hub")).checkpoint()
     stars = (entries.join(hubs, "key").where("id <> hub")
              .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
     sketched = ["id", "n", *SKETCH]
@@ -249,16 +279,16 @@ def _links(docs: DataFrame, reps: DataFrame, path: str, id_col: str, text_col: s
     open_ = (entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
                                         F.max(F.struct("rank", "component")).alias("x"))
              .where("low <> high").select("key", F.col("x.component").alias("main")))
-    rest = (entries.join(open_, "key").join(reps.select("bands", *sketched), "id")
-            .select("key", "band", "component", "main", "bands", *sketched))
+    columns = ["key", "band", "component", "main", "bands", "id", "n", *FINE_SKETCH]
+    rest = (entries.join(open_.checkpoint(), "key").join(reps.select("id", "n", "bands"), "id")
+            .join(sets.select("id", *FINE_SKETCH), "id").select(columns))
     rest.write.parquet(f"{path}/rest")
     rest = spark.read.parquet(f"{path}/rest")
-    columns = ["key", "band", "component", "main", "bands", *sketched]
     left = _named(rest.where("component <> main"), "l_", columns)
     right = _named(rest, "r_", columns)
     once = F.expr("NOT arrays_overlap(slice(l_bands, 1, l_band), slice(r_bands, 1, l_band))")
     other = F.expr("l_component <> r_component AND (r_component = r_main OR l_id < r_id)")
-    pairs = left.join(right, (F.col("l_key") == F.col("r_key")) & other & _likely("l_", "r_", percent) & once)
+    pairs = left.join(right, (F.col("l_key") == F.col("r_key")) & other & _likely_fine("l_", "r_", percent) & once)
     pairs = pairs.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"))
     return near.union(_confirm(pairs, sets, percent))
 
