@@ -1,7 +1,8 @@
 """Quality rules: base rules, then a hashed n-gram log-likelihood ratio.
 
 Word unigrams and bigrams (A-Z lower-cased) are hashed to ``BUCKETS`` buckets.  Their counts
-over the whole corpus and over all trusted documents (label ``quality`` = 1) give two smoothed
+over the whole corpus and over the trusted documents (label ``quality`` = 1; at most
+``MAX_TRUSTED``, whose ids are broadcast, so that no text is shuffled) give two smoothed
 multinomials; a document's score is the mean over its n-grams of the log ratio trusted / raw.
 A document is kept when no base rule fails and its score is at least ``MIN_RATIO``: a fixed
 threshold, so that equal texts always get equal verdicts.
@@ -35,6 +36,9 @@ BUCKETS = 1 << 16
 SMOOTHING = 10.0
 #: Mean log ratio per n-gram from which a text counts as like the trusted ones.
 MIN_RATIO = -0.12
+#: Trusted documents that the target multinomial is fitted on, chosen by a hash of their ids
+#: (the raw one counts the whole corpus).
+MAX_TRUSTED = 100_000
 #: Fixed limits of the base rules.
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 _SYMBOL = np.zeros(256, bool)
@@ -52,15 +56,18 @@ def _ngrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([h, two]) >> np.uint64(48)).astype(np.int64), np.concatenate([row, row[1:][pair]])
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return (labels.select(F.col(id_col).alias("_trusted_id"), F.col("quality").cast("int").alias("q"))
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id", max_rows: int = MAX_TRUSTED) -> DataFrame:
+    rows = (labels.select(F.col(id_col).alias("_trusted_id"), F.col("quality").cast("int").alias("q"))
             .where("_trusted_id is not null").groupBy("_trusted_id").agg(F.max("q").alias("q"))
             .where("q = 1").select("_trusted_id"))
+    key = F.md5(F.col("_trusted_id").cast("string").cast("binary"))
+    return rows.orderBy(key, "_trusted_id").limit(max_rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """The log ratio of every bucket, from all texts of both tables."""
-    ids = trusted_ids(labels, id_col)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+        max_rows: int = MAX_TRUSTED) -> np.ndarray:
+    """The log ratio of every bucket, from all documents and the trusted among them."""
+    ids = F.broadcast(trusted_ids(labels, id_col, max_rows))
     src = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     src = src.join(ids, src["i"] == ids["_trusted_id"], "left").select(
         "t", F.col("_trusted_id").isNotNull().alias("trusted"))
