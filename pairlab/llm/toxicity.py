@@ -53,40 +53,68 @@ YOU = frozenset("you your yours yourself u ur du dich dir dein deine tu te toi t
 NEAR = 5
 _WORD = re.compile(r"\w+")
 _DISGUISED = re.compile(r"[^\W\d_]+(?:[0-9@$!*#.\-]+[^\W\d_]+)+")
-_DRAWN = re.compile(r"([^\W\d_])\1\1")
+_SHOUTED = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-Þ]{2,}(?!\w)")
 _UNDO = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i",
                        "*": None, "#": None, ".": None, "-": None})
-_PUNCTUATION, _SYMBOLS = frozenset("!?.,;:"), "#$%&*|<>@"
+
+
+def _bytes(chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars.encode())] = True
+    return out
+
+
+_LETTER = _bytes("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") | (np.arange(256) >= 128)
+_DISGUISE = _bytes("0123456789@$!*#.-")
+_COUNTED = [_bytes(x) for x in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "!?.,;:", "#$%&*|<>@", "0123456789", "!")]
 FEATURES = ("log_words", "listed", "listed_log", "learned", "learned_log", "learned_weight", "learned_kinds",
             "you", "near_you", "capitals", "shouted", "exclaimed", "punctuation", "symbols", "digits", "drawn",
             "disguised", "disguised_listed", "log_chars")
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
+class Matcher:
+    """Which lexicon entry each word meets (its own, or that of its longest known beginning)."""
+
+    LIMIT = 500_000
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon, self.known = lexicon, {}
+
+    def __call__(self, word: str) -> str | None:
+        if word in self.known:
+            return self.known[word]
+        if len(self.known) > self.LIMIT:
+            self.known.clear()
+        keys = (word, *(word[:k] + "-" for k in reversed(STEMS) if len(word) >= k))
+        got = self.known[word] = next((k for k in keys if k in self.lexicon), None)
+        return got
+
+
+def features(text: str, match: Matcher) -> list[float]:
     low = text.lower()
     ws = _WORD.findall(low)
-    n, chars = max(1, len(ws)), max(1, len(text))
-    listed = [i for i, w in enumerate(ws) if w in INSULTS]
-    hits, weight, kinds = [], 0.0, set()
-    if lexicon:
-        for i, w in enumerate(ws):
-            for key in (w, *(w[:k] + "-" for k in STEMS)):
-                if key in lexicon:
-                    hits.append(i)
-                    weight += lexicon[key]
-                    kinds.add(key)
-                    break
-    you = [i for i, w in enumerate(ws) if w in YOU]
+    data = np.frombuffer(text.encode(), np.uint8)
+    n, chars, seen = max(1, len(ws)), max(1, len(text)), set(ws)
+    counts = np.bincount(data, minlength=256)
+    capitals, punctuation, symbols, digits, exclaimed = (int(counts[x].sum()) for x in _COUNTED)
+    letter = _LETTER[data]
+    drawn = int(np.count_nonzero((data[:-2] == data[1:-1]) & (data[1:-1] == data[2:]) & letter[:-2]))
+    if counts[0xC3]:  # accented capitals of Latin-1
+        capitals += int(np.count_nonzero((data[:-1] == 0xC3) & (data[1:] <= 0x9E) & (data[1:] != 0x97)))
+    entries = {w: k for w in seen if (k := match(w))} if match.lexicon else {}
+    listed = [i for i, w in enumerate(ws) if w in INSULTS] if not INSULTS.isdisjoint(seen) else []
+    hits = [i for i, w in enumerate(ws) if w in entries] if entries else []
+    you = [i for i, w in enumerate(ws) if w in YOU] if (listed or hits) and not YOU.isdisjoint(seen) else []
+    n_you = len(you) if you else sum(map(ws.count, YOU & seen))
     near = sum(any(abs(i - j) <= NEAR for j in _around(you, i)) for i in {*listed, *hits})
-    disguised = _DISGUISED.findall(low) if not low.isalpha() else []
+    disguised = _DISGUISED.findall(low) if np.any(_DISGUISE[data[:-1]] & letter[1:]) else []
     undone = [d.translate(_UNDO) for d in disguised]
-    letters = max(1, sum(map(len, ws)))
-    shouted = sum(1 for w in _WORD.findall(text) if len(w) > 1 and w.isupper()) if not text.islower() else 0
+    letters = max(1, int(np.count_nonzero(letter)))
     return [math.log1p(len(ws)), len(listed) / n, math.log1p(len(listed)), len(hits) / n, math.log1p(len(hits)),
-            weight / n, float(len(kinds)), len(you) / n, near / n, sum(map(str.isupper, text)) / letters, shouted / n,
-            text.count("!") / n, sum(map(text.count, _PUNCTUATION)) / n, sum(map(text.count, _SYMBOLS)) / n,
-            sum(map(text.count, "0123456789")) / chars, len(_DRAWN.findall(low)) / n, len(disguised) / n,
-            sum(d in INSULTS or d in lexicon for d in undone) / n, math.log1p(len(text))]
+            sum(match.lexicon[entries[ws[i]]] for i in hits) / n, float(len(set(entries.values()))), n_you / n, near / n,
+            capitals / letters, len(_SHOUTED.findall(text)) / n if capitals > 1 else 0.0, exclaimed / n, punctuation / n,
+            symbols / n, digits / chars, drawn / n, len(disguised) / n,
+            sum(d in INSULTS or match(d) is not None for d in undone) / n, math.log1p(len(text))]
 
 
 def _around(places: list[int], i: int) -> list[int]:
@@ -152,9 +180,10 @@ def with_features(rows: DataFrame, text_col: str, lexicon: dict[str, float]) ->
     out = T.StructType([*(rows.schema[c] for c in names), T.StructField("f", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
+        match = Matcher(lexicon)
         for batch in batches:
             for b in slices(batch):
-                f = [features(t, lexicon) for t in texts_of(b.column(at))]
+                f = [features(t, match) for t in texts_of(b.column(at))]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in others), pa.array(f, pa.list_(pa.float64()))],
                                                  [*names, "f"])
 
