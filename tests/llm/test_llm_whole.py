@@ -5,7 +5,8 @@ import random
 import numpy as np
 import public_tokenizers
 
-from pairlab.llm import lmscore
+from pairlab.llm import lmscore, spandedup
+from pairlab.llm.common import word_hashes
 from test_llm_docs import frame
 
 
@@ -28,3 +29,30 @@ def test_lm_learns_from_every_training_row(spark):
     assert model.score(ids, per_row).sum() > before
     again = lmscore.Model(counts, sub.spelling)
     assert lmscore.learn(df.limit(0), again, path) == 0
+
+
+def test_spans_are_found_in_every_passage_of_51_words(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9)))
+    few = [w for w in (word() for _ in range(200)) if not hash_cuts(w)][:6]
+    passages = [[word() for _ in range(51)] for _ in range(150)]
+    passages += [[word() + r.choice(["", "", "", "", "", "", "", ".", ","]) for _ in range(51)] for _ in range(100)]
+    passages += [[r.choice(few) for _ in range(51)] for _ in range(20)]
+    passages += [few[:1] * 51, (few[:2] * 26)[:51]]
+    rows = []
+    for i, p in enumerate(passages):
+        for copy in (0, 1):
+            around = [" ".join(word() for _ in range(r.randint(5, 40))) for _ in range(2)]
+            rows.append((1000 * copy + i, " ".join([around[0], *p, around[1]]), "s"))
+    got = {x.doc_id: x for x in spandedup.repeated_spans(frame(spark, rows).repartition(3)).collect()}
+    texts = {i: t for i, t, _ in rows}
+    for i, p in enumerate(passages):
+        again = got[1000 + i]
+        assert again.removed and i in again.first_ids, p
+        kept = spandedup.cut_out(texts[1000 + i], [(x.start, x.end) for x in again.removed])
+        assert len(texts[1000 + i].split()) - len(kept.split()) >= spandedup.MIN_WORDS
+
+
+def hash_cuts(word):
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(word_hashes(data, np.array([0]), np.array([len(data)]))[0]) % spandedup.CUT == 0
