@@ -1,11 +1,11 @@
 """Secret scan: three base patterns, and incompressible strings in a sensitive context.
 
 The base spans are the leftmost non-overlapping matches of each pattern that are long enough.
-The method adds spans of kind ``novel``: a run of key characters that follows a sensitive word
-closely is compressed with zstandard after its surrounding text, with a raw dictionary of
+The method adds spans of kind ``novel``: every run of key characters that follows a sensitive word
+closely, and a shorter value with password symbols that is assigned to one, is compressed with zstandard after its surrounding text, with a raw dictionary of
 common identifiers and code loaded; the marginal compressed bytes per character tell how much
 of the run neither the dictionary nor the context foretells.  Runs above ``min_novelty`` that
-no base span touches are reported.  Everything is local to a row.
+reach further than the base spans are reported.  Everything is local to a row.
 
 Edge cases: a null text is an empty one and has no spans; a text of any length is scanned
 whole; repeated rows and null ids are kept; other columns are dropped by ``scan`` and kept by
@@ -30,14 +30,19 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
                     re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Words after which a string may be a credential.
+#: Words after which a string may be a credential; they may be parts of a camel-case name.
 SENSITIVE = re.compile(
-    r"(?<![a-z])(?:password|passwd|passphrase|pwd|secret|token|api[-_ ]?key|access[-_ ]?key|private[-_ ]?key|"
-    r"credentials?|bearer|authorization|auth|signature|client[-_ ]?id|session[-_ ]?id|aws)(?![a-z])",
-    re.IGNORECASE | re.ASCII)
+    r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
+    r"(?i:password|passwd|passphrase|pwd|secret|token|api[-_ ]?key|access[-_ ]?key|private[-_ ]?key|"
+    r"credentials?|bearer|authorization|auth|signature|client[-_ ]?id|session[-_ ]?id|aws)"
+    r"(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))", re.ASCII)
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "signature", "client", "session",
          "aws")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What assigns a value to the name that a sensitive word stands in, and such a value.
+ASSIGNED = re.compile(r"""[A-Za-z0-9_]{0,24}["'\])]{0,2}\x20*(?::=|=>|[:=(])\x20*["'`]?([A-Za-z0-9+/_=.!@#$%^&*~?-]{8,})""")
+#: Kinds of characters; a value that is no candidate by its length and characters has three of them.
+CLASSES = tuple(re.compile(x) for x in ("[a-z]", "[A-Z]", "[0-9]", "[!@#$%^&*~?+]"))
 #: A candidate starts within so many characters after the sensitive word.
 REACH = 40
 #: Characters before the sensitive word that prime the compressor with the dictionary.
@@ -82,18 +87,24 @@ def spans_of(text: str, min_novelty: float = MIN_NOVELTY) -> list[tuple[int, int
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     if any(k in low for k in HINTS):
         base, seen = sorted((s, e) for s, e, _ in found), -1
+
+        def report(word: re.Match, start: int, end: int) -> bool:
+            new = (not any(s < end <= e for s, e in base)
+                   and novelty(text[max(0, word.start() - CONTEXT):start], text[start:end]) >= min_novelty)
+            if new:
+                found.append((start, end, 3))
+            return new
+
         for word in SENSITIVE.finditer(text):
-            m = CANDIDATE.search(text, max(word.end(), seen), word.end() + REACH + 16)
-            if not m:
-                continue
-            m = CANDIDATE.match(text, m.start())
-            if m.start() > word.end() + REACH:
-                continue
-            seen = m.end()
-            if any(s < m.end() and m.start() < e for s, e in base):
-                continue
-            if novelty(text[max(0, word.start() - CONTEXT):m.start()], m[0]) >= min_novelty:
-                found.append((m.start(), m.end(), 3))
+            m = ASSIGNED.match(text, word.end())
+            if m and m.start(1) >= seen and sum(bool(c.search(m[1])) for c in CLASSES) >= 3 and report(word, *m.span(1)):
+                seen = m.end()
+            while m := CANDIDATE.search(text, max(word.end(), seen), word.end() + REACH + 16):
+                m = CANDIDATE.match(text, m.start())
+                if m.start() > word.end() + REACH:
+                    break
+                seen = m.end()
+                report(word, *m.span())
     return sorted(found, key=lambda x: (x[0], x[2], x[1]))
 
 
