@@ -191,7 +191,7 @@ def write_scores_tsv(spark, sf):
 def save_run(spark, sf):
     p = scratch_path(spark, "runs")
     IO.save_run(V.runs(spark, sf), p)
-    return IO.read_runs(spark, p, "click").select("version", "exp", "BLEU")
+    return IO.read_runs(spark, p).select("version", "exp", "BLEU")
 
 
 @query("read_runs")
