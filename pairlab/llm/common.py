@@ -39,6 +39,17 @@ def fold(id_col: Column | str, n: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(n)
 
 
+#: DuckDB: a one-row table ``crc`` with the 256 steps of crc32, by its rule.
+CRC_SQL = """crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS steps FROM (SELECT i, list_reduce([0, 1, 2, 3, 4, 5, 6, 7],
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT) AS c FROM range(256) t(i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB: the crc32 of a string's UTF-8 bytes, where ``crc`` is among the tables."""
+    byte = f"list_transform(range(0, length(hex(encode({text}))) // 2), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce({byte}, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295::BIGINT))"
+
+
 def text_chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows; a null text is an empty one."""
     n = len(col)
