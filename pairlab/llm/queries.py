@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import bpe, chatformat, linededup, lmscore, minhash, mixing, quality, secretscan, spandedup, spelling, toxicity, vecgraph
+from pairlab.llm import bpe, chatformat, convrepair, linededup, lmscore, minhash, mixing, quality, secretscan, spandedup, spelling, toxicity, vecgraph
 from pairlab.llm.common import fold, table
 from pairlab.session import ensure_importable, shared_dir
 
@@ -107,6 +107,12 @@ def op11_lines(spark, sf_dir):
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op12_conversations", convrepair.oracle())
+def op12_conversations(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return convrepair.reports(convrepair.prepare(convrepair.damaged(turns)))
+
+
 @query("op13_spelling", spelling.oracle())
 def op13_spelling(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
