@@ -1,13 +1,9 @@
-"""N-gram statistics shared by all scorers.
+"""N-gram tables with the grams themselves (E5, E6, E8, E9), and the texts that all scorers read.
 
-Inputs are long tables: references ``(inst_id, ref_no, toks)`` and system outputs
-``(inst_id, toks)`` with ``toks`` an array of (already case-folded) tokens.
-
-Shuffle plan: every aggregation is keyed by ``(inst_id, n, gram)`` (plus ``ref_no``
-for per-reference counts) with partial aggregation before the exchange, so a hot
-instance or a hot gram is combined map-side and spread over many partitions; the
-joins between the system and reference sides use the same keys, so both sides
-arrive hash-partitioned alike and the join adds no further exchange.
+Inputs are tables (inst_id, ref_no, text); a system output has ref_no = -1.  Counts are taken by
+(instance, reference, gram) with partial aggregation before the exchange.  The scorers need sums over
+these tables only and take them from 64-bit gram ids (``operators/vectors.py``); the tables here
+are for readers of the grams.
 """
 
 from __future__ import annotations
@@ -16,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.functions import text as T
-
-KEY = ["inst_id", "n", "gram"]
+from pairlab.session import scratch_path
 
 # how -> (text expression, empty text is one token)
 TOKENISERS = {
@@ -60,25 +55,6 @@ def tokenize_pairs(refs: DataFrame, sys: DataFrame, how: str = "mteval",
     return t.filter(F.col("ref_no") != SYS), t.filter(F.col("ref_no") == SYS).drop("ref_no")
 
 
-def gram_table(tok: DataFrame, max_n: int, empty_token: bool = True, min_n: int = 1) -> DataFrame:
-    """E5 for every text at once: (inst_id, ref_no, n, gram, cnt).
-
-    One explode and one aggregation per query: every text also emits one length row
-    (n = 0, cnt = its token count), so lengths need no second pass over the text.
-    The length row's gram starts with a blank, which no real gram can.  Grouping is
-    on the gram alone (the order is a function of it) and the order column is
-    computed after the aggregation, on the reduced rows."""
-    grams = F.concat(T.ngram_array(F.col("txt"), max_n, min_n, empty_token),
-                     F.array(F.concat(F.lit(" "), F.col("len").cast("string"))))
-    g = (tok.select("inst_id", "ref_no", F.explode(grams).alias("gram"))
-         .groupBy("inst_id", "ref_no", "gram").agg(F.count(F.lit(1)).alias("cnt")))
-    is_len = F.col("gram").startswith(" ")
-    return g.select("inst_id", "ref_no",
-                    F.when(is_len, F.lit(0)).otherwise(T.gram_order(F.col("gram"))).alias("n"),
-                    F.when(is_len, F.lit("")).otherwise(F.col("gram")).alias("gram"),
-                    F.when(is_len, F.substring(F.col("gram"), 2, 12).cast("long")).otherwise(F.col("cnt")).alias("cnt"))
-
-
 def gram_counts(df: DataFrame, keys: list[str], max_n: int, min_n: int = 1,
                 empty_token: bool = True) -> DataFrame:
     """E5: count of every n-gram per key over a tokenised table -> keys + (n, gram, cnt)."""
@@ -92,75 +68,38 @@ def ref_max_counts(ref_counts: DataFrame) -> DataFrame:
     return ref_counts.groupBy("inst_id", "gram").agg(F.max("cnt").alias("rmax"), F.first("n").alias("n"))
 
 
-def lengths(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.select(*keys, "len")
-
-
-def order_grid(sys_len: DataFrame, max_n: int, min_n: int = 1) -> DataFrame:
-    """(inst_id, n, sys_len) for every instance and order, row-local (no shuffle)."""
-    return sys_len.select("inst_id", F.explode(F.sequence(F.lit(min_n), F.lit(max_n))).alias("n"),
-                          F.col("len").alias("sys_len"))
-
-
-def clipped_hits(sys_counts: DataFrame, ref_max: DataFrame, sys_len: DataFrame,
-                 max_n: int) -> DataFrame:
-    """Per instance and n, sum of min(system count, reference maximum).
-
-    Both sides are aggregated on (inst_id, gram) and joined on the same keys, so the
-    join reuses their hash partitioning.  Orders with no system n-gram give 0 hits
-    (they come from the order grid)."""
-    hits = (sys_counts.join(ref_max.drop("n"), ["inst_id", "gram"], "left")
-            .groupBy("inst_id", "n")
-            .agg(F.sum(F.least(F.col("cnt"), F.coalesce(F.col("rmax"), F.lit(0)))).alias("hits")))
-    return (order_grid(sys_len, max_n).join(hits, ["inst_id", "n"], "left")
-            .select("inst_id", "n", "sys_len", F.coalesce("hits", F.lit(0)).cast("long").alias("hits")))
-
-
-def ref_len_pick(ref_len: DataFrame, sys_len: DataFrame, how: str = "closest") -> DataFrame:
-    """one reference length per instance.
-
-    closest: nearest to the system length, the shorter one on a tie;
-    shortest: minimum; average: mean (double)."""
-    j = ref_len.join(sys_len.select("inst_id", F.col("len").alias("sys_len")), "inst_id")
-    if how == "closest":
-        # (distance, length) packed into one long so the aggregate stays a hash aggregate
-        packed = F.abs(F.col("len") - F.col("sys_len")).cast("long") * (1 << 32) + F.col("len")
-        agg = (F.min(packed) % (1 << 32)).cast("double")
-    elif how == "shortest":
-        agg = F.min("len").cast("double")
-    elif how == "average":
-        agg = F.avg("len")
-    else:
-        raise ValueError(how)
-    return j.groupBy("inst_id").agg(agg.alias("ref_len"), F.count(F.lit(1)).alias("n_refs"),
-                                    F.sum("len").alias("ref_len_sum"))
-
-
 def doc_freq(ref_counts: DataFrame) -> DataFrame:
     """In how many instances each n-gram occurs in any reference -> (n, gram, df)."""
     return (ref_counts.select("inst_id", "n", "gram").distinct()
             .groupBy("n", "gram").agg(F.count(F.lit(1)).alias("df")))
 
 
-def ngram_info(ref_counts: DataFrame, per_instance: bool = False) -> DataFrame:
-    """NIST information of every reference n-gram.
-
-    info(w1..wn) = log2(count(w1..wn-1) / count(w1..wn)) over all reference n-grams;
-    the prefix of a unigram is the total number of reference words.  With
-    ``per_instance`` the counts are taken per instance (segment-level NIST).
-    """
-    part = ["inst_id"] if per_instance else []
-    totals = ref_counts.groupBy(*part, "n", "gram").agg(F.sum("cnt").alias("tot"))
-    words = (totals.filter(F.col("n") == 1).groupBy(*part)
-             .agg(F.sum("tot").alias("words")))
-    prefix = totals.select(*part, (F.col("n") + 1).alias("n"), F.col("gram").alias("prefix"),
-                           F.col("tot").alias("ptot"))
-    with_prefix = totals.withColumn(
-        "prefix", F.when(F.col("n") > 1, F.regexp_replace(F.col("gram"), " [^ ]*$", "")))
-    joined = with_prefix.join(prefix, [*part, "n", "prefix"], "left")
-    # the word total is keyed like the unigrams it belongs to (n = 1); without
-    # per-instance keys it is a one-row table, broadcast by its known size
-    words = words.withColumn("n", F.lit(1))
-    joined = joined.join(words if part else F.broadcast(words), [*part, "n"], "left")
-    return joined.select(*part, "n", "gram", "tot", F.log2(
-        F.when(F.col("n") == 1, F.col("words")).otherwise(F.col("ptot")) / F.col("tot")).alias("info"))
+#: Grams of greatest totals whose counts go to every task, as 64-bit ids: 1.5 MB at most.
+HOT_GRAMS = 1 << 16
+
+
+def ngram_info(ref_counts: DataFrame) -> DataFrame:
+    """NIST information of every reference n-gram: (n, gram, tot, whole, info).
+
+    info(w1..wn) = log2(count(w1..wn-1) / count(w1..wn)) over all reference n-grams; the prefix of a
+    unigram is the total number of reference words (``whole`` is the count of the prefix).
+
+    A frequent gram is the prefix of very many: the ``HOT_GRAMS`` most frequent are looked up from a broadcast
+    table of fixed size, and only other prefixes meet the totals in a join, each with less than a
+    1 / ``HOT_GRAMS`` share of all occurrences.  Rows that are done keep a key of their own there (it
+    begins with a blank, so it finds nothing)."""
+    spark = ref_counts.sparkSession
+    path = scratch_path(spark, "gram-totals")
+    ref_counts.groupBy("n", "gram").agg(F.sum("cnt").alias("tot")).write.parquet(path)
+    totals = spark.read.parquet(path)
+    words = F.broadcast(totals.where("n = 1").agg(F.sum("tot").alias("words")))
+    hot = F.broadcast(totals.orderBy(F.desc("tot"), "n", "gram").limit(HOT_GRAMS).select(
+        (F.col("n") + 1).alias("n"), F.xxhash64("gram").alias("hot"), F.col("tot").alias("hot_tot")))
+    prefix = F.when(F.col("n") > 1, F.regexp_replace("gram", " [^ ]*$", ""))
+    rows = totals.withColumn("prefix", prefix).withColumn("hot", F.xxhash64("prefix")).join(hot, ["n", "hot"], "left")
+    done = (F.col("n") == 1) | F.col("hot_tot").isNotNull()
+    rows = rows.withColumn("key", F.when(done, F.concat(F.lit(" "), "gram")).otherwise(F.col("prefix")))
+    further = totals.select((F.col("n") + 1).alias("n"), F.col("gram").alias("key"), F.col("tot").alias("rare_tot"))
+    whole = F.when(F.col("n") == 1, F.col("words")).otherwise(F.coalesce("hot_tot", "rare_tot"))
+    return (rows.join(further, ["n", "key"], "left").crossJoin(words)
+            .select("n", "gram", "tot", whole.alias("whole"), F.log2(whole / F.col("tot")).alias("info")))

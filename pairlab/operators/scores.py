@@ -11,13 +11,14 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql.types import IntegerType
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.functions import text as T
 from pairlab.operators import ngrams as G
+from pairlab.operators import vectors as V
+from pairlab.session import scratch_path
 
 # Fixed values of the scorers
 BLEU_TINY = 1e-15      # floor of the hit count (Python scorer)
@@ -29,56 +30,63 @@ ROUGE_BETA = 1.2
 
 
 class Stats:
-    """Tokenised pairs and their n-gram tables, built once and shared by scorers."""
+    """Texts dealt by instance, shared by the scorers; see ``operators/vectors.py``."""
 
     def __init__(self, refs: DataFrame | None, sys: DataFrame | None, max_n: int, how: str = "mteval",
-                 texts: DataFrame | None = None):
-        """Either (refs, sys) or a combined ``texts`` table (inst_id, ref_no, text) with
-        ref_no = -1 for the system output.  Texts are tokenised and counted once; the
-        branches below all read the same aggregated table (its exchange is reused)."""
-        self.max_n = max_n
-        if texts is None:
-            texts = G.texts_of(refs, sys)
-        tok = G.tokenize_texts(texts, how)
-        # The branches filter this table by side and order; Catalyst would push those
-        # filters below the aggregation and re-tokenise once per branch, so the table
-        # is materialised once (memory, spilling to disk; rebuilt from lineage if an
-        # executor is lost).
-        self.table = G.gram_table(tok, max_n, G.TOKENISERS[how][1]).persist(StorageLevel.MEMORY_AND_DISK)
-        t = self.table
-        is_sys = F.col("ref_no") == G.SYS
-        self.ref_counts = t.filter(~is_sys & (F.col("n") > 0))
-        self.sys_counts = t.filter(is_sys & (F.col("n") > 0)).drop("ref_no")
-        self.ref_len = t.filter(~is_sys & (F.col("n") == 0)).select("inst_id", "ref_no", F.col("cnt").alias("len"))
-        self.sys_len = t.filter(is_sys & (F.col("n") == 0)).select("inst_id", F.col("cnt").alias("len"))
-
-    def ref_max(self) -> DataFrame:
-        return G.ref_max_counts(self.ref_counts)
-
-    def hits(self) -> DataFrame:
-        return G.clipped_hits(self.sys_counts, self.ref_max(), self.sys_len, self.max_n)
+                 texts: DataFrame | None = None, systems: int = 1):
+        """Either (refs, sys) or a combined ``texts`` table (inst_id, ref_no, text) with ref_no = -1 for
+        the system output (-2, -3, ... for those of further ``systems``)."""
+        from pairlab.session import ensure_importable, shared_dir
+
+        self.max_n, self.how, self.systems = max_n, how, systems
+        self.texts = G.texts_of(refs, sys) if texts is None else texts
+        self.spark = self.texts.sparkSession
+        shared_dir(self.spark)
+        ensure_importable(self.spark)
+        fn, empty_token = G.TOKENISERS[how]
+        self.tokens = lambda c: V.token_ids(fn(c), empty_token)
+        self.rows = V.by_instance(self.texts, self.tokens, max_n)
+
+    def instances(self, info: bool = False) -> DataFrame:
+        return V.instance_stats(self.rows, self.max_n, info)
 
     def segment_stats(self, ref_len_how: str = "closest") -> DataFrame:
-        """(inst_id, n, hits, cand, sys_len, ref_len, n_refs, ref_len_sum) per instance and n."""
-        rl = G.ref_len_pick(self.ref_len, self.sys_len, ref_len_how)
-        return (self.hits().join(rl, "inst_id")
+        """(inst_id, sys_no, n, hits, cand, sys_len, ref_len, n_refs, ref_len_sum) per instance and n."""
+        d = self.instances()
+        return (d.select("inst_id", "sys_no", F.posexplode("hits").alias("_n", "hits"), "sys_len", ref_len(ref_len_how).alias("ref_len"),
+                         "n_refs", "ref_len_sum").withColumn("n", F.col("_n") + 1).drop("_n")
                 .withColumn("cand", (F.col("sys_len") - F.col("n") + 1).cast("long")))
 
+    def table(self, name: str, columns: DataFrame) -> DataFrame:
+        """A table written to the shared folder, so that its readers don't make it again."""
+        path = scratch_path(self.spark, name)
+        columns.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+
+def ref_len(how: str) -> Column:
+    """one reference length of a statistics row: closest (nearest to the system length, the shorter one
+    on a tie), shortest, or average."""
+    return {"closest": F.col("closest").cast("double"), "shortest": F.col("shortest").cast("double"),
+            "average": F.col("ref_len_sum") / F.col("n_refs")}[how]
+
 
 # ---------------------------------------------------------------------------
 # BLEU (Python scorer): F3, F4
 # ---------------------------------------------------------------------------
 
 
-def _wide(stats: DataFrame, keys: list[str], max_n: int) -> DataFrame:
-    """Sum statistics per key with one column per order (hits_n, cand_n)."""
+def _cand(n: int) -> Column:
+    return F.col("sys_len") - (n - 1)
+
+
+def _wide(stats: DataFrame, keys: list, max_n: int, how: str = "closest") -> DataFrame:
+    """Statistics rows summed by key, one column per order (hits_n, cand_n); with no keys one row."""
     aggs = []
     for n in range(1, max_n + 1):
-        aggs.append(F.sum(F.when(F.col("n") == n, F.col("hits"))).alias(f"hits_{n}"))
-        aggs.append(F.sum(F.when(F.col("n") == n, F.col("cand"))).alias(f"cand_{n}"))
-    aggs += [F.sum(F.when(F.col("n") == 1, F.col("ref_len"))).alias("ref_len"),
-             F.sum(F.when(F.col("n") == 1, F.col("sys_len"))).alias("sys_len"),
-             F.sum(F.when(F.col("n") == 1, F.col("ref_len_sum") / F.col("n_refs"))).alias("avg_ref_len")]
+        aggs += [F.sum(F.col("hits")[n - 1]).alias(f"hits_{n}"), F.sum(_cand(n)).alias(f"cand_{n}")]
+    aggs += [F.sum(ref_len(how)).alias("ref_len"), F.sum("sys_len").alias("sys_len"),
+             F.sum(F.col("ref_len_sum") / F.col("n_refs")).alias("avg_ref_len")]
     return stats.groupBy(*keys).agg(*aggs)
 
 
@@ -99,7 +107,7 @@ def bleu_corpus(refs: DataFrame, sys: DataFrame, max_n: int = 4, keys: list[str]
                 stats: Stats | None = None) -> DataFrame:
     """corpus BLEU (sums over instances, then the geometric mean)."""
     st = stats or Stats(refs, sys, max_n)
-    w = _wide(st.segment_stats(), keys or [], max_n)
+    w = _wide(st.instances(), keys or [], max_n)
     return w.select(*(keys or []), bleu_expr(max_n).alias("bleu"),
                     F.col("sys_len").cast("long").alias("sys_len"),
                     F.col("ref_len").cast("double").alias("ref_len"))
@@ -109,7 +117,7 @@ def bleu_segment(refs: DataFrame, sys: DataFrame, max_n: int = 4,
                  stats: Stats | None = None) -> DataFrame:
     """per-instance BLEU and the +1-smoothed sentence BLEU."""
     st = stats or Stats(refs, sys, max_n)
-    w = _wide(st.segment_stats(), ["inst_id"], max_n)
+    w = _wide(st.instances(), ["inst_id"], max_n)
     return w.select("inst_id", bleu_expr(max_n).alias("bleu"), bleu_expr(max_n, 1.0).alias("sent_bleu"))
 
 
@@ -123,62 +131,42 @@ def nist_penalty(ratio: Column) -> Column:
             .otherwise(F.exp(-NIST_BETA * F.pow(F.log(ratio), 2))))
 
 
-def _hit_grams(st: Stats) -> DataFrame:
-    return (st.sys_counts.join(st.ref_max().drop("n"), ["inst_id", "gram"], "inner")
-            .select(*G.KEY, F.least("cnt", "rmax").alias("hits")).filter(F.col("hits") > 0))
-
-
-def _nist_from(parts: DataFrame, keys: list[str], max_n: int) -> DataFrame:
-    """parts: keys + (n, cand, hit_info, sys1, avg_ref) contributions, summed in one pass.
-
-    Statistics rows and information rows are unioned and reduced by a single
-    aggregation, so no join is needed to bring corpus totals together."""
-    aggs = []
-    for n in range(1, max_n + 1):
-        aggs.append(F.sum(F.when(F.col("n") == n, F.col("cand"))).alias(f"cand_{n}"))
-        aggs.append(F.sum(F.when(F.col("n") == n, F.col("hit_info"))).alias(f"info_{n}"))
-    aggs += [F.sum("sys1").alias("sys_len"), F.sum("avg_ref").alias("avg_ref_len")]
-    w = parts.groupBy(*keys).agg(*aggs)
+def _nist(w: DataFrame, keys: list, max_n: int) -> DataFrame:
+    """Score of rows with cand_n, info_n, sys_len and avg_ref_len; a candidate total that isn't positive
+    gives null (the reference divides by zero there)."""
     terms = [F.coalesce(F.col(f"info_{n}"), F.lit(0.0)) / F.col(f"cand_{n}") for n in range(1, max_n + 1)]
-    ok = None
+    ok = F.lit(True)
     for n in range(1, max_n + 1):
-        c = F.col(f"cand_{n}") > 0
-        ok = c if ok is None else (ok & c)
-    ratio = F.col("sys_len") / F.col("avg_ref_len")
-    score = F.when(ok, nist_penalty(ratio) * sum(terms[1:], terms[0]))
+        ok = ok & (F.col(f"cand_{n}") > 0)
+    score = F.when(ok, nist_penalty(F.col("sys_len") / F.col("avg_ref_len")) * sum(terms[1:], terms[0]))
     return w.select(*keys, score.alias("nist"))
 
 
-def _nist_parts(seg: DataFrame, info_sums: DataFrame, keys: list[str]) -> DataFrame:
-    a = seg.select(*keys, "n", F.col("cand").cast("double").alias("cand"), F.lit(0.0).alias("hit_info"),
-                   F.when(F.col("n") == 1, F.col("sys_len")).otherwise(0).cast("double").alias("sys1"),
-                   F.when(F.col("n") == 1, F.col("ref_len_sum") / F.col("n_refs")).otherwise(0.0).alias("avg_ref"))
-    b = info_sums.select(*keys, "n", F.lit(0.0).alias("cand"), F.col("hit_info").cast("double"),
-                         F.lit(0.0).alias("sys1"), F.lit(0.0).alias("avg_ref"))
-    return a.unionByName(b)
-
-
 def nist_corpus(refs: DataFrame, sys: DataFrame, max_n: int = 5, stats: Stats | None = None) -> DataFrame:
     """F8: corpus NIST; information from all references of the corpus.
 
-    Hits are summed per (n, gram) before meeting the information table, so the
-    join is one row per distinct gram on each side (no hot key).  A non-positive
-    candidate total gives a null score (the reference divides by zero there)."""
+    Statistics rows and information rows (one an order) are unioned and summed at once."""
     st = stats or Stats(refs, sys, max_n)
-    info = G.ngram_info(st.ref_counts)
-    hit_sum = _hit_grams(st).groupBy("n", "gram").agg(F.sum("hits").alias("hits"))
-    info_sums = (hit_sum.join(info, ["n", "gram"]).groupBy("n")
-                 .agg(F.sum(F.col("info") * F.col("hits")).alias("hit_info")))
-    return _nist_from(_nist_parts(st.segment_stats(), info_sums, []), [], max_n)
+    per = st.instances().select(*[_cand(n).cast("double").alias(f"cand_{n}") for n in range(1, max_n + 1)],
+                                F.col("sys_len").cast("double"), (F.col("ref_len_sum") / F.col("n_refs")).alias("avg_ref_len"),
+                                *[F.lit(0.0).alias(f"info_{n}") for n in range(1, max_n + 1)])
+    info = V.corpus_info(st.rows, max_n).select(
+        *[F.lit(None).cast("double").alias(f"cand_{n}") for n in range(1, max_n + 1)], F.lit(None).cast("double").alias("sys_len"),
+        F.lit(None).cast("double").alias("avg_ref_len"),
+        *[F.when(F.col("n") == n, F.col("tst_info")).otherwise(0.0).alias(f"info_{n}") for n in range(1, max_n + 1)])
+    both = per.unionByName(info)
+    return _nist(both.agg(*(F.sum(c).alias(c) for c in both.columns)), [], max_n)
 
 
 def nist_segment(refs: DataFrame, sys: DataFrame, max_n: int = 5, stats: Stats | None = None) -> DataFrame:
-    """per-instance NIST; information from that instance's references only."""
+    """per-instance NIST; information from that instance's references only (counted with its hits, in
+    one task)."""
     st = stats or Stats(refs, sys, max_n)
-    info = G.ngram_info(st.ref_counts, per_instance=True)
-    info_sums = (_hit_grams(st).join(info, G.KEY).groupBy("inst_id", "n")
-                 .agg(F.sum(F.col("info") * F.col("hits")).alias("hit_info")))
-    return _nist_from(_nist_parts(st.segment_stats(), info_sums, ["inst_id"]), ["inst_id"], max_n)
+    w = st.instances(info=True).select(
+        "inst_id", *[_cand(n).cast("double").alias(f"cand_{n}") for n in range(1, max_n + 1)],
+        *[F.col("info")[n - 1].alias(f"info_{n}") for n in range(1, max_n + 1)], F.col("sys_len").cast("double"),
+        (F.col("ref_len_sum") / F.col("n_refs")).alias("avg_ref_len"))
+    return _nist(w, ["inst_id"], max_n)
 
 
 # ---------------------------------------------------------------------------
@@ -187,113 +175,163 @@ def nist_segment(refs: DataFrame, sys: DataFrame, max_n: int = 5, stats: Stats |
 
 
 def perl_segment_stats(st: Stats) -> DataFrame:
-    """per (inst_id, n): match, tst_count, ref_count, tst_info, ref_length (closest,
-    the shorter on ties), nrefs (non-empty references).  Information is corpus-wide."""
-    info = G.ngram_info(st.ref_counts)
-    hits = _hit_grams(st).join(info.select("n", "gram", "info"), ["n", "gram"], "left")
-    per = hits.groupBy("inst_id", "n").agg(F.sum("hits").alias("match"),
-                                           F.sum(F.col("hits") * F.coalesce("info", F.lit(0.0))).alias("tst_info"))
-    # empty references do not take part in the closest-length choice
-    rl = G.ref_len_pick(st.ref_len.filter(F.col("len") > 0), st.sys_len, "closest")
-    nonempty = st.ref_len.groupBy("inst_id").agg(F.sum((F.col("len") > 0).cast("int")).alias("nrefs"),
-                                                   F.collect_list("len").alias("_lens"))
-    grid = G.order_grid(st.sys_len, st.max_n)
-    out = (grid.join(per, ["inst_id", "n"], "left").join(rl.select("inst_id", "ref_len"), "inst_id", "left")
-           .join(nonempty, "inst_id")
-           .select("inst_id", "n", F.coalesce("match", F.lit(0)).cast("long").alias("match"),
-                   F.greatest(F.col("sys_len") - F.col("n") + 1, F.lit(0)).cast("long").alias("tst_count"),
-                   F.aggregate("_lens", F.lit(0).cast("long"),
-                               lambda acc, l: acc + F.greatest(l - F.col("n") + 1, F.lit(0))).alias("ref_count"),
-                   F.coalesce("tst_info", F.lit(0.0)).alias("tst_info"),
-                   F.coalesce("ref_len", F.lit(0.0)).alias("ref_length"), "nrefs", "sys_len"))
-    return out
-
-
-def _perl_wide(stats: DataFrame, keys: list, max_n: int) -> DataFrame:
-    aggs = []
-    for n in range(1, max_n + 1):
-        for c in ("match", "tst_count", "ref_count", "tst_info"):
-            aggs.append(F.sum(F.when(F.col("n") == n, F.col(c))).alias(f"{c}_{n}"))
-    aggs += [F.sum(F.when(F.col("n") == 1, F.col("ref_length"))).alias("ref_length"),
-             F.sum(F.when(F.col("n") == 1, F.col("nrefs"))).alias("nrefs_sum"),
-             F.sum(F.when(F.col("n") == 1, F.lit(1))).alias("nsegs")]
-    return stats.groupBy(*keys).agg(*aggs)
-
-
-def perl_bleu_cols(max_n: int, smoothed: bool = True) -> list:
-    """F5 / F6 individual and cumulative BLEU per n, as columns bleu_ind_n, bleu_cum_n.
+    """per (inst_id, sys_no, n): match, tst_count, ref_count, tst_info, ref_info, ref_length (closest, the
+    shorter on ties), nrefs (non-empty references).  Information is corpus-wide; ref_info is that of the
+    distinct n-grams of each reference.
+
+    The totals by gram are written once and read twice: for the hottest, and for the join of the rest.
+    Information and statistics rows are unioned and summed by instance and order."""
+    totals = st.table("gram-totals", V.gram_rows(st.rows, st.max_n, st.systems).groupBy("id").agg(F.sum("total").alias("total")))
+    info = V.segment_info(st.rows, totals, st.max_n)
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    cells = F.arrays_zip("hits", "ref_count")
+    per = (st.instances().select("inst_id", "sys_no", F.posexplode(cells).alias("_n", "x"), "sys_len", "closest_nz", "nrefs")
+           .select("inst_id", (F.col("_n") + 1).alias("n"), "sys_no", F.col("x.hits").alias("match"),
+                   F.greatest(F.col("sys_len") - F.col("_n"), F.lit(0).cast("long")).alias("tst_count"),
+                   F.col("x.ref_count").alias("ref_count"), F.col("closest_nz").cast("double").alias("ref_length"), "nrefs", "sys_len",
+                   *none("double", "info")))
+    more = info.select("inst_id", "n", "sys_no", *none("long", "match", "tst_count", "ref_count"), *none("double", "ref_length"),
+                       *none("long", "nrefs", "sys_len"), "info")
+    both = per.unionByName(more)
+    # one row an instance and order holds all systems: the references' information belongs to each
+    cols = ["sys_no", "match", "tst_count", "ref_count", "ref_length", "nrefs", "sys_len", "info"]
+    one = both.groupBy("inst_id", "n").agg(
+        F.sum(F.when(F.col("sys_no") == 0, F.col("info"))).alias("ref_info"),
+        F.collect_list(F.when(F.col("sys_no") > 0, F.struct(*cols))).alias("x"))  # two rows a system
+    of = lambda c, k: F.aggregate(F.filter("x", lambda r: r["sys_no"] == k), F.lit(None).cast("double"),
+                                  lambda acc, r: F.coalesce(acc + r[c], r[c].cast("double"), acc))
+    each = F.array(*(F.struct(F.lit(k).alias("sys_no"), *(of(c, k).alias(c) for c in cols[1:])) for k in range(1, st.systems + 1)))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return (one.select("inst_id", "n", "ref_info", F.inline(each)).where("match IS NOT NULL")
+            .select("inst_id", "sys_no", "n", long("match"), long("tst_count"), long("ref_count"),
+                    F.coalesce("info", F.lit(0.0)).alias("tst_info"), F.coalesce("ref_info", F.lit(0.0)).alias("ref_info"),
+                    "ref_length", long("nrefs"), long("sys_len")))
+
+
+def perl_corpus_stats(st: Stats, info: bool = True) -> DataFrame:
+    """One row a system with match_n, tst_count_n, ref_count_n, tst_info_n, ref_info_n, ref_length, nrefs_sum, nsegs:
+    the sums over all instances; without ``info`` the information is null (BLEU needs none)."""
+    orders = range(1, st.max_n + 1)
+    of = lambda c, n: F.col(c)[n - 1].cast("double").alias(f"{'match' if c == 'hits' else c}_{n}")
+    per = st.instances().select(
+        "sys_no", *(of("hits", n) for n in orders),
+        *(F.greatest(_cand(n), F.lit(0)).cast("double").alias(f"tst_count_{n}") for n in orders), *(of("ref_count", n) for n in orders),
+        F.col("closest_nz").cast("double").alias("ref_length"), F.col("nrefs").cast("double").alias("nrefs_sum"),
+        F.lit(1.0).alias("nsegs"), *(F.lit(None).cast("double").alias(f"{c}_{n}") for c in ("tst_info", "ref_info") for n in orders))
+    both = per
+    if info:
+        rows = V.corpus_info(st.rows, st.max_n, st.systems)
+        both = per.unionByName(rows.select(
+            "sys_no", *(F.when(F.col("n") == n, F.col(c)).otherwise(0.0).alias(f"{c}_{n}") for c in ("tst_info", "ref_info") for n in orders)),
+            allowMissingColumns=True)
+    return both.groupBy("sys_no").agg(*(F.sum(c).alias(c) for c in both.columns if c != "sys_no"))
+
+
+def _running(orders: Column, zero: Column, step) -> Column:
+    """An array with what ``step(state, order, n)`` gives for each order: (next state, value)."""
+    empty = F.array().cast("array<struct<ind: double, cum: double>>")
+
+    def merge(acc, x):
+        n = F.size(acc["out"]) + 1
+        state, value = step(acc["state"], x, n)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(value)).alias("out"))
+
+    return F.aggregate(orders, F.struct(zero.alias("state"), empty.alias("out")), merge, lambda acc: acc["out"])
+
+
+def _pair(ind: Column, cum: Column) -> Column:
+    return F.struct(ind.cast("double").alias("ind"), cum.cast("double").alias("cum"))
+
+
+def perl_bleu(max_n: int, smoothed: bool = True) -> Column:
+    """Individual and cumulative BLEU of every order, as array<struct<ind, cum>>.
 
     Smoothed (default): the k-th order with no match counts 1/2^k of its n-grams; an
     order with no n-grams adds 0.  Unsmoothed: an order with no match gives a
     cumulative score of 0 there and is left out of the running log sum."""
-    t1 = F.col("tst_count_1").cast("double")
-    cols = []
-    score = F.lit(0.0)
-    smooth = F.lit(1.0)
+    orders = F.array(*(F.struct(F.col(f"match_{n}").cast("double").alias("m"), F.col(f"tst_count_{n}").cast("double").alias("t"))
+                       for n in range(1, max_n + 1)))
+    t1, short = F.col("tst_count_1").cast("double"), 1 - F.try_divide(F.col("ref_length").cast("double"), F.col("tst_count_1").cast("double"))
     if smoothed:
-        len_score = F.when(t1 > 0, F.exp(F.least(F.lit(0.0), 1 - F.try_divide(F.col("ref_length").cast("double"), t1)))).otherwise(0.0)
-        for n in range(1, max_n + 1):
-            m, t = F.col(f"match_{n}").cast("double"), F.col(f"tst_count_{n}").cast("double")
-            zero_m = (t > 0) & (m == 0)
-            smooth = F.when(zero_m, smooth * 2).otherwise(smooth)
-            iscore = F.when(t == 0, F.lit(0.0)).when(m == 0, F.log(F.try_divide(F.lit(1.0), smooth * t))).otherwise(F.log(F.try_divide(m, t)))
-            score = score + iscore
-            cols += [F.exp(iscore).alias(f"bleu_ind_{n}"), (F.exp(score / n) * len_score).alias(f"bleu_cum_{n}")]
+        len_score = F.when(t1 > 0, F.exp(F.least(F.lit(0.0), short))).otherwise(0.0)
+
+        def step(state, x, n):
+            smooth = F.when((x["t"] > 0) & (x["m"] == 0), state["smooth"] * 2).otherwise(state["smooth"])
+            one = F.when(x["t"] == 0, F.lit(0.0)).when(x["m"] == 0, F.log(F.try_divide(F.lit(1.0), smooth * x["t"]))).otherwise(
+                F.log(F.try_divide(x["m"], x["t"])))
+            score = state["score"] + one
+            return F.struct(score.alias("score"), smooth.alias("smooth")), _pair(F.exp(one), F.exp(score / n) * len_score)
     else:
-        len_score = F.least(F.lit(0.0), 1 - F.try_divide(F.col("ref_length").cast("double"), t1))
-        for n in range(1, max_n + 1):
-            m, t = F.col(f"match_{n}").cast("double"), F.col(f"tst_count_{n}").cast("double")
-            iscore = F.log(F.try_divide(m, t))
-            score = F.when(m == 0, score).otherwise(score + iscore)
-            cols += [F.when(m == 0, F.lit(None).cast("double")).otherwise(F.exp(iscore)).alias(f"bleu_ind_{n}"),
-                     F.when(m == 0, F.lit(0.0)).otherwise(F.exp(score / n + len_score)).alias(f"bleu_cum_{n}")]
-    return cols
-
-
-def perl_nist_cols(max_n: int) -> list:
-    """individual and cumulative NIST per n; denominators floored at 1; the length
-    ratio uses the mean number of references per segment."""
+        len_score = F.least(F.lit(0.0), short)
+
+        def step(state, x, n):
+            none, one = x["m"] == 0, F.log(F.try_divide(x["m"], x["t"]))
+            score = F.when(none, state["score"]).otherwise(state["score"] + one)
+            return (F.struct(score.alias("score"), state["smooth"].alias("smooth")),
+                    _pair(F.when(~none, F.exp(one)), F.when(none, F.lit(0.0)).otherwise(F.exp(score / n + len_score))))
+    return _running(orders, F.struct(F.lit(0.0).alias("score"), F.lit(1.0).alias("smooth")), step)
+
+
+def perl_nist(max_n: int) -> Column:
+    """individual and cumulative NIST of every order, as array<struct<ind, cum>>; denominators floored at 1;
+    the length ratio uses the mean number of references per segment."""
     refs = F.try_divide(F.col("ref_count_1").cast("double"), F.try_divide(F.col("nrefs_sum").cast("double"), F.col("nsegs")))
-    ratio = F.try_divide(F.col("tst_count_1").cast("double"), refs)  # null score where the references are empty
-    pen = nist_penalty(ratio)
-    cols, score = [], F.lit(0.0)
-    for n in range(1, max_n + 1):
-        term = F.col(f"tst_info_{n}") / F.greatest(F.col(f"tst_count_{n}"), F.lit(1))
-        score = score + term
-        cols += [(term * pen).alias(f"nist_ind_{n}"), (score * pen).alias(f"nist_cum_{n}")]
-    return cols
+    pen = nist_penalty(F.try_divide(F.col("tst_count_1").cast("double"), refs))  # null where the references are empty
+    orders = F.array(*(F.struct((F.col(f"tst_info_{n}") / F.greatest(F.col(f"tst_count_{n}"), F.lit(1))).alias("term"))
+                       for n in range(1, max_n + 1)))
 
+    def step(state, x, n):
+        score = state["score"] + x["term"]
+        return F.struct(score.alias("score")), _pair(x["term"] * pen, score * pen)
 
-def perl_scores(refs, sys, max_n: int = 9, keys=None, stats: Stats | None = None, smoothed: bool = True):
+    return _running(orders, F.struct(F.lit(0.0).alias("score")), step)
+
+
+def perl_columns(w: DataFrame, keys: list, max_n: int, smoothed: bool = True) -> DataFrame:
+    """Wide sums -> keys and bleu_ind_n, bleu_cum_n, nist_ind_n, nist_cum_n of every order."""
+    done = w.select(*keys, perl_bleu(max_n, smoothed).alias("bleu"), perl_nist(max_n).alias("nist"))
+    return done.select(*keys, *(F.col(m)[n - 1][c].alias(f"{m}_{c}_{n}") for m in ("bleu", "nist") for n in range(1, max_n + 1)
+                                for c in ("ind", "cum")))
+
+
+def perl_scores(refs, sys, max_n: int = 9, stats: Stats | None = None, smoothed: bool = True) -> DataFrame:
+    """a row a system with the individual and cumulative BLEU and NIST of every order."""
     st = stats or Stats(refs, sys, max_n, "perl")
-    w = _perl_wide(perl_segment_stats(st), keys or [], max_n)
-    return w.select(*(keys or []), *perl_bleu_cols(max_n, smoothed), *perl_nist_cols(max_n))
+    return perl_columns(perl_corpus_stats(st), ["sys_no"], max_n, smoothed)
 
 
 def ngram_report(refs, sys, max_n: int = 9, stats: Stats | None = None) -> DataFrame:
-    """per n the individual and cumulative BLEU and NIST of the corpus (long form)."""
-    w = perl_scores(refs, sys, max_n, stats=stats)
-    rows = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"bleu_ind_{n}").alias("bleu_ind"),
-                              F.col(f"bleu_cum_{n}").alias("bleu_cum"), F.col(f"nist_ind_{n}").alias("nist_ind"),
-                              F.col(f"nist_cum_{n}").alias("nist_cum")) for n in range(1, max_n + 1)])
-    return w.select(F.inline(rows))
+    """per system and n the individual and cumulative BLEU and NIST of the corpus (long form)."""
+    st = stats or Stats(refs, sys, max_n, "perl")
+    rows = perl_corpus_stats(st).select("sys_no", perl_bleu(max_n).alias("bleu"), perl_nist(max_n).alias("nist"))
+    return rows.select("sys_no", F.posexplode(F.arrays_zip("bleu", "nist")).alias("_n", "x")).select(
+        "sys_no", (F.col("_n") + 1).alias("n"), F.col("x.bleu.ind").alias("bleu_ind"), F.col("x.bleu.cum").alias("bleu_cum"),
+        F.col("x.nist.ind").alias("nist_ind"), F.col("x.nist.cum").alias("nist_cum"))
+
+
+def level_sums(seg: DataFrame, sets: list[list[str]], max_n: int) -> DataFrame:
+    """Segment statistics (with any key columns) summed over grouping sets: the keys (null where summed over),
+    ``level`` (which set, from 0) and the sums by order."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    aggs = [F.sum(F.when(F.col("n") == n, F.col(c))).alias(f"{c}_{n}") for n in range(1, max_n + 1)
+            for c in ("match", "tst_count", "ref_count", "tst_info", "ref_info")]
+    one = F.col("n") == 1
+    aggs += [F.sum(F.when(one, F.col("ref_length"))).alias("ref_length"), F.sum(F.when(one, F.col("nrefs"))).alias("nrefs_sum"),
+             F.sum(F.when(one, F.lit(1))).alias("nsegs")]
+    # a key that a set lacks has the bit of its place (from the left) in the grouping id
+    bits = [sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s) for s in sets]
+    level = F.coalesce(*(F.when(F.col("_id") == b, F.lit(i)) for i, b in enumerate(bits)))
+    return (seg.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(*aggs, F.grouping_id().alias("_id"))
+            .withColumn("level", level).drop("_id"))
 
 
 def score_levels(refs, sys, doc: Column, max_n: int = 9, stats: Stats | None = None) -> DataFrame:
-    """F16: segment, document and system level in one rollup over the segment statistics."""
+    """F16: segment, document and system level of every system, in one aggregation over grouping sets."""
     st = stats or Stats(refs, sys, max_n, "perl")
     seg = perl_segment_stats(st).withColumn("doc", doc)
-    aggs = []
-    for n in range(1, max_n + 1):
-        for c in ("match", "tst_count", "ref_count", "tst_info"):
-            aggs.append(F.sum(F.when(F.col("n") == n, F.col(c))).alias(f"{c}_{n}"))
-    aggs += [F.sum(F.when(F.col("n") == 1, F.col("ref_length"))).alias("ref_length"),
-             F.sum(F.when(F.col("n") == 1, F.col("nrefs"))).alias("nrefs_sum"),
-             F.sum(F.when(F.col("n") == 1, F.lit(1))).alias("nsegs"),
-             F.grouping_id().alias("gid")]
-    w = seg.rollup("doc", "inst_id").agg(*aggs)
-    level = F.when(F.col("gid") == 0, "segment").when(F.col("gid") == 1, "document").otherwise("system")
-    return w.select(level.alias("level"), "doc", "inst_id", *perl_bleu_cols(max_n), *perl_nist_cols(max_n))
+    w = level_sums(seg, [["sys_no", "doc", "inst_id"], ["sys_no", "doc"], ["sys_no"]], max_n)
+    level = F.element_at(F.array(F.lit("segment"), F.lit("document"), F.lit("system")), F.col("level") + 1)
+    return perl_columns(w.withColumn("level", level), ["level", "sys_no", "doc", "inst_id"], max_n)
 
 
 # ---------------------------------------------------------------------------
@@ -306,17 +344,12 @@ def caption_bleu(refs, sys, max_n: int = 4, option: str = "closest", keys=None,
     """Bleu_1..4 of the caption scorer: tiny/small constants are *added*; the
     brevity factor applies when the length ratio is below 1."""
     st = stats or Stats(refs, sys, max_n, "caption")
-    rl = G.ref_len_pick(st.ref_len, st.sys_len, option)
-    seg = st.hits().join(rl, "inst_id").withColumn(
-        "guess", F.greatest(F.col("sys_len") - F.col("n") + 1, F.lit(0)))
     k = ["inst_id"] if level == "segment" else (keys or [])
     aggs = []
     for n in range(1, max_n + 1):
-        aggs.append(F.sum(F.when(F.col("n") == n, F.col("hits"))).alias(f"c_{n}"))
-        aggs.append(F.sum(F.when(F.col("n") == n, F.col("guess"))).alias(f"g_{n}"))
-    aggs += [F.sum(F.when(F.col("n") == 1, F.col("sys_len"))).alias("testlen"),
-             F.sum(F.when(F.col("n") == 1, F.col("ref_len"))).alias("reflen")]
-    w = seg.groupBy(*k).agg(*aggs)
+        aggs += [F.sum(F.col("hits")[n - 1]).alias(f"c_{n}"), F.sum(F.greatest(_cand(n), F.lit(0))).alias(f"g_{n}")]
+    aggs += [F.sum("sys_len").alias("testlen"), F.sum(ref_len(option)).alias("reflen")]
+    w = st.instances().groupBy(*k).agg(*aggs)
     ratio = (F.col("testlen") + BLEU_TINY) / (F.col("reflen") + BLEU_SMALL)
     bp = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(F.lit(1.0))
     prod, cols = F.lit(1.0), []
@@ -370,34 +403,15 @@ def cider(refs, sys, max_n: int = 4, sigma: float = CIDER_SIGMA, stats: Stats |
           level: str = "segment") -> DataFrame:
     """CIDEr.  tf-idf weights with idf = ln(instances) - ln(max(1, df)); per order
     the clipped dot product min(h, r) * r over the norms; a Gaussian on the difference
-    of bigram counts; mean over orders and references, times 10."""
+    of bigram counts (summed in tasks, see ``vectors.cider_parts``); mean over orders and references, times 10."""
     st = stats or Stats(refs, sys, max_n, "caption")
-    df = G.doc_freq(st.ref_counts)
-    n_inst = st.sys_len.agg(F.count(F.lit(1))).scalar()
-    grams = st.table.filter(F.col("n") > 0).join(df, ["n", "gram"], "left")
-    vec = grams.select("inst_id", "ref_no", "n", "gram",
-                       (F.col("cnt") * (F.log(n_inst.cast("double")) -
-                                        F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double")))).alias("v"))
-    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
-    norms = vec.groupBy("inst_id", "ref_no", "n").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    h = vec.filter(F.col("ref_no") == G.SYS).select("inst_id", "n", "gram", F.col("v").alias("vh"))
-    r = vec.filter(F.col("ref_no") != G.SYS)
-    dots = (h.join(r, ["inst_id", "n", "gram"])
-            .groupBy("inst_id", "ref_no", "n").agg(F.sum(F.least("vh", "v") * F.col("v")).alias("dot")))
-    bigr = st.table.filter(F.col("n") == 0).select("inst_id", "ref_no", F.greatest(F.col("cnt") - 1, F.lit(0)).alias("blen"))
-    hn = norms.filter(F.col("ref_no") == G.SYS).select("inst_id", "n", F.col("norm").alias("nh"))
-    hb = bigr.filter(F.col("ref_no") == G.SYS).select("inst_id", F.col("blen").alias("bh"))
-    refs_n = bigr.filter(F.col("ref_no") != G.SYS)
-    pairs = (refs_n.join(hb, "inst_id")
-             .select("inst_id", "ref_no", F.exp(-F.pow(F.col("bh") - F.col("blen"), 2) / (2 * sigma ** 2)).alias("pen")))
-    cells = (pairs.select("inst_id", "ref_no", "pen", F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n"))
-             .join(norms.filter(F.col("ref_no") != G.SYS).withColumnRenamed("norm", "nr"), ["inst_id", "ref_no", "n"], "left")
-             .join(hn, ["inst_id", "n"], "left").join(dots, ["inst_id", "ref_no", "n"], "left"))
-    nh, nr, dot = F.coalesce("nh", F.lit(0.0)), F.coalesce("nr", F.lit(0.0)), F.coalesce("dot", F.lit(0.0))
-    val = F.when((nh != 0) & (nr != 0), dot / (nh * nr)).otherwise(dot) * F.col("pen")
-    seg = cells.groupBy("inst_id").agg(
-        (F.sum(val) / max_n / F.count_distinct("ref_no") * 10.0).alias("cider"))
-    return seg if level == "segment" else seg.agg(F.avg("cider").alias("cider"))
+    freq = st.table("doc-freq", V.gram_rows(st.rows, max_n, st.systems).groupBy("id").agg(F.sum("insts").alias("insts")))
+    parts = V.cider_parts(st.texts, st.tokens, max_n, sigma, freq, st.systems)
+    seg = (parts.groupBy(F.col("inst_id.inst_id").alias("inst_id"), "sys_no")
+           .agg((F.sum("value") / max_n / F.sum("n_refs") * 10.0).alias("cider")))
+    if st.systems == 1:
+        seg = seg.drop("sys_no")
+    return seg if level == "segment" else seg.groupBy(*([] if st.systems == 1 else ["sys_no"])).agg(F.avg("cider").alias("cider"))
 
 
 def meteor_stats(refs, sys) -> DataFrame:

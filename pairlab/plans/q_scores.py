@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from pairlab.functions import text as T
@@ -61,64 +59,73 @@ def _stats(spark, sf, max_n, how="mteval"):
     return S.Stats(None, None, max_n, how, texts=V.seg_texts(spark, sf))
 
 
-@query("ngram_counts", lambda: with_views("seg") + ",\n" + Q.tok_ctes() + "," + Q.gram_ctes(4) + """
-SELECT inst_id, 'ref' AS side, n, CAST(count(*) AS BIGINT) AS n_grams, CAST(sum(cnt) AS BIGINT) AS total,
-       CAST(max(cnt) AS BIGINT) AS max_cnt FROM rc GROUP BY inst_id, n
-UNION ALL
-SELECT inst_id, 'sys' AS side, n, count(*), sum(cnt), max(cnt) FROM sc GROUP BY inst_id, n""")
+def _listed(value: str):
+    """md5 of all "gram TAB value" lines in order of the gram: the whole list, in one column."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("gram", value))), lambda x: F.concat_ws("\t", x["gram"], x[value].cast("string")))
+    return F.md5(F.array_join(lines, "\n").cast("binary"))
+
+
+def _listed_sql(value: str) -> str:
+    return f"md5(string_agg(gram || chr(9) || CAST({value} AS BIGINT), chr(10) ORDER BY gram))"
+
+
+def _tokens(spark, sf, how="mteval"):
+    return G.tokenize_texts(V.seg_texts(spark, sf), how)
+
+
+@query("ngram_counts", lambda: with_views("seg") + ",\n" + Q.tok_ctes() + "," + Q.gram_ctes(4) + f"""
+SELECT inst_id, CAST(ref_no AS INTEGER) AS ref_no, CAST(n AS INTEGER) AS n, count(*) AS n_grams, CAST(sum(cnt) AS BIGINT) AS total, {_listed_sql("cnt")} AS grams
+FROM (SELECT inst_id, ref_no, n, gram, cnt FROM rc UNION ALL SELECT inst_id, -1, n, gram, cnt FROM sc) GROUP BY inst_id, ref_no, n""")
 def ngram_counts(spark, sf):
-    """E5 summarised per instance, side and n (distinct grams, total and max count)."""
-    st = _stats(spark, sf, 4)
-    agg = [F.count(F.lit(1)).cast("long").alias("n_grams"), F.sum("cnt").cast("long").alias("total"),
-           F.max("cnt").cast("long").alias("max_cnt")]
-    r = st.ref_counts.groupBy("inst_id", "n").agg(*agg).withColumn("side", F.lit("ref"))
-    s = st.sys_counts.groupBy("inst_id", "n").agg(*agg).withColumn("side", F.lit("sys"))
-    return r.unionByName(s).select("inst_id", "side", F.col("n").cast("int"), "n_grams", "total", "max_cnt")
+    """E5: every text's grams of each order with their counts (``grams`` is the digest of the whole list)."""
+    g = G.gram_counts(_tokens(spark, sf), ["inst_id", "ref_no"], 4)
+    return g.groupBy("inst_id", "ref_no", "n").agg(F.count(F.lit(1)).alias("n_grams"), F.sum("cnt").alias("total"), _listed("cnt").alias("grams"))
 
 
-@query("ref_max_counts", lambda: with_views("seg") + ",\n" + Q.tok_ctes() + "," + Q.gram_ctes(4) + """
-SELECT inst_id, CAST(n AS INTEGER) AS n, CAST(count(*) AS BIGINT) AS n_grams, CAST(sum(rmax) AS BIGINT) AS sum_rmax
+@query("ref_max_counts", lambda: with_views("seg") + ",\n" + Q.tok_ctes() + "," + Q.gram_ctes(4) + f"""
+SELECT inst_id, CAST(n AS INTEGER) AS n, count(*) AS n_grams, CAST(sum(rmax) AS BIGINT) AS sum_rmax, {_listed_sql("rmax")} AS grams
 FROM rmax GROUP BY inst_id, n""")
 def ref_max_counts(spark, sf):
-    st = _stats(spark, sf, 4)
-    return st.ref_max().groupBy("inst_id", "n").agg(
-        F.count(F.lit(1)).cast("long").alias("n_grams"), F.sum("rmax").cast("long").alias("sum_rmax")
-    ).select("inst_id", F.col("n").cast("int"), "n_grams", "sum_rmax")
+    """Each instance's reference grams with their largest count."""
+    g = G.ref_max_counts(G.gram_counts(_tokens(spark, sf).where("ref_no >= 0"), ["inst_id", "ref_no"], 4))
+    return g.groupBy("inst_id", "n").agg(F.count(F.lit(1)).alias("n_grams"), F.sum("rmax").alias("sum_rmax"), _listed("rmax").alias("grams"))
 
 
 @query("clipped_hits", lambda: with_views("seg") + ",\n" + Q.tok_ctes() + "," + Q.gram_ctes(4) + """
 SELECT inst_id, CAST(n AS INTEGER) AS n, CAST(hits AS BIGINT) AS hits FROM hits""")
 def clipped_hits(spark, sf):
     st = _stats(spark, sf, 4)
-    return st.hits().select("inst_id", F.col("n").cast("int"), F.col("hits").cast("long"))
+    return st.segment_stats().select("inst_id", F.col("n").cast("int"), F.col("hits").cast("long"))
 
 
-@query("ngram_doc_freq", lambda: with_views("seg") + ",\n" + Q.tok_ctes("caption") + "," + Q.gram_ctes(4) + """,
+#: Grams are told in 4096 parts by the first digits of their md5.
+def _part(gram):
+    return F.substring(F.md5(gram.cast("binary")), 1, 3)
+
+
+@query("ngram_doc_freq", lambda: with_views("seg") + ",\n" + Q.tok_ctes("caption") + "," + Q.gram_ctes(4) + f""",
 dfreq AS (SELECT n, gram, count(DISTINCT inst_id) AS df FROM rc GROUP BY n, gram)
-SELECT CAST(n AS INTEGER) AS n, CAST(df AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS n_grams
-FROM dfreq GROUP BY n, df""")
+SELECT CAST(n AS INTEGER) AS n, substr(md5(gram), 1, 3) AS part, count(*) AS n_grams, CAST(sum(df) AS BIGINT) AS sum_df, {_listed_sql("df")} AS grams
+FROM dfreq GROUP BY 1, 2""")
 def ngram_doc_freq(spark, sf):
-    """E8 as a histogram: how many grams of order n have document frequency df."""
-    st = _stats(spark, sf, 4, "caption")
-    return (G.doc_freq(st.ref_counts).groupBy("n", "df").agg(F.count(F.lit(1)).cast("long").alias("n_grams"))
-            .select(F.col("n").cast("int"), F.col("df").cast("long"), "n_grams"))
+    """Every gram with the number of instances whose references hold it."""
+    g = G.doc_freq(G.gram_counts(_tokens(spark, sf, "caption").where("ref_no >= 0"), ["inst_id", "ref_no"], 4, empty_token=False))
+    return g.groupBy("n", _part(F.col("gram")).alias("part")).agg(F.count(F.lit(1)).alias("n_grams"), F.sum("df").alias("sum_df"), _listed("df").alias("grams"))
 
 
-@query("ngram_info", lambda: with_views("seg") + ",\n" + Q.tok_ctes() + "," + Q.gram_ctes(5) + """,
-tot AS (SELECT n, gram, sum(cnt) AS tot FROM rc GROUP BY n, gram),
+@query("ngram_info", lambda: with_views("seg") + ",\n" + Q.tok_ctes() + "," + Q.gram_ctes(5) + f""",
+tot AS MATERIALIZED (SELECT n, gram, sum(cnt) AS tot FROM rc GROUP BY n, gram),
 words AS (SELECT sum(tot) AS words FROM tot WHERE n = 1),
-info AS (SELECT t.n, t.gram, log2(CASE WHEN t.n = 1 THEN (SELECT words FROM words) ELSE p.tot END / t.tot) AS info
+info AS (SELECT t.n, t.gram, t.tot, CASE WHEN t.n = 1 THEN (SELECT words FROM words) ELSE p.tot END AS whole
          FROM tot t LEFT JOIN tot p ON p.n = t.n - 1
               AND p.gram = CASE WHEN t.n > 1 THEN regexp_replace(t.gram, ' [^ ]*$', '') END)
-SELECT CAST(n AS INTEGER) AS n, CAST(count(*) AS BIGINT) AS n_grams, round(sum(info), 4) AS info_sum,
-       round(max(info), 4) AS info_max FROM info GROUP BY n""")
+SELECT CAST(n AS INTEGER) AS n, substr(md5(gram), 1, 3) AS part, count(*) AS n_grams, round(sum(log2(whole / tot)), 4) AS info_sum,
+       {_listed_sql("tot")} AS totals, {_listed_sql("whole")} AS prefix_totals FROM info GROUP BY 1, 2""")
 def ngram_info(spark, sf):
-    """E9 summarised per order (count, sum and max of the information values)."""
-    st = _stats(spark, sf, 5)
-    info = G.ngram_info(st.ref_counts)
-    return info.groupBy("n").agg(F.count(F.lit(1)).cast("long").alias("n_grams"),
-                                 _r4(F.sum("info")).alias("info_sum"), _r4(F.max("info")).alias("info_max")
-                                 ).select(F.col("n").cast("int"), "n_grams", "info_sum", "info_max")
+    """Every gram with its total and that of its prefix, and the information they give."""
+    info = G.ngram_info(G.gram_counts(_tokens(spark, sf).where("ref_no >= 0"), ["inst_id", "ref_no"], 5))
+    return info.groupBy("n", _part(F.col("gram")).alias("part")).agg(
+        F.count(F.lit(1)).alias("n_grams"), _r4(F.sum("info")).alias("info_sum"), _listed("tot").alias("totals"), _listed("whole").alias("prefix_totals"))
 
 
 # ---------------------------------------------------------------- F1-F4
@@ -127,12 +134,8 @@ def ngram_info(spark, sf):
 SELECT inst_id, CAST(rlen_closest AS DOUBLE) AS closest, CAST(rlen_short AS DOUBLE) AS shortest,
        round(rlen_avg, 4) AS average FROM lens""")
 def ref_len_pick(spark, sf):
-    st = _stats(spark, sf, 1)
-    out = None
-    for how in ("closest", "shortest", "average"):
-        r = G.ref_len_pick(st.ref_len, st.sys_len, how).select("inst_id", _r4(F.col("ref_len")).alias(how))
-        out = r if out is None else out.join(r, "inst_id")
-    return out
+    d = _stats(spark, sf, 1).instances()
+    return d.select("inst_id", *(_r4(S.ref_len(how)).alias(how) for how in ("closest", "shortest", "average")))
 
 
 def _bleu_sql(level: str) -> str:
@@ -222,51 +225,68 @@ def nist_segment(spark, sf):
 
 # ---------------------------------------------------------------- F2, F5, F6, F10, F16, F17 (Perl scorer)
 
-def _perl_sql(max_n: int = 9) -> str:
-    """CTEs: pst (inst_id, n, match, tst_count, ref_count, tst_info, ref_length, nrefs) and pw (corpus sums)."""
-    base = with_views("seg") + ",\n" + Q.tok_ctes("perl") + "," + Q.gram_ctes(max_n)
+def _perl_sql(max_n: int = 9, info: bool = True, systems: int = 1) -> str:
+    """CTEs: pst (inst_id, sys_no, n, match, tst_count, ref_count, tst_info, ref_info, ref_length, nrefs) and pw
+    (corpus sums a system).  A gram is the hash of its tokens' hashes; every step that is read twice is
+    written out, and hits are summed by instance before the next join."""
+    ids = lambda c: f"list_transform({Q.mteval_tokens(c, 'perl')}, lambda w: hash(w))"
+    outputs = " UNION ALL ".join(["SELECT inst_id, 1 AS sys_no, sys FROM seg_sys"]
+                                 + [f"SELECT inst_id, {k} AS sys_no, sys FROM seg_sys{k}" for k in range(2, systems + 1)])
+    told = f"""
+tot AS MATERIALIZED (SELECT g, any_value(n) AS n, any_value(p) AS p, sum(cnt) AS tot FROM rc GROUP BY g),
+info AS MATERIALIZED (SELECT t.g, log2(CASE WHEN t.n = 1 THEN (SELECT sum(tot) FROM tot WHERE n = 1) ELSE pre.tot END / t.tot) AS info
+         FROM tot t LEFT JOIN tot pre ON pre.g = t.p AND t.n > 1),
+ti AS (SELECT inst_id, sys_no, n, sum(hits) AS match, sum(hits * info) AS tst_info FROM hitg JOIN info USING (g) GROUP BY ALL),
+ri AS (SELECT inst_id, n, sum(info) AS ref_info FROM rc JOIN info USING (g) GROUP BY ALL),""" if info else """
+ti AS (SELECT inst_id, sys_no, n, sum(hits) AS match, 0.0 AS tst_info FROM hitg GROUP BY ALL),
+ri AS (SELECT inst_id, n, 0.0 AS ref_info FROM rcnt),"""
     cols = ", ".join(f"sum(CASE WHEN n = {n} THEN {c} END) AS {c}_{n}" for n in range(1, max_n + 1)
-                     for c in ("match", "tst_count", "ref_count", "tst_info"))
-    # every step once: the selects on top of them read the same sums up to nine times
-    return _materialized(base + f""",
-tot AS (SELECT n, gram, sum(cnt) AS tot FROM rc GROUP BY n, gram),
-words AS (SELECT sum(tot) AS words FROM tot WHERE n = 1),
-info AS (SELECT t.n, t.gram, log2(CASE WHEN t.n = 1 THEN (SELECT words FROM words) ELSE p.tot END / t.tot) AS info
-         FROM tot t LEFT JOIN tot p ON p.n = t.n - 1
-              AND p.gram = CASE WHEN t.n > 1 THEN regexp_replace(t.gram, ' [^ ]*$', '') END),
-ti AS (SELECT h.inst_id, h.n, sum(h.hits * coalesce(i.info, 0)) AS tst_info FROM hitg h LEFT JOIN info i USING (n, gram)
-       WHERE h.hits > 0 GROUP BY h.inst_id, h.n),
-rcnt AS (SELECT r.inst_id, o.n, sum(greatest(len(r.toks) - o.n + 1, 0)) AS ref_count FROM rt r, range(1, {max_n + 1}) o(n)
-         GROUP BY r.inst_id, o.n),
-pst AS (SELECT h.inst_id, h.n, h.hits AS match, greatest(l.slen - h.n + 1, 0) AS tst_count, rc2.ref_count,
-               coalesce(ti.tst_info, 0) AS tst_info, coalesce(l.rlen_closest_nz, 0) AS ref_length, l.nrefs_nz AS nrefs
-        FROM hits h JOIN lens l USING (inst_id) JOIN rcnt rc2 USING (inst_id, n) LEFT JOIN ti USING (inst_id, n)),
-pw AS (SELECT {cols}, sum(CASE WHEN n = 1 THEN ref_length END) AS ref_length,
-              sum(CASE WHEN n = 1 THEN nrefs END) AS nrefs_sum, sum(CASE WHEN n = 1 THEN 1 END) AS nsegs FROM pst)""")
-
-
-def _materialized(sql: str) -> str:
-    return re.sub(r"((?:^|,|WITH)\s*\w+) AS \((?=\s*SELECT)", r"\1 AS MATERIALIZED (", sql)
-
-
-def _perl_report_sql(max_n: int = 9) -> str:
-    rows = []
-    for n in range(1, max_n + 1):
-        # smoothed BLEU: running log sum with the k-th zero-match order counting 1/2^k
-        terms = []
-        for j in range(1, n + 1):
-            zeros = " + ".join(f"(CASE WHEN tst_count_{i} > 0 AND match_{i} = 0 THEN 1 ELSE 0 END)" for i in range(1, j + 1))
-            terms.append(f"(CASE WHEN tst_count_{j} = 0 THEN 0 WHEN match_{j} = 0 THEN ln(1.0 / (pow(2, {zeros}) * tst_count_{j})) "
-                         f"ELSE ln(match_{j} * 1.0 / tst_count_{j}) END)")
-        ind = terms[-1]
-        lens = "(CASE WHEN tst_count_1 > 0 THEN exp(least(0, 1 - ref_length / tst_count_1)) ELSE 0 END)"
-        pen_ratio = "tst_count_1 / (ref_count_1 / (nrefs_sum * 1.0 / nsegs))"
-        pen = (f"(CASE WHEN {pen_ratio} >= 1 THEN 1.0 WHEN {pen_ratio} <= 0 THEN 0.0 "
-               f"ELSE exp(-{S.NIST_BETA!r} * pow(ln({pen_ratio}), 2)) END)")
-        nist_terms = [f"(tst_info_{j} / greatest(tst_count_{j}, 1))" for j in range(1, n + 1)]
-        rows.append(f"SELECT {n} AS n, round(exp({ind}), 4) AS bleu_ind, round(exp(({' + '.join(terms)}) / {n}) * {lens}, 4) AS bleu_cum, "
-                    f"round({nist_terms[-1]} * {pen}, 4) AS nist_ind, round(({' + '.join(nist_terms)}) * {pen}, 4) AS nist_cum FROM pw")
-    return _perl_sql(max_n) + "\n" + "\nUNION ALL\n".join(rows)
+                     for c in ("match", "tst_count", "ref_count", "tst_info", "ref_info"))
+    # a token's row sees the following ones; a gram's id is mixed from its prefix's and its last token
+    leads = ", ".join(f"lead(h, {k}) OVER w AS h{k}" for k in range(1, max_n))
+    mixes = ", ".join(f"hash(g{k}, h{k}) AS g{k + 1}" for k in range(1, max_n))
+    each = ", ".join(["{'n': 1, 'g': g1, 'p': 0::UBIGINT}"]
+                     + [f"CASE WHEN h{k} IS NOT NULL THEN {{'n': {k + 1}, 'g': g{k + 1}, 'p': g{k}}} END" for k in range(1, max_n)])
+    grams = lambda src, keys: f"""SELECT {keys}, x.n AS n, x.g AS g, any_value(x.p) AS p, count(*) AS cnt FROM (
+  SELECT {keys}, unnest([{each}]) AS x FROM (SELECT *, h AS g1, {mixes} FROM (SELECT {keys}, h, {leads} FROM (
+    SELECT {keys}, unnest(h) AS h, unnest(generate_series(1, len(h))) AS pos FROM {src}) WINDOW w AS (PARTITION BY {keys} ORDER BY pos))))
+  WHERE x IS NOT NULL GROUP BY ALL"""
+    return with_views("seg") + f""",
+rt AS MATERIALIZED (SELECT inst_id, ref_no, {ids("ref")} AS h FROM seg_refs),
+st AS MATERIALIZED (SELECT inst_id, sys_no, {ids("sys")} AS h FROM ({outputs})),
+rc AS MATERIALIZED ({grams("rt", "inst_id, ref_no")}),
+rmax AS (SELECT inst_id, g, max(cnt) AS rmax FROM rc GROUP BY inst_id, g),
+hitg AS MATERIALIZED (SELECT inst_id, sys_no, n, g, least(cnt, rmax) AS hits FROM ({grams("st", "inst_id, sys_no")}) JOIN rmax USING (inst_id, g)),
+rcnt AS (SELECT r.inst_id, o.n, sum(greatest(len(r.h) - o.n + 1, 0)) AS ref_count FROM rt r, range(1, {max_n + 1}) o(n) GROUP BY ALL),{told}
+lens AS (SELECT s.inst_id, s.sys_no, len(s.h) AS slen, coalesce(arg_min(len(r.h), CASE WHEN len(r.h) > 0 THEN abs(len(r.h) - len(s.h)) * 100000000 + len(r.h) END), 0) AS ref_length,
+                sum(CASE WHEN len(r.h) > 0 THEN 1 ELSE 0 END) AS nrefs FROM st s JOIN rt r USING (inst_id) GROUP BY s.inst_id, s.sys_no, len(s.h)),
+pst AS MATERIALIZED (SELECT l.inst_id, l.sys_no, rcnt.n, coalesce(ti.match, 0) AS match, greatest(l.slen - rcnt.n + 1, 0) AS tst_count, ref_count,
+               coalesce(ti.tst_info, 0) AS tst_info, coalesce(ri.ref_info, 0) AS ref_info, l.ref_length, l.nrefs
+        FROM lens l JOIN rcnt USING (inst_id) LEFT JOIN ti ON ti.inst_id = l.inst_id AND ti.sys_no = l.sys_no AND ti.n = rcnt.n
+        LEFT JOIN (SELECT inst_id, n, any_value(ref_info) AS ref_info FROM ri GROUP BY ALL) ri ON ri.inst_id = l.inst_id AND ri.n = rcnt.n),
+pw AS MATERIALIZED (SELECT sys_no, {cols}, sum(CASE WHEN n = 1 THEN ref_length END) AS ref_length,
+              sum(CASE WHEN n = 1 THEN nrefs END) AS nrefs_sum, sum(CASE WHEN n = 1 THEN 1 END) AS nsegs FROM pst GROUP BY sys_no)"""
+
+
+def _perl_parts(n: int) -> dict:
+    """SQL of the smoothed BLEU and NIST of order n from the sums of a row of pw."""
+    # smoothed BLEU: running log sum with the k-th zero-match order counting 1/2^k
+    terms = []
+    for j in range(1, n + 1):
+        zeros = " + ".join(f"(CASE WHEN tst_count_{i} > 0 AND match_{i} = 0 THEN 1 ELSE 0 END)" for i in range(1, j + 1))
+        terms.append(f"(CASE WHEN tst_count_{j} = 0 THEN 0 WHEN match_{j} = 0 THEN ln(1.0 / (pow(2, {zeros}) * tst_count_{j})) "
+                     f"ELSE ln(match_{j} * 1.0 / tst_count_{j}) END)")
+    lens = "(CASE WHEN tst_count_1 > 0 THEN exp(least(0, 1 - ref_length / tst_count_1)) ELSE 0 END)"
+    ratio = "(CASE WHEN nrefs_sum > 0 AND ref_count_1 > 0 THEN tst_count_1 / (ref_count_1 / (nrefs_sum * 1.0 / nsegs)) END)"
+    pen = (f"(CASE WHEN {ratio} >= 1 THEN 1.0 WHEN {ratio} <= 0 THEN 0.0 WHEN {ratio} > 0 THEN exp(-{S.NIST_BETA!r} * pow(ln({ratio}), 2)) END)")
+    nist = [f"(tst_info_{j} / greatest(tst_count_{j}, 1))" for j in range(1, n + 1)]
+    return {"bleu_ind": f"round(exp({terms[-1]}), 4)", "bleu_cum": f"round(exp(({' + '.join(terms)}) / {n}) * {lens}, 4)",
+            "nist_ind": f"round({nist[-1]} * {pen}, 4)", "nist_cum": f"round(({' + '.join(nist)}) * {pen}, 4)"}
+
+
+def _perl_report_sql(*names: str, max_n: int = 9) -> str:
+    rows = [f"SELECT {n} AS n, " + ", ".join(f"{_perl_parts(n)[c]} AS {c}" for c in names) + " FROM pw" for n in range(1, max_n + 1)]
+    return _perl_sql(max_n, any(c.startswith("nist") for c in names)) + "\n" + "\nUNION ALL\n".join(rows)
 
 
 def _report_df(spark, sf, max_n=9):
@@ -275,17 +295,18 @@ def _report_df(spark, sf, max_n=9):
     return r.select(F.col("n").cast("int"), *[_r4(F.col(c)).alias(c) for c in ("bleu_ind", "bleu_cum", "nist_ind", "nist_cum")])
 
 
-@query("ngram_report", lambda: _perl_report_sql(9))
+@query("ngram_report", lambda: _perl_report_sql("bleu_ind", "bleu_cum", "nist_ind", "nist_cum"))
 def ngram_report(spark, sf):
     return _report_df(spark, sf)
 
 
-@query("bleu_smoothed", lambda: "SELECT n, bleu_ind, bleu_cum FROM (" + _perl_report_sql(9) + ")")
+@query("bleu_smoothed", lambda: _perl_report_sql("bleu_ind", "bleu_cum"))
 def bleu_smoothed(spark, sf):
-    return _report_df(spark, sf).select("n", "bleu_ind", "bleu_cum")
+    w = S.perl_corpus_stats(_stats(spark, sf, 9, "perl"), info=False).select(F.posexplode(S.perl_bleu(9)).alias("_n", "x"))
+    return w.select((F.col("_n") + 1).cast("int").alias("n"), _r4(F.col("x.ind")).alias("bleu_ind"), _r4(F.col("x.cum")).alias("bleu_cum"))
 
 
-@query("nist_by_n", lambda: "SELECT n, nist_ind, nist_cum FROM (" + _perl_report_sql(9) + ")")
+@query("nist_by_n", lambda: _perl_report_sql("nist_ind", "nist_cum"))
 def nist_by_n(spark, sf):
     return _report_df(spark, sf).select("n", "nist_ind", "nist_cum")
 
@@ -296,37 +317,45 @@ def _unsmoothed_sql(max_n: int = 9) -> str:
         logs = " + ".join(f"(CASE WHEN match_{j} = 0 THEN 0 ELSE ln(match_{j} * 1.0 / tst_count_{j}) END)" for j in range(1, n + 1))
         rows.append(f"SELECT {n} AS n, CASE WHEN match_{n} = 0 THEN NULL ELSE round(match_{n} * 1.0 / tst_count_{n}, 4) END AS bleu_ind, "
                     f"CASE WHEN match_{n} = 0 THEN 0.0 ELSE round(exp(({logs}) / {n} + least(0, 1 - ref_length / tst_count_1)), 4) END AS bleu_cum FROM pw")
-    return _perl_sql(max_n) + "\n" + "\nUNION ALL\n".join(rows)
+    return _perl_sql(max_n, info=False) + "\n" + "\nUNION ALL\n".join(rows)
 
 
 @query("bleu_unsmoothed", lambda: _unsmoothed_sql(9))
 def bleu_unsmoothed(spark, sf):
     st = _stats(spark, sf, 9, "perl")
-    w = S._perl_wide(S.perl_segment_stats(st), [], 9).select(*S.perl_bleu_cols(9, smoothed=False))
-    rows = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"bleu_ind_{n}").alias("bleu_ind"),
-                              F.col(f"bleu_cum_{n}").alias("bleu_cum")) for n in range(1, 10)])
-    return w.select(F.inline(rows)).select(F.col("n").cast("int"), _r4(F.col("bleu_ind")).alias("bleu_ind"),
-                                            _r4(F.col("bleu_cum")).alias("bleu_cum"))
+    w = S.perl_corpus_stats(st, info=False).select(F.posexplode(S.perl_bleu(9, smoothed=False)).alias("_n", "x"))
+    return w.select((F.col("_n") + 1).cast("int").alias("n"), _r4(F.col("x.ind")).alias("bleu_ind"), _r4(F.col("x.cum")).alias("bleu_cum"))
 
 
 @query("segment_stats", lambda: _perl_sql(9) + """
 SELECT inst_id, CAST(n AS INTEGER) AS n, CAST(match AS BIGINT) AS match, CAST(tst_count AS BIGINT) AS tst_count,
-       CAST(ref_count AS BIGINT) AS ref_count, round(tst_info, 4) AS tst_info, CAST(ref_length AS DOUBLE) AS ref_length,
-       CAST(nrefs AS BIGINT) AS nrefs FROM pst""")
+       CAST(ref_count AS BIGINT) AS ref_count, round(tst_info, 4) AS tst_info, round(ref_info, 4) AS ref_info,
+       CAST(ref_length AS DOUBLE) AS ref_length, CAST(nrefs AS BIGINT) AS nrefs FROM pst""")
 def segment_stats(spark, sf):
     st = _stats(spark, sf, 9, "perl")
     s = S.perl_segment_stats(st)
     return s.select("inst_id", F.col("n").cast("int"), F.col("match").cast("long"), F.col("tst_count").cast("long"),
                     F.col("ref_count").cast("long"), _r4(F.col("tst_info")).alias("tst_info"),
-                    F.col("ref_length").cast("double"), F.col("nrefs").cast("long"))
+                    _r4(F.col("ref_info")).alias("ref_info"), F.col("ref_length").cast("double"), F.col("nrefs").cast("long"))
+
 
+def _levels_sql(max_n: int = 5) -> str:
+    cols = ", ".join(f"sum(CASE WHEN n = {n} THEN {c} END) AS {c}_{n}" for n in range(1, max_n + 1)
+                     for c in ("match", "tst_count", "ref_count", "tst_info"))
+    return _perl_sql(max_n, systems=2) + f""",
+lv AS (SELECT CAST(sys_no AS INTEGER) AS sys_no, CAST(inst_id % 20 AS INTEGER) AS doc, inst_id, GROUPING(inst_id % 20) AS gd, GROUPING(inst_id) AS gi, {cols},
+  sum(CASE WHEN n = 1 THEN ref_length END) AS ref_length, sum(CASE WHEN n = 1 THEN nrefs END) AS nrefs_sum,
+  sum(CASE WHEN n = 1 THEN 1 END) AS nsegs FROM pst GROUP BY GROUPING SETS ((sys_no, inst_id % 20, inst_id), (sys_no, inst_id % 20), (sys_no)))
+SELECT CASE WHEN gi = 0 THEN 'segment' WHEN gd = 0 THEN 'document' ELSE 'system' END AS level, sys_no, doc, inst_id,
+  {_perl_parts(4)["bleu_cum"]} AS bleu, {_perl_parts(5)["nist_cum"]} AS nist FROM lv"""
 
-@query("score_levels")
+
+@query("score_levels", _levels_sql)
 def score_levels(spark, sf):
-    """F16: segment, document (doc = inst_id % 20) and system level in one rollup."""
-    st = _stats(spark, sf, 9, "perl")
-    lv = S.score_levels(None, None, (F.col("inst_id") % 20).cast("int"), 9, stats=st)
-    return lv.select("level", "doc", "inst_id", _r4(F.col("bleu_cum_4")).alias("bleu"), _r4(F.col("nist_cum_5")).alias("nist"))
+    """F16: segment, document (doc = inst_id % 20) and system level of two systems in one aggregation."""
+    st = S.Stats(None, None, 5, "perl", texts=V.seg_texts(spark, sf, systems=2), systems=2)
+    lv = S.score_levels(None, None, (F.col("inst_id") % 20).cast("int"), 5, stats=st)
+    return lv.select("level", "sys_no", "doc", "inst_id", _r4(F.col("bleu_cum_4")).alias("bleu"), _r4(F.col("nist_cum_5")).alias("nist"))
 
 
 # ---------------------------------------------------------------- F7, F11-F15 (caption scorers)

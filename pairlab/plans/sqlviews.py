@@ -29,6 +29,10 @@ seg_sys AS (
   SELECT inst_id, array_to_string(list_filter(t, lambda x, i: (i - 1 + inst_id) % 7 <> 0), ' ') AS sys
   FROM seg_docs
 ),
+seg_sys2 AS (
+  SELECT inst_id, array_to_string(list_filter(t, lambda x, i: (i - 1 + inst_id) % 3 <> 1), ' ') AS sys
+  FROM seg_docs
+),
 seg_pairs AS (SELECT r.inst_id, r.ref_no, r.ref, s.sys FROM seg_refs r JOIN seg_sys s USING (inst_id))"""
 
 

@@ -7,7 +7,7 @@ table is dealt by its key once; after that every view is a row-local projection.
 ``seg_pairs`` uses whole document texts (no prefix of the text is taken): reference 0
 is the text, reference 1 drops every fifth piece (shifted by the id), reference 2
 (even ids only, to make reference sets ragged) drops the first three pieces, and the
-system output drops every seventh piece.
+system output drops every seventh piece (a second system's, where asked for, every third).
 """
 
 from __future__ import annotations
@@ -55,8 +55,9 @@ def seg_sys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("inst_id", F.array_join(F.filter(t, lambda x, i: (i + iid) % 7 != 0), " ").alias("sys"))
 
 
-def seg_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References and system output in one scan: (inst_id, ref_no, text), ref_no -1 = system."""
+def seg_texts(spark: SparkSession, sf_dir: str, systems: int = 1) -> DataFrame:
+    """References and system outputs in one scan: (inst_id, ref_no, text), ref_no -1 = system; a second
+    one (-2) drops every third piece."""
     d = _pieces(table(spark, sf_dir, "documents"))
     iid, t = F.col("inst_id"), F.col("t")
     sys = F.struct(F.lit(-1).alias("ref_no"),
@@ -67,7 +68,8 @@ def seg_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r2 = F.when(iid % 2 == 0, F.struct(
         F.lit(2).alias("ref_no"),
         F.array_join(F.slice(t, 4, F.greatest(F.size(t) - 3, F.lit(0))), " ").alias("text")))
-    rows = F.filter(F.array(sys, r0, r1, r2), lambda s: s.isNotNull())
+    second = F.struct(F.lit(-2).alias("ref_no"), F.array_join(F.filter(t, lambda x, i: (i + iid) % 3 != 1), " ").alias("text"))
+    rows = F.filter(F.array(sys, *[second][:systems - 1], r0, r1, r2), lambda s: s.isNotNull())
     return d.select("inst_id", F.inline(rows))
 
 
