@@ -63,24 +63,29 @@ def ids_of(text: str, enc: tiktoken.Encoding, limit: int = SPLIT_CHARS) -> np.nd
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id",
            text_col: str = "text", packed: bool = True, split_chars: int = SPLIT_CHARS,
-           keep: tuple[str, ...] = ()) -> DataFrame:
+           keep: tuple[str, ...] = (), check: str | None = None) -> DataFrame:
     """(id, n_tokens long, ids, columns to keep) per row; ids are packed little-endian unsigned
-    32-bit integers (binary, the form shards are written in) or an array<int>."""
+    32-bit integers (binary, the form shards are written in) or an array<int>.  With ``check`` a boolean
+    column of that name says whether the ids decode to the text's bytes, found out in the same task, so
+    neither text nor decoded bytes travel on."""
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
     src = docs.select(id_col, text_col, *(F.col(c).alias(f"_kept{i}") for i, c in enumerate(keep)))
     out = T.StructType([src.schema[id_col], T.StructField("n_tokens", T.LongType()),
                         T.StructField("ids", T.BinaryType() if packed else T.ArrayType(T.IntegerType())),
-                        *(T.StructField(c, docs.schema[c].dataType) for c in keep)])
+                        *(T.StructField(c, docs.schema[c].dataType) for c in keep),
+                        *([T.StructField(check, T.BooleanType())] if check else [])])
 
     def run(batches):
         enc = encoding(path, pattern)
         for batch in batches:
-            for b in slices(batch):
-                ids = [ids_of(t, enc, split_chars) for t in texts_of(b.column(1))]
+            for b in slices(batch, text=1):
+                texts = texts_of(b.column(1))
+                ids = [ids_of(t, enc, split_chars) for t in texts]
+                same = [pa.array([enc.decode_bytes(a.tolist()) == t.encode() for a, t in zip(ids, texts)], pa.bool_())] if check else []
                 cells = pa.array([a.tobytes() for a in ids], pa.binary()) if packed else pa.array(
                     [a.astype(np.int32) for a in ids], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([len(a) for a in ids], pa.int64()), cells, *b.columns[2:]],
+                    [b.column(0), pa.array([len(a) for a in ids], pa.int64()), cells, *b.columns[2:], *same],
                     out.fieldNames())
 
     return src.mapInArrow(run, out)

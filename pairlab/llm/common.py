@@ -96,12 +96,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
+    """Powers of the base and of its inverse; those for longer texts than a chunk aren't kept."""
+    def made(size: int, b: int) -> np.ndarray:
+        p = np.full(size, b, dtype=np.uint64)
+        p[0] = 1
+        return np.multiply.accumulate(p)
+
+    bases = (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64)))
+    if n > CHUNK_BYTES + 1:
+        return tuple(made(n, b) for _, b in bases)
+    for name, b in bases:
+        if name not in _POWERS:
+            _POWERS[name] = made(CHUNK_BYTES + 1, b)
     return _POWERS["up"], _POWERS["down"]
 
 
@@ -132,7 +138,13 @@ def texts_of(col: pa.Array) -> list[str]:
     return ["" if t is None else t for t in col.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch, so that what is made of them stays small."""
-    for lo in range(0, batch.num_rows, rows):
-        yield batch.slice(lo, rows)
+def slices(batch: pa.RecordBatch, rows: int = 512, text: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, so that what is made of them stays small: of so many rows at most, and with the
+    number of a text column of about ``CHUNK_BYTES`` of it (a longer text is a part of its own)."""
+    if text is None:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+        return
+    for first, end, _, _ in text_chunks(batch.column(text)):
+        for lo in range(first, end, rows):
+            yield batch.slice(lo, min(rows, end - lo))
