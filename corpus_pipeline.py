@@ -6,13 +6,15 @@ stage to the shared folder (spark.checkpoint.dir) and rereads it, so a lost exec
 running stage at most.
 
 Edge cases: as the operators define them.  Documents with a null id pass near-duplicate
-removal; null texts fail the quality rules; an empty table goes through as an empty one.
+removal; null texts fail the quality rules; an empty table goes through as an empty one; of repeated
+rows one stays; ties are settled by the smallest id; long texts are worked on whole, in chunks of
+bounded size; further columns, whatever their names, are carried along until the last stage, which
+returns its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pairlab.llm import bpe, minhash, mixing, quality, secretscan
 from pairlab.llm.common import table
@@ -52,9 +54,7 @@ def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """(doc_id, n_tokens, ids, lang, source, round_trip): packed token ids of every text, and
     whether they decode to its bytes."""
     _ready(spark)
-    done = bpe.decode(bpe.encode(docs, keep=("lang", "source", "text")))
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return done.select("doc_id", "n_tokens", "ids", "lang", "source", same.alias("round_trip"))
+    return bpe.encode(docs, keep=("lang", "source"), check="round_trip")
 
 
 STAGES = [
