@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.llm.common import WORD
-from pairlab.session import shared_dir
+from pairlab.session import scratch_path, shared_dir
 
 #: Weights are whole numbers of this unit, so that budgets are exact integers.
 WEIGHT_UNIT = 1_000_000
@@ -158,8 +158,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     tokens = n_words(F.col(text_col)) if tokens is None else tokens
     src = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     narrow = docs.select(src.alias("src"), F.col(id_col).alias("id"), tokens.alias("n_tokens")).checkpoint()
-    plan = source_plan(narrow, budget_ratio, entropy_ratio, max_repeats)
-    plan = plan.join(cutoffs(narrow, plan), "src", "left").checkpoint()
+    plan, path = source_plan(narrow, budget_ratio, entropy_ratio, max_repeats), scratch_path(docs.sparkSession, "mixture")
+    # a written table has a known size: Spark sends a small one to the documents, and shuffles them for a large one
+    plan.join(cutoffs(narrow, plan), "src", "left").write.parquet(path)
+    plan = docs.sparkSession.read.parquet(path)
     rows = docs.select(F.struct("*").alias("row"), src.alias("src"), F.col(id_col).alias("id"),
                        tokens.alias("n_tokens"))
     last = F.coalesce(perm_key(F.col("passes"), F.col("id")) <= F.col("cut"), F.lit(False))
