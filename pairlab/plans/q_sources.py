@@ -5,14 +5,13 @@ folder (``spark.checkpoint.dir``) and read it back with the readers under test."
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pairlab.operators import mr as M
 from pairlab.plans import views as V
 from pairlab.plans.registry import query
 from pairlab.plans.sqlviews import with_views
 from pairlab.session import scratch_path
+from pairlab.sources import captions as C
 from pairlab.sources import io as IO
 from pairlab.sources.tables import table
 
@@ -27,13 +26,17 @@ def check_alignment(spark, sf):
                               m.select("inst_id", F.col("orig_mr").alias("src"))).select("inst_id", "a", "b")
 
 
-@query("group_refs", MRV + """
-SELECT mr, CAST(count(*) AS INTEGER) AS n_refs, min(inst_id) AS first_inst, max(inst_id) AS last_inst FROM mr_pairs GROUP BY mr""")
+@query("group_refs", MRV + """,
+asked AS (SELECT inst_id, CASE WHEN inst_id % 7 = 0 THEN 'unknown ' || inst_id ELSE mr END AS mr FROM mr_pairs WHERE split = 'test'),
+refs AS (SELECT mr, row_number() OVER (PARTITION BY mr ORDER BY inst_id) - 1 AS ref_no, ref FROM mr_pairs WHERE split <> 'test' OR inst_id % 7 <> 0)
+SELECT asked.inst_id, asked.mr, CAST(ref_no AS INTEGER) AS ref_no, ref,
+       CASE WHEN ref_no IS NULL THEN 'no reference for source: ' || asked.mr END AS error FROM asked LEFT JOIN refs USING (mr)""")
 def group_refs(spark, sf):
+    """References of the test sources, by source in file order; a source without any is an error row."""
     m = V.mr_pairs(spark, sf)
-    g = IO.group_refs(m)
-    firsts = m.groupBy("mr").agg(F.min("inst_id").alias("first_inst"), F.max("inst_id").alias("last_inst"))
-    return g.join(firsts, "mr").select("mr", F.size("refs").cast("int").alias("n_refs"), "first_inst", "last_inst")
+    odd = F.col("inst_id") % 7 == 0
+    asked = m.where("split = 'test'").select("inst_id", F.when(odd, F.concat(F.lit("unknown "), F.col("inst_id").cast("string"))).otherwise(F.col("mr")).alias("mr"))
+    return IO.refs_by_source(asked, m.where((F.col("split") != "test") | ~odd))
 
 
 @query("group_refs_consecutive", """
@@ -51,21 +54,24 @@ def group_refs_consecutive(spark, sf):
 mx AS (SELECT max(ref_no) AS m FROM seg_refs),
 grid AS (SELECT DISTINCT inst_id, unnest(generate_series(0, (SELECT m FROM mx))) AS ref_no FROM seg_refs)
 SELECT g.inst_id, CAST(g.ref_no AS INTEGER) AS ref_no, CAST(r.ref IS NULL AS INTEGER) AS is_pad,
-       CAST(length(coalesce(r.ref, '')) AS INTEGER) AS ref_chars
+       md5(coalesce(r.ref, '')) AS ref_md5
 FROM grid g LEFT JOIN seg_refs r USING (inst_id, ref_no)""")
 def pad_ref_matrix(spark, sf):
     refs = V.seg_refs(spark, sf)
     p = IO.pad_ref_matrix(refs).join(refs.select("inst_id", "ref_no", F.lit(0).alias("real")), ["inst_id", "ref_no"], "left")
     return p.select("inst_id", F.col("ref_no").cast("int"), F.col("real").isNull().cast("int").alias("is_pad"),
-                    F.length("ref").cast("int").alias("ref_chars"))
+                    F.md5(F.col("ref").cast("binary")).alias("ref_md5"))
 
 
 @query("caption_index", CAP + """
 SELECT image_id, CAST(count(*) AS BIGINT) AS n_captions, min(id) AS first_id, max(id) AS last_id FROM captions GROUP BY image_id""")
 def caption_index(spark, sf):
-    c = V.captions(spark, sf)
-    return c.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_captions"), F.min("id").alias("first_id"),
-                                     F.max("id").alias("last_id"))
+    return C.caption_index(V.captions(spark, sf))
+
+
+def _large(c):
+    """Images of six captions or more."""
+    return C.caption_index(c).where("n_captions >= 6").select("image_id")
 
 
 @query("caption_filter", CAP + """,
@@ -73,12 +79,8 @@ imgs AS (SELECT image_id FROM captions GROUP BY image_id HAVING count(*) >= 6)
 SELECT id FROM captions WHERE image_id IN (SELECT image_id FROM imgs) AND category_id IN (1, 2)
   AND w * h > 2 AND w * h < 12 AND iscrowd = 0""")
 def caption_filter(spark, sf):
-    """Ids by image list, category list, open area range and crowd flag."""
     c = V.captions(spark, sf)
-    imgs = c.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 6").select("image_id")
-    area = F.col("w") * F.col("h")
-    return (c.join(imgs, "image_id", "left_semi").filter(F.col("category_id").isin(1, 2))
-            .filter((area > 2) & (area < 12)).filter(F.col("iscrowd") == 0).select("id"))
+    return C.filter_captions(c, images=_large(c), categories=[1, 2], area=(2, 12), crowd=0)
 
 
 CATS = """cats AS (SELECT DISTINCT category_id AS id, CASE category_id WHEN 0 THEN 'system' WHEN 1 THEN 'user' ELSE 'assistant' END AS name,
@@ -93,15 +95,15 @@ def _cats(c):
 
 @query("category_filter", CAP + ",\n" + CATS + "\nSELECT id FROM cats WHERE name IN ('user', 'system') AND supercategory = 'speaker'")
 def category_filter(spark, sf):
-    k = _cats(V.captions(spark, sf))
-    return k.filter(F.col("name").isin("user", "system") & (F.col("supercategory") == "speaker")).select("id")
+    return C.filter_categories(_cats(V.captions(spark, sf)), names=["user", "system"], supers=["speaker"])
 
 
 @query("images_by_category", CAP + """
-SELECT image_id FROM captions WHERE category_id IN (1, 2) GROUP BY image_id HAVING count(DISTINCT category_id) = 2""")
+SELECT image_id FROM captions WHERE image_id % 3 <> 0 AND category_id IN (1, 2) GROUP BY image_id HAVING count(DISTINCT category_id) = 2""")
 def images_by_category(spark, sf):
-    c = V.captions(spark, sf).filter(F.col("category_id").isin(1, 2))
-    return c.groupBy("image_id").agg(F.count_distinct("category_id").alias("k")).filter("k = 2").select("image_id")
+    """Of a start list, the images that have both categories."""
+    c = V.captions(spark, sf)
+    return C.images_with(c, [1, 2], images=c.where("image_id % 3 <> 0").select("image_id"))
 
 
 @query("load_by_ids", CAP + """,
@@ -109,77 +111,88 @@ ids AS (SELECT image_id FROM captions GROUP BY image_id HAVING count(*) >= 6)
 SELECT id, image_id, category_id FROM captions WHERE image_id IN (SELECT image_id FROM ids)""")
 def load_by_ids(spark, sf):
     c = V.captions(spark, sf)
-    ids = c.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 6").select("image_id")
-    return c.join(ids, "image_id", "left_semi").select("id", "image_id", "category_id")
+    return C.load_by_ids(c, _large(c), "image_id").select("id", "image_id", "category_id")
 
 
 @query("attach_results", CAP + """,
 res AS (SELECT image_id, id FROM captions WHERE category_id = 2),
-imgs AS (SELECT DISTINCT image_id FROM captions WHERE category_id = 1)
-SELECT CAST(row_number() OVER (ORDER BY image_id, id) AS BIGINT) AS res_id, image_id
-FROM res WHERE image_id IN (SELECT image_id FROM imgs)""")
+imgs AS (SELECT DISTINCT image_id FROM captions WHERE category_id = 1 AND image_id % 5 <> 0)
+SELECT CAST(row_number() OVER (ORDER BY image_id, id) AS BIGINT) AS res_id, image_id, id, NULL AS error
+FROM res WHERE image_id IN (SELECT image_id FROM imgs)
+UNION ALL SELECT NULL, image_id, id, 'its image is not in the set' FROM res WHERE image_id NOT IN (SELECT image_id FROM imgs)""")
 def attach_results(spark, sf):
-    """Results kept where their image is in the image set (the rest are the error
-    rows of the check), renumbered by position."""
-    from pairlab.operators.runs import rank_within
+    """Results of known images, numbered; the others are error rows."""
     c = V.captions(spark, sf)
-    res = c.filter(F.col("category_id") == 2).select("image_id", "id")
-    imgs = c.filter(F.col("category_id") == 1).select("image_id").distinct()
-    kept = res.join(imgs, "image_id", "left_semi")
-    r = rank_within(kept.withColumn("_g", F.lit(0)), "_g", [F.col("image_id"), F.col("id")])
-    return r.select(F.col("rank").alias("res_id"), "image_id")
+    images = c.where("category_id = 1 AND image_id % 5 <> 0").select("image_id")
+    kept, rejected = C.attach_results(c.where("category_id = 2").select("image_id", "id"), images, [F.col("image_id"), F.col("id")])
+    return kept.select("res_id", "image_id", "id", F.lit(None).cast("string").alias("error")).unionByName(
+        rejected.select(F.lit(None).cast("long").alias("res_id"), "image_id", "id", "error"))
 
 
 @query("box_enrich", CAP + """
 SELECT id, x AS x1, y AS y1, x AS x2, y + h AS y2, x + w AS x3, y + h AS y3, x + w AS x4, y AS y4, w * h AS area,
        CAST(0 AS INTEGER) AS iscrowd FROM captions""")
 def box_enrich(spark, sf):
-    c = V.captions(spark, sf)
-    x, y, w, h = (F.col(k) for k in "xywh")
-    return c.select("id", x.alias("x1"), y.alias("y1"), x.alias("x2"), (y + h).alias("y2"), (x + w).alias("x3"),
-                    (y + h).alias("y3"), (x + w).alias("x4"), y.alias("y4"), (w * h).alias("area"),
-                    F.lit(0).cast("int").alias("iscrowd"))
+    return C.box_enrich(V.captions(spark, sf))
+
 
+# ---------------------------------------------------------------- file round trips
 
-# ---------------------------------------------------------------- file round trips (rows-only)
+TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
-@query("read_lines")
+
+@query("read_lines", with_views("seg") + f"""
+SELECT row_number() OVER (ORDER BY inst_id) - 1 AS inst_id, md5({TRIM.format("replace(sys, chr(10), ' ')")}) AS line_md5 FROM seg_sys""")
 def read_lines(spark, sf):
     p = scratch_path(spark, "sys-lines")
     IO.write_text_outputs(V.seg_sys(spark, sf), p, "sys")
-    return IO.read_lines(spark, p).select("inst_id", "line")
+    return IO.read_lines(spark, p, across=True).select("inst_id", F.md5(F.col("line").cast("binary")).alias("line_md5"))
 
 
-@query("read_multi_ref")
+@query("read_multi_ref", MRV + """,
+numbered AS (SELECT row_number() OVER (ORDER BY inst_id) - 1 AS inst_id, ref, orig_mr FROM mr_pairs)
+SELECT inst_id, 0 AS ref_no, ref FROM numbered UNION ALL SELECT inst_id, 1, orig_mr FROM numbered""")
 def read_multi_ref(spark, sf):
+    """Every row writes its group of lines and the blank line behind it, in many files."""
     p = scratch_path(spark, "multi-ref")
-    m = V.mr_pairs(spark, sf)
-    lines = m.select(F.col("inst_id"), F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("ref").alias("v")),
-                                                         F.struct(F.lit(1).alias("k"), F.col("orig_mr").alias("v")),
-                                                         F.struct(F.lit(2).alias("k"), F.lit("").alias("v")))).alias("s"))
-    ordered = lines.select((F.col("inst_id") * 3 + F.col("s.k")).alias("o"), F.col("s.v").alias("value"))
-    ordered.orderBy("o").select("value").coalesce(1).write.mode("overwrite").text(p)
-    return IO.read_multi_ref(spark, p).select("inst_id", "ref_no", "ref")
+    V.mr_pairs(spark, sf).orderBy("inst_id").select(F.concat_ws("\n", "ref", "orig_mr", F.lit("")).alias("value")).write.text(p)
+    return IO.across_files(IO.read_multi_ref(spark, p)).select("inst_id", "ref_no", "ref")
 
 
-@query("read_pairs_csv")
+@query("read_pairs_csv", MRV + "\nSELECT mr AS src, ref AS sys FROM mr_pairs")
 def read_pairs_csv(spark, sf):
     p = scratch_path(spark, "pairs-tsv")
-    V.mr_pairs(spark, sf).select(F.col("mr").alias("MR"), F.col("ref").alias("output")).write.mode(
-        "overwrite").csv(p, sep="\t", header=True)
+    V.mr_pairs(spark, sf).select(F.col("mr").alias("MR"), F.col("ref").alias("output")).write.csv(p, sep="\t", header=True)
     return IO.read_pairs_csv(spark, p)
 
 
-@query("read_mt_xml")
+def _squeezed(text):
+    return F.md5(F.trim(F.regexp_replace(text, r"\s+", " ")).cast("binary"))
+
+
+@query("read_mt_xml", with_views("seg") + r"""
+SELECT 'sys' AS sysid, CAST(inst_id // 50 AS VARCHAR) AS doc, inst_id AS seg, md5(trim(regexp_replace(sys, '\s+', ' ', 'g'))) AS text_md5,
+       inst_id // 50 % 4 = 0 AS wrong_size FROM seg_sys""")
 def read_mt_xml(spark, sf):
+    """A set written and read; documents whose number of segments differs from the source's are marked (the
+    source lacks a segment in every fourth)."""
     p = scratch_path(spark, "mt-xml")
-    s = V.seg_sys(spark, sf).select(F.floor(F.col("inst_id") / 50).cast("long").alias("doc"),
-                                    F.col("inst_id").alias("seg"), F.col("sys").alias("text"))
+    s = V.seg_sys(spark, sf).select(F.floor(F.col("inst_id") / 50).cast("long").alias("doc"), F.col("inst_id").alias("seg"), F.col("sys").alias("text"))
     IO.write_mt_xml(s, p)
-    return IO.read_mt_xml(spark, p).select("sysid", "doc", "seg", F.length("text").alias("chars"))
+    got = IO.read_mt_xml(spark, p)
+    source = s.where("NOT (doc % 4 = 0 AND seg % 50 = 0)").select(F.col("doc").cast("string").alias("doc"))
+    wrong = IO.check_doc_sizes(got, source).select("sysid", "doc", F.lit(True).alias("w"))
+    return got.join(wrong, ["sysid", "doc"], "left").select("sysid", "doc", "seg", _squeezed(F.col("text")).alias("text_md5"),
+                                                            F.coalesce("w", F.lit(False)).alias("wrong_size"))
+
 
+def _scores_sql() -> str:
+    from pairlab.plans.q_scores import _bleu_sql
+    cells = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN printf('%.4f', {c}) END AS {c}" for c in ("bleu", "sent_bleu"))
+    return f"SELECT CAST(inst_id AS VARCHAR) AS inst_id, {cells} FROM ({_bleu_sql('segment')})"
 
-@query("write_scores_tsv")
+
+@query("write_scores_tsv", _scores_sql)
 def write_scores_tsv(spark, sf):
     from pairlab.plans.q_scores import bleu_segment
     p = scratch_path(spark, "scores-tsv")
@@ -187,49 +200,56 @@ def write_scores_tsv(spark, sf):
     return spark.read.csv(p, sep="\t", header=True)
 
 
-@query("save_run")
+RUN_SCHEMA = "version STRING, exp STRING, BLEU DOUBLE, NIST DOUBLE, METEOR DOUBLE, ROUGE_L DOUBLE, CIDEr DOUBLE, params STRING, file STRING"
+
+
+@query("save_run", with_views("runs") + '\nSELECT version, exp, "BLEU", "NIST", "METEOR", "ROUGE_L", "CIDEr", params, file FROM runs')
 def save_run(spark, sf):
+    """Every run saved as a CSV row and read back."""
     p = scratch_path(spark, "runs")
     IO.save_run(V.runs(spark, sf), p)
-    return IO.read_runs(spark, p).select("version", "exp", "BLEU")
+    return IO.read_runs(spark, p, RUN_SCHEMA).drop("_path")
 
 
-@query("read_runs")
+@query("read_runs", with_views("runs") + """
+SELECT version, exp, "BLEU", CASE WHEN exp <> 'click' THEN "METEOR" END AS "METEOR", params, exp AS folder FROM runs""")
 def read_runs(spark, sf):
+    """A tree of files whose headers differ: one experiment's has other columns, in another order."""
     p = scratch_path(spark, "runs-all")
-    IO.save_run(V.runs(spark, sf), p)
-    return IO.read_runs(spark, p).select("version", "exp", "BLEU", "file")
+    runs = V.runs(spark, sf)
+    IO.save_run(runs.where("exp <> 'click'"), p)
+    IO.save_run(runs.where("exp = 'click'").select("params", "BLEU", "exp", "version"), p)
+    got = IO.read_runs(spark, p, RUN_SCHEMA)
+    return got.select("version", "exp", "BLEU", "METEOR", "params", F.regexp_extract("_path", "/exp=([^/]*)/", 1).alias("folder"))
 
 
-@query("read_train_json")
+@query("read_train_json", with_views("train_runs") + "\nSELECT * FROM train_runs")
 def read_train_json(spark, sf):
     p = scratch_path(spark, "train-json")
-    t = V.train_runs(spark, sf)
-    t.write.mode("overwrite").json(p)
+    V.train_runs(spark, sf).write.json(p)
     return IO.read_train_json(spark, p, multi_line=False)
 
 
-@query("write_text_outputs")
+def _outputs_sql() -> str:
+    from pairlab.plans.q_encode import _gen_sql
+    return f"SELECT row_number() OVER (ORDER BY inst_id) AS line_no, gen AS value FROM ({_gen_sql()})"
+
+
+@query("write_text_outputs", _outputs_sql)
 def write_text_outputs(spark, sf):
-    p = scratch_path(spark, "gen-text")
     from pairlab.operators.infer import batch_generate
+    p = scratch_path(spark, "gen-text")
     IO.write_text_outputs(batch_generate(V.mr_pairs(spark, sf)), p, "gen")
-    return spark.read.text(p)
-
+    return IO.numbered_lines(spark, p, across=True).select("line_no", "value")
 
-_ = (M, Window)
 
-
-@query("check_columns", MRV + "\nSELECT inst_id FROM mr_pairs WHERE mr <> orig_mr")
+@query("check_columns", MRV + """,
+placed AS (SELECT *, row_number() OVER (ORDER BY inst_id) AS line_no FROM mr_pairs)
+SELECT line_no, inst_id || ',' || split || ',extra' AS line FROM placed WHERE mr <> orig_mr""")
 def check_columns(spark, sf):
-    """A4: lines whose field count differs from the header are reported, not dropped.
-    The file gets a third field on rows whose MR differs from the original MR."""
-    from pyspark.sql import types as T
+    """A4: lines whose field count differs, by number.  The file gets a third field on rows whose MR
+    differs from the original MR."""
     p = scratch_path(spark, "ragged-csv")
-    m = V.mr_pairs(spark, sf)
-    lines = m.select(F.concat_ws(",", F.col("inst_id").cast("string"), F.col("split"),
-                                 F.when(F.col("mr") != F.col("orig_mr"), F.lit("extra"))).alias("value"))
-    lines.write.mode("overwrite").text(p)
-    schema = T.StructType([T.StructField("inst_id", T.LongType()), T.StructField("split", T.StringType())])
-    bad = IO.check_columns(spark, p, schema)
-    return bad.select(F.split("_corrupt", ",").getItem(0).cast("long").alias("inst_id"))
+    more = F.when(F.col("mr") != F.col("orig_mr"), F.lit("extra"))
+    V.mr_pairs(spark, sf).orderBy("inst_id").select(F.concat_ws(",", F.col("inst_id").cast("string"), F.col("split"), more).alias("value")).write.text(p)
+    return IO.check_columns(spark, p, 2, across=True).select("line_no", "line")

@@ -2,7 +2,7 @@
 
 Files go to and come from any Hadoop-compatible path; tests and the registered
 queries use the shared scratch folder (``spark.checkpoint.dir``).  Row positions in a
-text file come from the range-partitioned ranking (no single-partition window).
+text file come from its blocks' line counts (no window over lines).
 """
 
 from __future__ import annotations
@@ -15,23 +15,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab.operators.runs import rank_within
+from pairlab.session import scratch_path
 
 # Header patterns for source / system / reference columns
 HEADER_SRC = r"(?i)^(mr|src|source|meaning(?:[_ .-]rep(?:resentation)?)?|da|dial(?:ogue)?[_ .-]act)s?"
 HEADER_SYS = r"(?i)^(out(?:put)?|ref(?:erence)?|sys(?:tem)?(?:[_ .-](?:out(?:put)?|ref(?:erence)?))?)s?"
-HEADER_REF = r"(?i)^(trg|tgt|target|ref(?:erence)?|human(?:[_ .-](?:ref(?:erence)?))?)s?"
+HEADER_REF = r"(?i)^(trg|tgt|target|ref(?:erence)?|human(?:[_ .-](?:ref(?:erence)?))?)s?"  # for files of references
 # Mojibake repairs applied to every line
 REPAIRS = [("Ł", "£"), ("Â£", "£"), ("Ã©", "é"), ("ã©", "é")]
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A1: one instance per line, trimmed -> (file, inst_id, line), inst_id 0-based per file."""
-    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"),
-                                     F.col("_metadata.file_block_start").alias("_b"),
-                                     F.monotonically_increasing_id().alias("_m"),
-                                     F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
-    r = rank_within(t, "file", [F.col("_b"), F.col("_m")])
-    return r.select("file", (F.col("rank") - 1).alias("inst_id"), "line")
+def numbered_lines(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
+    """(file, line_no, value): the lines of text files, numbered from 1 in each file, or with ``across`` on
+    through all files in order of their names.
+
+    Lines are not moved: a line's place in its file block comes from the scan, and the prefix sums of the
+    blocks' line counts, a row a block, are a written table that Spark sends to the lines if it is small."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                         F.monotonically_increasing_id().alias("at"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    order = Window.orderBy("file", "block") if across else Window.partitionBy("file").orderBy("block")
+    starts = scratch_path(spark, "line-starts")
+    blocks.select("file", "block", (F.sum("n").over(order) - F.col("n") - F.col("first") + 1).alias("shift")).write.parquet(starts)
+    return lines.join(spark.read.parquet(starts), ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line_no"), "value")
+
+
+def read_lines(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
+    """A1: one instance per line, trimmed -> (file, inst_id, line), inst_id 0-based per file (or ``across`` files)."""
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    return numbered_lines(spark, path, across).select("file", (F.col("line_no") - 1).alias("inst_id"), line.alias("line"))
+
+
+def across_files(df: DataFrame, number: str = "inst_id") -> DataFrame:
+    """Numbers that begin at 0 in each file, counted on through all files in order of their names."""
+    w = Window.orderBy("file")  # a row a file
+    sizes = df.groupBy("file").agg((F.max(number) + 1).alias("n")).select("file", (F.sum("n").over(w) - F.col("n")).alias("before"))
+    return df.join(sizes, "file").withColumn(number, F.col(number) + F.col("before")).drop("before")
 
 
 def read_multi_ref(spark: SparkSession, path: str) -> DataFrame:
@@ -54,9 +73,13 @@ def read_multi_ref(spark: SparkSession, path: str) -> DataFrame:
 def read_pairs_csv(spark: SparkSession, path: str, header_src: str = HEADER_SRC,
                    header_sys: str = HEADER_SYS) -> DataFrame:
     """A3: CSV/TSV with a guessed header -> (src, sys); tab when the first line has one.  The header
-    names one source and one output column, or the file has two columns and no header.  A row
-    with another number of fields is an error that shows the row."""
-    first = spark.read.text(path).limit(1).collect()[0][0].replace("\ufeff", "")  # the first line only
+    names one source and one output column, or the file has two columns and no header.  Rows with
+    another number of fields are an error that names their lines (counted from 1 behind the header); an
+    empty file is an error."""
+    top = spark.read.text(path).limit(1).collect()  # the first line only
+    if not top:
+        raise ValueError(f"{path} is empty")
+    first = top[0][0].replace("\ufeff", "")
     sep = "\t" if "\t" in first else ","
     names = next(csv.reader([first], delimiter=sep))
     src = [i for i, c in enumerate(names) if re.match(header_src, c)]
@@ -66,25 +89,33 @@ def read_pairs_csv(spark: SparkSession, path: str, header_src: str = HEADER_SRC,
         src, sys = [0], [1]
     if len(src) != 1 or len(sys) != 1:
         raise ValueError(f"cannot tell the source and output columns apart: {names}")
+    wrong = [r.line_no for r in check_columns(spark, path, len(names), headed, sep).orderBy("line_no").limit(SHOWN).collect()]
+    if wrong:
+        raise ValueError(f"{path}: wrong number of columns on lines {wrong}" + (" and more" if len(wrong) == SHOWN else ""))
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    df = spark.read.csv(path, schema=schema, header=headed, sep=sep, mode="FAILFAST", enforceSchema=True)
-    df = df.where(F.lit(True))
-    # all columns are parsed, or rows with too few fields would pass
-    checked = F.when(F.size(F.array(*df.columns)) > 0, F.col(f"c{src[0]}"))
-    out = df.select(checked.alias("src"), F.col(f"c{sys[0]}").alias("sys"))
+    df = spark.read.csv(path, schema=schema, header=headed, sep=sep, enforceSchema=True)
+    out = df.select(F.col(f"c{src[0]}").alias("src"), F.col(f"c{sys[0]}").alias("sys"))
     for a, b in REPAIRS:
         out = out.select(*[F.replace(F.col(c), F.lit(a), F.lit(b)).alias(c) for c in out.columns])
     return out
 
 
-def check_columns(spark: SparkSession, path: str, schema: T.StructType, header: bool = False) -> DataFrame:
-    """A4: rows whose column count differs, with their text (PERMISSIVE + corrupt column)."""
-    s = T.StructType(schema.fields + [T.StructField("_corrupt", T.StringType())])
-    df = spark.read.csv(path, header=header, schema=s, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE")
-    # the parsed rows are materialised first: Spark refuses filters that reach the raw
-    # scan through the corrupt-record column alone
-    df = df.persist()
-    return df.filter(F.col("_corrupt").isNotNull()).select(schema.fields[0].name, "_corrupt")
+#: So many wrong lines are named in an error.
+SHOWN = 20
+
+
+def check_columns(spark: SparkSession, path: str, n_columns: int, header: bool = False, sep: str = ",",
+                  across: bool = False) -> DataFrame:
+    """A4: (file, line_no, line) of rows with another number of fields; rows count from 1 behind the
+    header (of each file, or through all files).  Blank lines are no rows of a CSV file; they are passed over
+    but counted."""
+    fields = ", ".join(f"c{i} STRING" for i in range(n_columns))
+    lines = numbered_lines(spark, path, across)
+    if header:
+        lines = lines.where("line_no > 1").withColumn("line_no", F.col("line_no") - 1)
+    parsed = F.from_csv("value", F.lit(f"{fields}, _wrong STRING"), {"sep": sep, "columnNameOfCorruptRecord": "_wrong", "mode": "PERMISSIVE"})
+    return (lines.where(F.trim("value") != "").select("file", "line_no", "value", parsed.alias("x"))
+            .where("x._wrong IS NOT NULL").select("file", "line_no", F.col("value").alias("line")))
 
 
 def check_alignment(a: DataFrame, b: DataFrame, key: str = "inst_id", col: str = "src") -> DataFrame:
@@ -94,17 +125,47 @@ def check_alignment(a: DataFrame, b: DataFrame, key: str = "inst_id", col: str =
 
 
 def group_refs(pairs: DataFrame, src: str = "mr", ref: str = "ref", pos: str = "inst_id") -> DataFrame:
-    """References per source in file order -> (src, refs array)."""
-    return pairs.groupBy(src).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, ref))),
-                                              lambda s: s[ref]).alias("refs"))
+    """References by source, numbered in file order -> (src, ref_no, ref, pos): a row a reference, so
+    a source with a third of all rows is ranked in many tasks."""
+    ranked = rank_within(pairs.select(src, ref, pos), src, [F.col(pos)])
+    return ranked.select(src, (F.col("rank") - 1).cast("int").alias("ref_no"), ref, pos)
+
+
+def refs_by_source(instances: DataFrame, pairs: DataFrame, src: str = "mr", ref: str = "ref", pos: str = "inst_id") -> DataFrame:
+    """References for system sources (inst_id, src), looked up in a file of pairs -> (inst_id, src, ref_no,
+    ref, error).  A source that the file lacks is one row with an error."""
+    refs = group_refs(pairs, src, ref, pos).drop(pos)
+    missing = F.when(F.col("ref_no").isNull(), F.concat(F.lit("no reference for source: "), F.coalesce(F.col(src), F.lit(""))))
+    return instances.select("inst_id", src).join(refs, src, "left").select("inst_id", src, "ref_no", ref, missing.alias("error"))
 
 
 def group_consecutive(df: DataFrame, part: str, order: str, col: str) -> DataFrame:
-    """Runs of identical consecutive values (gaps and islands) -> part, run_no, value, n."""
-    w = Window.partitionBy(part).orderBy(order)
-    new = F.coalesce(F.col(col) != F.lag(col).over(w), F.lit(True)).cast("int")
-    r = df.withColumn("run_no", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return r.groupBy(part, "run_no").agg(F.first(col).alias("value"), F.count(F.lit(1)).alias("n"))
+    """Runs of identical consecutive values (gaps and islands) -> part, run_no (from 1), value, n.
+
+    Rows are dealt by ranges of (part, order), so a part of any length is many tasks; each range finds the
+    runs inside it, and only its last value and its number of runs, a row for each part in a range, are passed on to
+    the next.  Null values are a value like others; equal orders are settled by the value."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "ranges")
+    rows = df.select(F.col(part).alias("part"), F.col(order).alias("at"), F.col(col).alias("value"), F.monotonically_increasing_id().alias("salt"))
+    keys = ["part", "at", "value", "salt"]
+    rows.repartitionByRange(*keys).withColumn("piece", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    inside = Window.partitionBy("piece", "part").orderBy("at", "value", "salt")
+    before = F.lag(F.struct("value")).over(inside)
+    rows = rows.withColumn("fresh", F.when(before.isNotNull() & before["value"].eqNullSafe(F.col("value")), 0).otherwise(1))
+    rows = rows.withColumn("no", F.sum("fresh").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = rows.groupBy("piece", "part", "no").agg(F.first("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    # a range's first run may go on from the range before: then it has the same number
+    ends = runs.groupBy("piece", "part").agg(F.max("no").alias("runs"), F.min_by(F.struct("value"), "no").alias("head"),
+                                             F.max_by(F.struct("value"), "no").alias("tail"))
+    along = Window.partitionBy("part").orderBy("piece")
+    joined = F.coalesce(F.lag("tail").over(along)["value"].eqNullSafe(F.col("head")["value"]) & F.lag("tail").over(along).isNotNull(), F.lit(False))
+    ends = ends.withColumn("joined", joined.cast("long"))
+    shift = F.sum(F.col("runs") - F.col("joined")).over(along) - F.col("runs")
+    shifts = ends.select(F.col("piece").alias("p"), F.col("part").alias("q"), shift.alias("shift"))
+    numbered = runs.join(shifts, (F.col("piece") == F.col("p")) & F.col("part").eqNullSafe(F.col("q")))
+    return (numbered.groupBy("part", (F.col("no") + F.col("shift")).alias("run_no"))
+            .agg(F.first("value").alias("value"), F.sum("n").alias("n")).withColumnRenamed("part", part))
 
 
 def pad_ref_matrix(refs: DataFrame) -> DataFrame:
@@ -124,9 +185,12 @@ def write_mt_xml(df: DataFrame, path: str, set_type: str = "tst", sysid: str = "
         "rootTag", set_type + "set").option("rowTag", "doc").save(path)
 
 
+MT_SCHEMA = "_docid STRING, _sysid STRING, p STRUCT<seg: ARRAY<STRUCT<_VALUE: STRING, _id: LONG>>>"
+
+
 def read_mt_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(sysid, doc, seg, text) from set > doc > p > seg."""
-    d = spark.read.format("xml").option("rowTag", "doc").load(path)
+    """(sysid, doc, seg, text) from set > doc > p > seg; the schema is given, so files are read once."""
+    d = spark.read.schema(MT_SCHEMA).format("xml").option("rowTag", "doc").load(path)
     return d.select(F.col("_sysid").alias("sysid"), F.col("_docid").alias("doc"),
                     F.explode("p.seg").alias("s")).select("sysid", "doc", F.col("s._id").alias("seg"),
                                                           F.col("s._VALUE").alias("text"))
@@ -151,15 +215,39 @@ def write_scores_tsv(df: DataFrame, path: str, score_cols: list) -> None:
     out.write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
-def save_run(df: DataFrame, path: str) -> None:
-    """One row per run, appended under exp=<name>/ (partition pruning for A20)."""
-    df.write.mode("append").partitionBy("exp").parquet(path)
-
-
-def read_runs(spark: SparkSession, path: str, exp: str | None = None) -> DataFrame:
-    """All runs, or one experiment's (pruned by the partition filter)."""
-    df = spark.read.parquet(path)
-    return df.filter(F.col("exp") == exp) if exp else df
+def save_run(df: DataFrame, path: str, by: str = "exp") -> None:
+    """Runs appended as CSV rows with a header, in a folder for each experiment."""
+    df.write.mode("append").partitionBy(by).option("header", True).csv(path)
+
+
+#: Columns that a run file may have.
+RUN_COLUMNS = 256
+
+
+def read_runs(spark: SparkSession, path: str, schema: str, glob: str = "*.csv", exp: str | None = None) -> DataFrame:
+    """The runs of a tree of CSV files, each with a header of its own -> the columns of ``schema`` (DDL)
+    by name (null where a file lacks one), and ``_path``, ``exp`` (from a folder named exp=...) if there is one.
+
+    Every file's first line is its header; fields meet their names by the file, so files may order or leave
+    out columns as they like.  A row with more fields than its header is an error."""
+    files = f"{path.rstrip('/')}/exp={exp}" if exp else path
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(files).select(
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    fields = F.from_csv("value", F.lit(", ".join(f"c{i} STRING" for i in range(RUN_COLUMNS))), {"mode": "PERMISSIVE", "nullValue": "\u0000"})
+    cells = F.array(*(F.col("x")[f"c{i}"] for i in range(RUN_COLUMNS)))
+    parsed = lines.select("_path", "block", "at", fields.alias("x")).select("_path", "block", "at", cells.alias("cells"))
+    heads = scratch_path(spark, "run-headers")
+    first = parsed.groupBy("_path").agg(F.min_by("cells", F.struct("block", "at")).alias("cells"), F.min(F.struct("block", "at")).alias("head"))
+    first.select("_path", "head", F.filter("cells", lambda c: c.isNotNull()).alias("names")).write.parquet(heads)
+    rows = parsed.join(spark.read.parquet(heads), "_path").where(F.struct("block", "at") != F.col("head"))
+    over = F.exists(F.slice("cells", F.size("names") + 1, RUN_COLUMNS), lambda c: c.isNotNull())
+    values = F.when(over, F.raise_error(F.concat(F.lit("more fields than names in "), "_path"))).otherwise(
+        F.map_from_arrays("names", F.slice("cells", F.lit(1), F.size("names"))))
+    folder = F.regexp_extract("_path", r"/exp=([^/]*)/", 1)
+    wanted = T.StructType.fromDDL(schema)
+    out = rows.select("_path", folder.alias("_exp"), values.alias("v"))
+    cell = lambda f: F.nullif(F.col("v")[f.name], F.lit("")).cast(f.dataType)
+    return out.select(*((F.coalesce(cell(f), F.nullif("_exp", F.lit(""))) if f.name == "exp" else cell(f)).alias(f.name) for f in wanted.fields), "_path")
 
 
 TRAIN_SCHEMA = T.StructType([
