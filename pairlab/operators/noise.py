@@ -1,7 +1,8 @@
 """Semantic-noise detection and repair.
 
 C1 and C2 (the realisations named in a sentence, and which of them stand) run in one
-Arrow-batched pandas UDF whose patterns are compiled once per worker.  Everything about
+Arrow-batched pandas UDF: one pass of an automaton over the sentence says which alternatives of the
+pattern table can match at all, and only those are run.  Everything about
 one row after that -- counting (C3), the gold-vs-output comparison (C4), the signed
 difference (C5), repair (C6), the dump and the class (C7-C9) -- is array expressions on
 that row's few items: no shuffle, no join, nothing cached.  Only the totals (C10, C11)
@@ -12,8 +13,10 @@ from __future__ import annotations
 
 import functools
 import re
+from re import _constants, _parser
 from typing import NamedTuple
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,7 @@ class Phrase(NamedTuple):
     """One entry of the pattern table; without a value the matched text is the value."""
     slot: str
     value: str | None
-    pattern: re.Pattern
+    alternatives: tuple[str, ...]
 
 
 def _bounded(alternative: str) -> str:
@@ -50,11 +53,75 @@ def phrases() -> tuple[Phrase, ...]:
     out = []
     for slot, spec in REALIZATIONS.items():
         by_value = spec.items() if isinstance(spec, dict) else [(None, spec)]
-        out += [Phrase(slot, value, re.compile("|".join(map(_bounded, alternatives)), re.IGNORECASE))
-                for value, alternatives in by_value]
+        out += [Phrase(slot, value, tuple(alternatives)) for value, alternatives in by_value]
     return tuple(out)
 
 
+@functools.lru_cache(maxsize=1 << 14)
+def _pattern(alternatives: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(map(_bounded, alternatives)), re.IGNORECASE)
+
+
+def folded(text: str) -> str:
+    """Text in which letters that a case-insensitive pattern takes for equal are the same."""
+    return text.casefold().replace("\u0131", "i")
+
+
+def _required(parsed) -> frozenset[str] | None:
+    """Strings of which every match of a parsed pattern holds at least one (None: none are known)."""
+    found, run = [], ""
+    for op, arg in [*parsed, (None, None)]:
+        if op is _constants.LITERAL:
+            run += chr(arg)
+            continue
+        if run:
+            found.append(frozenset([folded(run)]))
+            run = ""
+        if op is _constants.SUBPATTERN:
+            found.append(_required(arg[-1]))
+        elif op is _constants.BRANCH:
+            each = [_required(b) for b in arg[1]]
+            found.append(frozenset().union(*each) if all(each) else None)
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and arg[0] > 0:
+            found.append(_required(arg[2]))
+    return max(filter(None, found), key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+@functools.cache
+def _triggers() -> tuple[ahocorasick.Automaton, tuple[tuple[int, int], ...]]:
+    """An automaton that says in one pass which (phrase, alternative) can match at all, and those that
+    must always be tried."""
+    automaton, always, by_string = ahocorasick.Automaton(), [], {}
+    for i, phrase in enumerate(phrases()):
+        for j, alternative in enumerate(phrase.alternatives):
+            strings = _required(_parser.parse(alternative))
+            if strings is None:
+                always.append((i, j))
+            for x in strings or ():
+                by_string.setdefault(x, []).append((i, j))
+    for x, places in by_string.items():
+        automaton.add_word(x, tuple(places))
+    automaton.make_automaton()
+    return automaton, tuple(always)
+
+
+def matches(ref: str) -> list[tuple[str, str, int, int]]:
+    """(slot, value, start, end) of all matches, in pattern order.  Only the alternatives whose required
+    strings stand in the sentence are run; the others can't match, so the rest find the same."""
+    automaton, always = _triggers()
+    able = set(always)
+    for _, places in automaton.iter(folded(ref)):
+        able.update(places)
+    out, by_phrase = [], {}
+    for i, j in sorted(able):
+        by_phrase.setdefault(i, []).append(j)
+    for i, which in by_phrase.items():
+        p = phrases()[i]
+        for m in _pattern(tuple(p.alternatives[j] for j in which)).finditer(ref):
+            out.append((p.slot, p.value or proper(p.slot, m[0]), *m.span()))
+    return out
+
+
 @functools.cache
 def _spelling(slot: str) -> dict[str, str]:
     return {value.lower(): value for value in REALIZATIONS.get(slot, ())}
@@ -93,8 +160,7 @@ def find_spans(ref: str, gold_items) -> dict:
     (normalised slot names).  Returns all hits, those that stand, and the counts under trap T1
     (every value's count restarts from that of the table's last value)."""
     gold = {(slot, proper(slot, value)) for slot, value in gold_items}
-    hits = [(p.slot, p.value or proper(p.slot, m[0]), *m.span())
-            for p in phrases() for m in p.pattern.finditer(ref or "")]
+    hits = matches(ref or "")
     stand = _standing(hits, gold)
     last = phrases()[-1].value
     trapped: dict[tuple, int] = {}
