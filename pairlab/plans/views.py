@@ -24,9 +24,10 @@ from pairlab.sources.tables import table
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows by their instance before the expensive work per row (tokenising, n-grams), at
-    every size: files may hold a few rows or a few million, tasks get even shares."""
-    return df.repartition(key)
+    """Deal rows by their instance before the expensive work per row (tokenising, n-grams, patterns), at
+    every size, to the session's number of shuffle partitions: keys are narrow and the work on them isn't,
+    so partitions must not be put together by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _pieces(df: DataFrame) -> DataFrame:
