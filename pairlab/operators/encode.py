@@ -2,17 +2,18 @@
 
 The reference loads a pretrained subword vocabulary; here the vocabulary is built
 from the corpus (pad 0, end 1, unknown 2, then by frequency), and numbering uses the
-range-partitioned ranking of ``runs.rank_within`` so no single task orders it.  How the
-vocabulary joins the exploded tokens is left to Spark; only the tokens that are kept are
-exploded.
+range-partitioned ranking of ``runs.rank_within`` so no single task orders it.  Frequent tokens are
+looked up in the row from a table of bounded size; only rare ones are joined.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pairlab.functions import text as T
+from pairlab.functions import text as X
 from pairlab.operators.mr import PREFIX
 from pairlab.operators.runs import rank_within
 
@@ -22,9 +23,9 @@ PAD, END, UNK = 0, 1, 2
 def tokens(col: Column, special_prefix: bool = False) -> Column:
     """Lower-cased 13a tokens; with ``special_prefix`` the task prefix is one token."""
     if not special_prefix:
-        return T.lower_all(T.tokenize_mteval(col))
+        return X.lower_all(X.tokenize_mteval(col))
     rest = F.when(col.startswith(PREFIX), F.substring(col, len(PREFIX) + 1, 1 << 30)).otherwise(col)
-    toks = T.lower_all(T.tokenize_mteval(rest))
+    toks = X.lower_all(X.tokenize_mteval(rest))
     return F.when(col.startswith(PREFIX), F.concat(F.array(F.lit(PREFIX.strip())), toks)).otherwise(toks)
 
 
@@ -36,20 +37,60 @@ def build_vocab(texts: DataFrame, col: str = "text") -> DataFrame:
     return ranked.select("token", "cnt", (F.col("rank") + UNK).cast("int").alias("id"))
 
 
+#: Tokens of the vocabulary that every task holds, the most frequent ones, and their greatest length: 16 MB at most.
+HOT_TOKENS, HOT_CHARS = 1 << 16, 64
+
+
+def _hot(vocab: DataFrame) -> tuple[dict[str, int], bool]:
+    """The most frequent tokens with their ids, and whether that is the whole vocabulary."""
+    first = vocab.where(F.col("id") <= HOT_TOKENS + UNK)
+    short = first.where(F.length("token") <= HOT_CHARS).select("token", "id").toArrow()
+    rest = vocab.where((F.col("id") > HOT_TOKENS + UNK) | (F.length("token") > HOT_CHARS))
+    return dict(zip(short.column(0).to_pylist(), short.column(1).to_pylist())), rest.isEmpty()
+
+
 def encode_fixed(df: DataFrame, vocab: DataFrame, col: str, max_len: int = 60, key: str = "inst_id",
                  prefix: bool = False, special_prefix: bool = False) -> DataFrame:
     """Ids truncated to max_len - 1, the end id appended, padded with 0 to max_len;
-    the attention mask marks the real positions.  -> key, ids, mask."""
+    the attention mask marks the real positions.  -> key, ids, mask.
+
+    The vocabulary has two tiers: its most frequent tokens (ids count by frequency) are a table of bounded size
+    that is looked up in the row, so no frequent token is ever a key; only tokens beyond it meet the
+    vocabulary in a join and come back to their row (keys are unique).  A vocabulary that the table holds
+    whole needs no join."""
+    from pairlab.session import ensure_importable, scratch_path, shared_dir
+
+    spark = df.sparkSession
+    shared_dir(spark)
+    ensure_importable(spark)
+    path = scratch_path(spark, "vocab")
+    vocab.select("token", "id").write.parquet(path)
+    vocab = spark.read.parquet(path)
+    hot, whole = _hot(vocab)
     text = F.concat(F.lit(PREFIX), F.coalesce(F.col(col).cast("string"), F.lit("None"))) if prefix else F.col(col)
     kept = F.slice(tokens(text, special_prefix), 1, max_len - 1)
-    ex = df.select(key, F.posexplode_outer(kept).alias("pos", "token"))
-    j = ex.join(vocab.select("token", "id"), "token", "left").select(key, "pos", F.when(F.col("pos").isNotNull(), F.coalesce("id", F.lit(UNK))).alias("id"))
-    per = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
-    ids = F.transform(F.filter("_p", lambda s: s["pos"].isNotNull()), lambda s: s["id"])
-    real = F.concat(ids, F.array(F.lit(END)))
-    pad = F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size(real))
-    mask = F.concat(F.array_repeat(F.lit(1), F.size(real)), F.array_repeat(F.lit(0), F.lit(max_len) - F.size(real)))
-    return per.select(key, F.concat(real, pad).alias("ids"), mask.alias("mask"))
+    out = T.StructType([df.schema[key], *T.StructType.fromDDL("ids array<int>, rare array<struct<pos: int, token: string>>").fields])
+
+    def look_up(batches):
+        for b in batches:
+            ids, rare = [], []
+            for words in b.column(1).to_pylist():
+                found = [hot.get(w, UNK) for w in words or ()]
+                ids.append(found)
+                rare.append([] if whole else [{"pos": i, "token": w} for i, (w, n) in enumerate(zip(words or (), found)) if n == UNK])
+            kind = pa.list_(pa.struct([("pos", pa.int32()), ("token", pa.string())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(rare, kind)], [key, "ids", "rare"])
+
+    rows = df.select(key, kept.alias("toks")).mapInArrow(look_up, out)
+    if not whole:
+        met = (rows.select(key, F.inline("rare")).join(vocab, "token").groupBy(key)
+               .agg(F.map_from_entries(F.collect_list(F.struct("pos", "id"))).alias("known")))  # max_len - 1 at most
+        rows = rows.join(met, key, "left").withColumn("ids", F.when(F.col("known").isNull(), F.col("ids")).otherwise(
+            F.transform("ids", lambda x, i: F.coalesce(F.try_element_at("known", i), x))))
+    real = F.concat("ids", F.array(F.lit(END)))
+    missing = F.lit(max_len) - F.size(real)
+    mask = F.concat(F.array_repeat(F.lit(1), F.size(real)), F.array_repeat(F.lit(0), missing))
+    return rows.select(key, F.concat(real, F.array_repeat(F.lit(PAD), missing)).alias("ids"), mask.alias("mask"))
 
 
 def encoded_lengths(df: DataFrame, mr: str = "mr", ref: str = "ref", key: str = "inst_id") -> DataFrame:
