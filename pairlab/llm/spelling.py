@@ -22,6 +22,7 @@ dropped; very long texts are read in pieces cut between words.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -40,6 +41,8 @@ DAMAGE = 199
 #: Words that a tile of small families has at least, words of a block of a larger family, words of a strip of
 #: a tile, and distinct words that a task counts before it hands them on.
 TILE, BLOCK, STRIP, HELD = 256, 4096, 128, 300_000
+#: Comparisons of a task, about: tiles are few bytes and much work, so tasks are counted by the work.
+COMPARED = 50_000_000
 #: Code points that are searched at once.
 PIECE = 1 << 20
 _LETTERS = "A-Za-zÀ-ÿ"
@@ -163,9 +166,13 @@ def families(words: DataFrame) -> DataFrame:
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n_near, best_n, best) of every word of (word, n) that has near words: how many, and the
     most frequent of them (ties: the smallest)."""
+    spark, path = words.sparkSession, scratch_path(words.sparkSession, "families")
     rows = families(words)
     key = ["m", "first", "part"]
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    rows.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).where("members > 1").write.parquet(path)
+    sizes = spark.read.parquet(path)
+    work = sizes.agg(F.sum(F.col("members") * F.greatest(F.col("members"), F.lit(TILE)))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / COMPARED))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")
     held = rows.join(sizes, key).withColumn("blocks", blocks).withColumn("mine", mine)
@@ -174,7 +181,7 @@ def near_words(words: DataFrame) -> DataFrame:
                        lambda j: F.struct(F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j")))
     dealt = held.withColumn("pair", F.explode(pair)).select(*key, "pair.i", "pair.j", "mine", "blocks", "word", "n")
     order = [*key, "i", "j"]
-    dealt = dealt.repartition(*order).sortWithinPartitions(*order).select("m", "first", "part", "i", "j", "mine", "word", "n")
+    dealt = dealt.repartition(tasks, *order).sortWithinPartitions(*order).select("m", "first", "part", "i", "j", "mine", "word", "n")
 
     def block(rows):
         """Sorted by falling number, then word."""
