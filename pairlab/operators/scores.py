@@ -147,15 +147,24 @@ def nist_corpus(refs: DataFrame, sys: DataFrame, max_n: int = 5, stats: Stats |
 
     Statistics rows and information rows (one an order) are unioned and summed at once."""
     st = stats or Stats(refs, sys, max_n)
-    per = st.instances().select(*[_cand(n).cast("double").alias(f"cand_{n}") for n in range(1, max_n + 1)],
+    w = _nist(_nist_sums(st, max_n), ["sys_no"], max_n)
+    return w.drop("sys_no") if st.systems == 1 else w
+
+
+def _nist_sums(st: Stats, max_n: int) -> DataFrame:
+    """A row a system: cand_n, info_n, sys_len, avg_ref_len over all instances."""
+    orders, none = range(1, max_n + 1), F.lit(None).cast("double")
+    per = st.instances().select("sys_no", *(_cand(n).cast("double").alias(f"cand_{n}") for n in orders),
                                 F.col("sys_len").cast("double"), (F.col("ref_len_sum") / F.col("n_refs")).alias("avg_ref_len"),
-                                *[F.lit(0.0).alias(f"info_{n}") for n in range(1, max_n + 1)])
-    info = V.corpus_info(st.rows, max_n).select(
-        *[F.lit(None).cast("double").alias(f"cand_{n}") for n in range(1, max_n + 1)], F.lit(None).cast("double").alias("sys_len"),
-        F.lit(None).cast("double").alias("avg_ref_len"),
-        *[F.when(F.col("n") == n, F.col("tst_info")).otherwise(0.0).alias(f"info_{n}") for n in range(1, max_n + 1)])
+                                *(F.lit(0.0).alias(f"info_{n}") for n in orders))
+    info = V.corpus_info(st.rows, max_n, st.systems).select(
+        "sys_no", *(none.alias(f"cand_{n}") for n in orders), none.alias("sys_len"), none.alias("avg_ref_len"),
+        *(F.when(F.col("n") == n, F.col("tst_info")).otherwise(0.0).alias(f"info_{n}") for n in orders))
     both = per.unionByName(info)
-    return _nist(both.agg(*(F.sum(c).alias(c) for c in both.columns)), [], max_n)
+    sums = [F.sum(c).alias(c) for c in both.columns if c != "sys_no"]
+    if st.systems > 1:
+        return both.groupBy("sys_no").agg(*sums)
+    return both.agg(*sums).select(F.lit(1).alias("sys_no"), "*")
 
 
 def nist_segment(refs: DataFrame, sys: DataFrame, max_n: int = 5, stats: Stats | None = None) -> DataFrame:
@@ -444,10 +453,10 @@ def meteor_expr(m: Column, h: Column, r: Column, ch: Column, alpha: float = 0.9,
     return F.when(m > 0, fmean * (1 - pen)).otherwise(0.0)
 
 
-def meteor_exact(refs, sys, level: str = "segment") -> DataFrame:
+def meteor_exact(refs, sys, level: str = "segment", key: Column | None = None) -> DataFrame:
     """F13 (re-aimed): exact-match METEOR, F = 10PR/(R+9P), penalty 0.5 (chunks/m)^3,
     best reference per instance; the corpus score uses the summed statistics of the
-    best references."""
+    best references (of every ``key``, a column made from inst_id, if given)."""
     st = meteor_stats(refs, sys)
     sc = st.withColumn("score", meteor_expr(F.col("matches").cast("double"), F.col("hlen").cast("double"),
                                             F.col("rlen").cast("double"), F.col("chunks").cast("double")))
@@ -455,5 +464,6 @@ def meteor_exact(refs, sys, level: str = "segment") -> DataFrame:
                                               F.struct("score", -F.col("ref_no"))).alias("b")).select("inst_id", "b.*")
     if level == "segment":
         return best.select("inst_id", F.col("score").alias("meteor"))
-    t = best.agg(*[F.sum(c).cast("double").alias(c) for c in ("matches", "hlen", "rlen", "chunks")])
-    return t.select(meteor_expr(F.col("matches"), F.col("hlen"), F.col("rlen"), F.col("chunks")).alias("meteor"))
+    t = best.groupBy(*([] if key is None else [key.alias("key")])).agg(
+        *[F.sum(c).cast("double").alias(c) for c in ("matches", "hlen", "rlen", "chunks")])
+    return t.select(*([] if key is None else ["key"]), meteor_expr(F.col("matches"), F.col("hlen"), F.col("rlen"), F.col("chunks")).alias("meteor"))

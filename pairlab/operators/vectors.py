@@ -331,14 +331,14 @@ def instance_stats(rows: DataFrame, max_n: int, info: bool = False) -> DataFrame
 def gram_rows(rows: DataFrame, max_n: int, systems: int = 1) -> DataFrame:
     """(id, prefix, n, total, texts, insts, hits array): every distinct gram of a block's references: its
     occurrences, the references and the instances that hold it, and the hits of each system.  The row of
-    id 0 counts the references' words in total and the system outputs in insts."""
+    id 0 counts the references' words in total and the instances with a system output in insts."""
     schema = "id long, prefix long, n int, total long, texts long, insts long, hits array<long>"
 
     def run(batches):
         names = ["id", "prefix", "n", "total", "texts", "insts", "hits"]
         for b in blocks(batches, max_n):
             yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in (0, 0)), pa.array([0], pa.int32()),
-                                              *(pa.array([x], pa.int64()) for x in (int(b.ref_size.sum()), 0, len(b.systems))),
+                                              *(pa.array([x], pa.int64()) for x in (int(b.ref_size.sum()), 0, len(np.unique(b.inst[b.systems])))),
                                               pa.array([[0] * systems], pa.list_(pa.int64()))], names)
             for n, refs, system, at in b.orders():
                 if not len(refs.ids):
@@ -403,7 +403,7 @@ def segment_info(rows: DataFrame, totals: DataFrame, max_n: int) -> DataFrame:
             """Hot grams are summed by place, others are rows; a gram weighs -w, its prefix w."""
             at = found(ids, key)
             hot = at >= 0
-            sums = np.bincount(place[hot], w[hot] * logs[at[hot]], minlength=size)
+            sums = np.bincount(place[hot], w[hot] * logs[at[hot]], minlength=size).astype(float)  # without weights numpy counts in integers
             some = np.flatnonzero(np.bincount(place, minlength=size))  # places that have any
             rare = ~hot
             # a sum's id stands nowhere in the table: it has no weight, so a chance hit adds nothing
@@ -438,7 +438,7 @@ def cider_parts(texts: DataFrame, tokens, max_n: int, sigma: float, doc_freq: Da
     """(inst_id, sys_no, n_refs, value): for groups of references of an instance, the sum over references and
     orders of the clipped cosine of tf-idf vectors times a Gaussian of the difference in length.
 
-    ``doc_freq``: (id, insts), where id 0 has the number of system outputs.  The hottest grams are looked up in
+    ``doc_freq``: (id, insts), where id 0 has the number of instances with a system output.  The hottest grams are looked up in
     the task; the others that more than one instance holds come back by a join, a row an instance and gram."""
     ids, values = hottest(doc_freq, "insts")
     n_all = float(max(int(values[found(ids, np.zeros(1, np.uint64))[0]]), 1)) if len(ids) and ids[0] == 0 else 1.0
@@ -486,14 +486,14 @@ def cider_parts(texts: DataFrame, tokens, max_n: int, sigma: float, doc_freq: Da
                     s = s[np.argsort(home[s])]
                     at = found(home[s], home[r])
                     both = at >= 0
-                    dot = np.bincount(g.place[r[both]], np.minimum(v[s[at[both]]], v[r[both]]) * v[r[both]], minlength=len(b.inst))
+                    dot = np.bincount(g.place[r[both]], np.minimum(v[s[at[both]]], v[r[both]]) * v[r[both]], minlength=len(b.inst)).astype(float)
                     nh = np.where(text_of[no][b.inst] >= 0, norm[text_of[no][b.inst]], 0)
                     total += np.divide(dot, nh * norm, out=dot, where=(nh != 0) & (norm != 0))
             count = np.bincount(b.inst[refs], minlength=b.n)
             for no, total in sums.items():
                 here = text_of[no]
                 pen = np.exp(-(np.maximum(b.size[here[b.inst[refs]]] - 1, 0) - np.maximum(b.size[refs] - 1, 0)) ** 2.0 / (2 * sigma ** 2))
-                value = np.bincount(b.inst[refs], total[refs] * pen, minlength=b.n)
+                value = np.bincount(b.inst[refs], total[refs] * pen, minlength=b.n).astype(float)
                 use = np.flatnonzero((here >= 0) & (count > 0))
                 yield pa.RecordBatch.from_arrays([b.keys.take(pa.array(use)), pa.array(np.full(len(use), no, np.int32)),
                                                   pa.array(count[use], pa.int64()), pa.array(value[use])], schema.fieldNames())

@@ -154,6 +154,14 @@ def test_empty_tables(spark):
     assert S.cider(None, None, stats=S.Stats(None, None, 4, "caption", texts=frame(spark, [], 1))).count() == 0
 
 
+def test_nothing_in_common(spark):
+    """Blocks whose system outputs share no gram with any reference."""
+    st = lambda how: S.Stats(None, None, 4, how, texts=frame(spark, [(1, -1, "a b c d e"), (1, 0, "v w x y z"), (2, -1, ""), (2, 0, "q")], 1))
+    assert sorted(r.cider for r in S.cider(None, None, stats=st("caption")).collect()) == [0.0, 0.0]
+    assert [r.tst_info for r in S.perl_segment_stats(st("perl")).collect()] == [0.0] * 8
+    assert S.bleu_corpus(None, None, stats=st("mteval")).first().bleu < 1e-3 and S.nist_corpus(None, None, 4, stats=st("mteval")).first().nist in (0.0, None)
+
+
 def test_exchanges_of_the_scores(spark):
     """Texts by instance, grams, prefixes: three hash exchanges, and no gram string in any (groups of further
     references are dealt by instance too; by n go the sums of each order, a few rows a task)."""
