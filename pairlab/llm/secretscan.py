@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -87,9 +89,11 @@ def spans_of(text: str, min_novelty: float = MIN_NOVELTY) -> list[tuple[int, int
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     if any(k in low for k in HINTS):
         base, seen = sorted((s, e) for s, e, _ in found), -1
+        starts, reached = [s for s, _ in base], [0, *accumulate((e for _, e in base), max)]
 
         def report(word: re.Match, start: int, end: int) -> bool:
-            new = (not any(s < end <= e for s, e in base)
+            # no base span that begins before the end reaches it
+            new = (reached[bisect_left(starts, end)] < end
                    and novelty(text[max(0, word.start() - CONTEXT):start], text[start:end]) >= min_novelty)
             if new:
                 found.append((start, end, 3))
@@ -121,7 +125,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, text=1):
                 cells = [[{"start": s, "end": e, "kind": KINDS[k]} for s, e, k in spans_of(t, min_novelty)]
                          for t in texts_of(b.column(1))]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, kind)], [id_col, "spans"])

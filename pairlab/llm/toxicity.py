@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,7 +53,8 @@ INSULTS = frozenset("""
 YOU = frozenset("you your yours yourself u ur du dich dir dein deine tu te toi ton ta tes vous votre ti tus usted".split())
 NEAR = 5
 _WORD = re.compile(r"\w+")
-_DISGUISED = re.compile(r"[^\W\d_]+(?:[0-9@$!*#.\-]+[^\W\d_]+)+")
+# begins where a run of letters begins, so a long run is tried once
+_DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]+(?:[0-9@$!*#.\-]+[^\W\d_]+)+")
 _SHOUTED = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-Þ]{2,}(?!\w)")
 _UNDO = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i",
                        "*": None, "#": None, ".": None, "-": None})
@@ -119,7 +121,7 @@ def features(text: str, match: Matcher) -> list[float]:
 
 def _around(places: list[int], i: int) -> list[int]:
     """The places next to i in a sorted list."""
-    at = int(np.searchsorted(places, i)) if places else 0
+    at = bisect_left(places, i)
     return places[max(0, at - 1):at + 1]
 
 
