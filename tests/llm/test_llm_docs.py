@@ -314,7 +314,7 @@ def test_toxicity_features():
 
 
 def test_lm_base_and_scores(spark, docs, rows, empty):
-    got = lmscore.score(docs, fold("_id", 5) != 1, max_rows=40, steps=30).collect()
+    got = lmscore.score(docs, fold("_id", 5) != 1).collect()
     learned = [(i, t) for i, t, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
     tokens = lambda t: WORD.findall((t or "").translate(LOW)) + [None]
     c = Counter(x for _, t in learned for x in tokens(t))
@@ -333,46 +333,73 @@ def plain_scores(model, ids):
     """Token by token, each with its own softmax over what a window shows it."""
     w, d = model.w, lmscore.WIDTH
     inputs, targets, total = [model.end, *ids], [*ids, model.end], 0.0
-    e = [w["ec"][model.cls[i]] + w["et"][i] for i in inputs]
+    e = [w["e"][model.cls[i]] for i in inputs]
     for p, t in enumerate(targets):
-        block, at = divmod(p, lmscore.BLOCK)
-        seen = range(max(0, (block - 1) * lmscore.BLOCK), p + 1)
-        s = np.array([(e[p] @ w["q"]) @ (e[j] @ w["k"]) / d ** 0.5
-                      + w["bias"][at, j - (block - 1) * lmscore.BLOCK] for j in seen])
+        seen = range(max(0, (p // lmscore.BLOCK - 1) * lmscore.BLOCK), p + 1)
+        s = np.array([(e[p] @ w["q"]) @ (e[j] @ w["k"]) / d ** 0.5 + w["far"][p - j] for j in seen])
         a = np.exp(s - s.max())
         a /= a.sum()
         y = e[p] + sum(x * (e[j] @ w["v"]) for x, j in zip(a, seen)) @ w["o"]
         z = y + np.maximum(y @ w["w1"] + w["b1"], 0) @ w["w2"]
-        group, member = divmod(int(model.cls[t]), lmscore.MEMBERS)
-        g, m = z @ w["out"] + w["b"], z @ w["mout"][group] + w["mb"][group]
-        total += (g[group] - np.log(np.exp(g).sum())) + (m[member] - np.log(np.exp(m).sum())) + model.inside[t]
+        now, cls = model.cls[inputs[p]], model.cls[t]
+        g = z @ w["out"] + model.next_group[now]
+        total += (g[model.group[cls]] - np.log(np.exp(g).sum())
+                  + model.next_class.reshape(lmscore.CLASSES, -1)[now, cls] + model.inside[t])
     return total / np.log(10)
 
 
-def test_lm_batched_attention_is_plain_attention():
+def lm_model(seed=1):
     sub = lmscore.Subwords(public_tokenizers.path(lmscore.RANKS))
-    r = np.random.default_rng(1)
-    counts = r.integers(0, 50, sub.size + 1)
-    model = lmscore.Model(counts, sub.spelling)
+    r = np.random.default_rng(seed)
+    model = lmscore.Model(r.integers(0, 50, sub.size + 1), sub.spelling)
+    model.set_pairs(r.integers(0, 3, (lmscore.CLASSES, lmscore.CLASSES)).astype(float))
     for k, p in model.w.items():
         model.w[k] = (p + 0.1 * r.standard_normal(p.shape)).astype(np.float32)
-    rows = [r.integers(0, sub.size, n) for n in (0, 1, 15, 16, 17, 40, 100, 0)]
+    return sub, r, model
+
+
+def test_lm_batched_attention_is_plain_attention():
+    sub, r, model = lm_model()
+    rows = [r.integers(0, sub.size, n) for n in (0, 1, 7, 8, 9, 15, 16, 17, 40, 100, 0)]
     got = model.score(np.concatenate(rows).astype(np.int32), np.array([len(x) for x in rows]))
     assert got == pytest.approx([plain_scores(model, x.tolist()) for x in rows], rel=1e-4)
-    mass = np.bincount(model.cls, weights=np.exp(model.inside.astype(float)), minlength=lmscore.CLASSES)
-    assert mass == pytest.approx(np.ones(lmscore.CLASSES), abs=1e-3)
 
 
-def test_lm_learns(spark):
-    sub = lmscore.Subwords(public_tokenizers.path(lmscore.RANKS))
-    text = " ".join(["the cat sat on the mat and the dog ran to the cat"] * 40)
-    ids = sub.encoding.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int32)
-    counts = np.bincount(ids, minlength=sub.size + 1)
-    counts[-1] = 1
-    model = lmscore.Model(counts, sub.spelling)
-    before = model.score(ids, np.array([len(ids)]))[0]
-    model.train(ids, np.array([len(ids)]), 200)
-    assert model.score(ids, np.array([len(ids)]))[0] > before / 2
+def test_lm_probabilities_sum_to_one():
+    _, _, model = lm_model()
+    mass = np.bincount(model.cls, weights=np.exp(model.inside.astype(float)), minlength=lmscore.CLASSES)
+    assert mass == pytest.approx(np.ones(lmscore.CLASSES), abs=1e-3)
+    inside = np.exp(model.next_class.astype(float)).reshape(lmscore.CLASSES, -1)
+    for row in inside[::100]:
+        mass = np.bincount(model.group, weights=row)[np.unique(model.group)]
+        assert mass == pytest.approx(np.ones(len(mass)), abs=1e-3)
+    assert np.exp(model.next_group.astype(float)).sum(axis=1) == pytest.approx(np.ones(lmscore.CLASSES), abs=1e-3)
+
+
+def test_lm_gradient_is_the_slope():
+    sub, r, model = lm_model(2)
+    ids, per_row = r.integers(0, sub.size, 70), np.array([20, 50])
+    x, t, row = model.layout(ids, per_row, 2 * lmscore.BLOCK, 0)
+    weight = np.array([1, 3])[row]
+    model.w = {k: p.astype(np.float64) for k, p in model.w.items()}
+
+    def loss():
+        own = model.by_class()[x]
+        g = model.forward(own, own[..., 2 * lmscore.WIDTH:], model.bias(t.shape[1], t.shape[1]), x)[-1]
+        ok = t < lmscore.CLASSES
+        lp = np.take_along_axis(g, model.group[np.where(ok, t, 0)][..., None].astype(int), 2)[..., 0] - np.log(np.exp(g).sum(axis=2))
+        scale = ok * weight[:, None]
+        return -(lp * scale).sum() / scale.sum()
+
+    grad = model.gradient(x, t, weight)
+    for k, p in model.w.items():
+        at = np.unravel_index(np.abs(grad[k]).argmax(), p.shape)
+        p[at] += 1e-4
+        up = loss()
+        p[at] -= 2e-4
+        down = loss()
+        p[at] += 1e-4
+        assert grad[k][at] == pytest.approx((up - down) / 2e-4, rel=1e-2), k
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
