@@ -87,6 +87,30 @@ def coverage(values: DataFrame, col: str, share_pct: int = 99) -> DataFrame:
     return cum.filter(F.col("cum_cnt") * 100 >= F.col("total") * share_pct).agg(F.min("bin").alias("length"))
 
 
+def length_sketches(values: DataFrame, col: str, keys=(), k: int = 800) -> DataFrame:
+    """One mergeable KLL sketch of the values per key: for lengths with too many distinct values for
+    ``coverage``, whose histogram is sorted in one task.  Nulls take no part; k: 8 to 65535."""
+    return values.groupBy(*keys).agg(F.kll_sketch_agg_bigint(F.col(col).cast("long"), k).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, keys=()) -> DataFrame:
+    """Sketches of parts (files, days, splits) as one per key, without their rows."""
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def sketch_rank_error(k: int = 800) -> float:
+    """Share of the rows by which a sketch's rank may be off, at 99 % confidence."""
+    return 2.296 / k ** 0.9723
+
+
+def sketch_coverage(sketches: DataFrame, share_pct: int = 99, keys=()) -> DataFrame:
+    """H8 from sketches: a value whose cumulative share is ``share_pct`` percent, give or take
+    ``sketch_rank_error`` (an empty sketch: null), and the number of rows sketched."""
+    n = F.kll_sketch_get_n_bigint("sketch")
+    return sketches.select(*keys, n.alias("n"), F.when(
+        n > 0, F.kll_sketch_get_quantile_bigint("sketch", F.lit(share_pct / 100.0))).alias("length"))
+
+
 def label_share(scored: DataFrame) -> DataFrame:
     """Share of each label (window over the per-label aggregate only)."""
     c = scored.groupBy("label").agg(F.count(F.lit(1)).alias("cnt"))
