@@ -1,7 +1,7 @@
 """Semantic-noise detection and repair.
 
 C1 and C2 (the realisations named in a sentence, and which of them stand) run in one
-Arrow-batched pandas UDF: one pass of an automaton over the sentence says which alternatives of the
+Arrow UDF: one pass of an automaton over the sentence says which alternatives of the
 pattern table can match at all, and only those are run.  Everything about
 one row after that -- counting (C3), the gold-vs-output comparison (C4), the signed
 difference (C5), repair (C6), the dump and the class (C7-C9) -- is array expressions on
@@ -12,12 +12,14 @@ aggregate.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from re import _constants, _parser
 from typing import NamedTuple
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,8 +69,12 @@ def folded(text: str) -> str:
     return text.casefold().replace("\u0131", "i")
 
 
-def _required(parsed) -> frozenset[str] | None:
-    """Strings of which every match of a parsed pattern holds at least one (None: none are known)."""
+def _best(sets: list[frozenset[str]]) -> frozenset[str]:
+    return max(sets, key=lambda x: (min(map(len, x)), -len(x)))
+
+
+def _needed(parsed) -> list[frozenset[str]]:
+    """Sets of strings; every match of a parsed pattern holds at least one of each set."""
     found, run = [], ""
     for op, arg in [*parsed, (None, None)]:
         if op is _constants.LITERAL:
@@ -78,47 +84,68 @@ def _required(parsed) -> frozenset[str] | None:
             found.append(frozenset([folded(run)]))
             run = ""
         if op is _constants.SUBPATTERN:
-            found.append(_required(arg[-1]))
+            found += _needed(arg[-1])
         elif op is _constants.BRANCH:
-            each = [_required(b) for b in arg[1]]
-            found.append(frozenset().union(*each) if all(each) else None)
+            each = [_needed(b) for b in arg[1]]
+            if all(each):
+                found.append(frozenset().union(*map(_best, each)))
         elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and arg[0] > 0:
-            found.append(_required(arg[2]))
-    return max(filter(None, found), key=lambda x: (min(map(len, x)), -len(x)), default=None)
+            found += _needed(arg[2])
+    return found
 
 
 @functools.cache
 def _triggers() -> tuple[ahocorasick.Automaton, tuple[tuple[int, int], ...]]:
-    """An automaton that says in one pass which (phrase, alternative) can match at all, and those that
-    must always be tried."""
-    automaton, always, by_string = ahocorasick.Automaton(), [], {}
+    """An automaton that gives for each string that it finds a bit, and the alternatives that can match only
+    beside the string, each as (phrase, its bit, masks that the bits found must all meet); and
+    the (phrase, alternative) that must always be tried."""
+    always, bits, places = [], {}, {}
+    mask = lambda strings: sum(bits.setdefault(x, 1 << len(bits)) for x in sorted(strings))
     for i, phrase in enumerate(phrases()):
         for j, alternative in enumerate(phrase.alternatives):
-            strings = _required(_parser.parse(alternative))
-            if strings is None:
+            needed = [x for x in _needed(_parser.parse(alternative)) if min(map(len, x)) > 1]  # a blank tells nothing
+            if not needed:
                 always.append((i, j))
-            for x in strings or ():
-                by_string.setdefault(x, []).append((i, j))
-    for x, places in by_string.items():
-        automaton.add_word(x, tuple(places))
+                continue
+            first = _best(needed)
+            others = tuple(mask(x) for x in needed if x != first)
+            for x in first:
+                bits.setdefault(x, 1 << len(bits))
+                places.setdefault(x, []).append((i, 1 << j, others))
+    automaton = ahocorasick.Automaton()
+    for x, bit in bits.items():
+        automaton.add_word(x, (bit, tuple(places.get(x, ()))))
     automaton.make_automaton()
     return automaton, tuple(always)
 
 
+@functools.lru_cache(maxsize=1 << 14)
+def _phrase(i: int, which: int) -> tuple[str, str | None, re.Pattern]:
+    """Slot and value of a phrase, and a pattern of some of its alternatives."""
+    p = phrases()[i]
+    return p.slot, p.value, _pattern(tuple(a for j, a in enumerate(p.alternatives) if which >> j & 1))
+
+
 def matches(ref: str) -> list[tuple[str, str, int, int]]:
     """(slot, value, start, end) of all matches, in pattern order.  Only the alternatives whose required
-    strings stand in the sentence are run; the others can't match, so the rest find the same."""
+    strings all stand in the sentence are run; the others can't match, so the rest find the same."""
     automaton, always = _triggers()
-    able = set(always)
-    for _, places in automaton.iter(folded(ref)):
-        able.update(places)
-    out, by_phrase = [], {}
-    for i, j in sorted(able):
-        by_phrase.setdefault(i, []).append(j)
-    for i, which in by_phrase.items():
-        p = phrases()[i]
-        for m in _pattern(tuple(p.alternatives[j] for j in which)).finditer(ref):
-            out.append((p.slot, p.value or proper(p.slot, m[0]), *m.span()))
+    seen, beside = 0, [(i, 1 << j, ()) for i, j in always]
+    for _, (bit, places) in automaton.iter(folded(ref)):
+        if not seen & bit:
+            seen |= bit
+            beside += places
+    able: dict[int, int] = {}
+    for i, bit, others in beside:
+        for m in others:
+            if not seen & m:
+                break
+        else:
+            able[i] = able.get(i, 0) | bit
+    out = []
+    for i in sorted(able):
+        slot, value, pattern = _phrase(i, able[i])
+        out += [(slot, value or proper(slot, m[0]), *m.span()) for m in pattern.finditer(ref)]
     return out
 
 
@@ -155,10 +182,8 @@ def _standing(hits: list[tuple], gold: set[tuple]) -> list[tuple]:
     return [hits[i] for i in sorted(stand)]
 
 
-def find_spans(ref: str, gold_items) -> dict:
-    """C1 + C2 for one sentence.  ``gold_items``: (slot, value) pairs of the gold MR
-    (normalised slot names).  Returns all hits, those that stand, and the counts under trap T1
-    (every value's count restarts from that of the table's last value)."""
+def _spans(ref: str | None, gold_items) -> tuple[list, list, list]:
+    """All hits, those that stand, and the counts under trap T1 of one sentence, as tuples."""
     gold = {(slot, proper(slot, value)) for slot, value in gold_items}
     hits = matches(ref or "")
     stand = _standing(hits, gold)
@@ -166,15 +191,29 @@ def find_spans(ref: str, gold_items) -> dict:
     trapped: dict[tuple, int] = {}
     for slot, value, _, _ in stand:
         trapped[slot, value] = trapped.get((slot, last), 0) + 1
+    return hits, stand, [(*k, n) for k, n in trapped.items()]
+
+
+def find_spans(ref: str, gold_items) -> dict:
+    """C1 + C2 for one sentence.  ``gold_items``: (slot, value) pairs of the gold MR
+    (normalised slot names).  Returns all hits, those that stand, and the counts under trap T1
+    (every value's count restarts from that of the table's last value)."""
     named = lambda rows, keys: [dict(zip(keys, r)) for r in rows]
-    return {"all": named(hits, MATCH.names), "kept": named(stand, MATCH.names),
-            "ref_counts": named([(*k, n) for k, n in trapped.items()], COUNT.names)}
+    return {name: named(rows, kind.names) for name, rows, kind in zip(SPANS.names, _spans(ref, gold_items), (MATCH, MATCH, COUNT))}
+
+
+def _lists(rows: list[list[tuple]], kind: T.StructType) -> pa.Array:
+    """Lists of tuples as an array of lists of structs, built by column."""
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    columns = list(zip(*itertools.chain.from_iterable(rows))) or [()] * len(kind)
+    types = [pa.string() if isinstance(f.dataType, T.StringType) else pa.int32() for f in kind]
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], kind.names))
 
 
-@F.pandas_udf(SPANS)
-def _spans_udf(ref: pd.Series, gold: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([find_spans(r, [x.split("\t", 1) for x in (g if g is not None else [])])
-                         for r, g in zip(ref, gold)], columns=SPANS.names)
+@F.arrow_udf(SPANS)
+def _spans_udf(ref: pa.Array, gold: pa.Array) -> pa.Array:
+    found = [_spans(r, [x.split("\t", 1) for x in g or ()]) for r, g in zip(ref.to_pylist(), gold.to_pylist())]
+    return pa.StructArray.from_arrays([_lists([x[k] for x in found], kind) for k, kind in enumerate((MATCH, MATCH, COUNT))], SPANS.names)
 
 
 def gold_items(mr: Column) -> Column:
