@@ -1,6 +1,7 @@
 """Lists of grams are made in the row of a key's texts; no gram passes an aggregation, a sort or an exchange."""
 
 from collections import Counter
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,3 +44,28 @@ def test_no_gram_is_aggregated(spark, name):
     plan = getattr(q_scores, name)(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     groups = [line for line in plan.splitlines() if "Aggregate" in line]
     assert groups and not any("gram" in line for line in groups)
+
+
+@pytest.mark.parametrize("held", [1, 1 << 20])
+@pytest.mark.parametrize("empty_token", [True, False])
+def test_document_frequencies_equal_the_definition(spark, monkeypatch, empty_token, held):
+    monkeypatch.setattr(G, "HELD_GRAMS", held)
+    df = spark.createDataFrame([*ROWS, (6, 0, "a b a"), (6, 1, "b a"), (None, 1, "a b")], "inst_id long, ref_no int, txt string")
+    mine = {}
+    for i, _, t in [tuple(r) for r in df.collect()]:
+        for n in range(1, 4) if t is not None else ():
+            mine.setdefault((i, n), set()).update(_grams(t, n, empty_token))
+    want = {}
+    for (_, n), grams in mine.items():
+        for g in grams:
+            want.setdefault((n, md5(g.encode()).hexdigest()[:3]), Counter())[g] += 1
+    got = {(r.n, r.part): r for r in G.doc_freq_lists(df, 3, empty_token=empty_token).collect()}
+    assert {k: r.lines for k, r in got.items()} == {k: "\n".join(f"{g}\t{c[g]}" for g in sorted(c)) for k, c in want.items()}
+    assert all((r.n_grams, r.total) == (len(want[k]), sum(want[k].values())) for k, r in got.items())
+    assert G.doc_freq_lists(df.where(F.lit(False)), 3).count() == 0
+
+
+def test_document_frequencies_take_one_exchange_of_grams(spark):
+    plan = q_scores.ngram_doc_freq(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    groups = [line for line in plan.splitlines() if "Aggregate" in line or "RepartitionByExpression" in line]
+    assert groups and not any("gram#" in line for line in groups)
