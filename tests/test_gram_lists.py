@@ -69,3 +69,24 @@ def test_document_frequencies_take_one_exchange_of_grams(spark):
     plan = q_scores.ngram_doc_freq(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     groups = [line for line in plan.splitlines() if "Aggregate" in line or "RepartitionByExpression" in line]
     assert groups and not any("gram#" in line for line in groups)
+
+
+@pytest.mark.parametrize("empty_token", [True, False])
+def test_information_lists_equal_the_rows(spark, empty_token):
+    df = spark.createDataFrame([*ROWS, (6, 0, "a b a"), (6, 1, "b a"), (7, 0, "a  b")], "inst_id long, ref_no int, txt string")
+    want = {}
+    rows = G.ngram_info(G.gram_counts(df, ["inst_id", "ref_no"], 3, empty_token=empty_token)).collect()
+    for r in sorted(rows, key=lambda r: r.gram.encode()):
+        want.setdefault((r.n, md5(r.gram.encode()).hexdigest()[:3]), []).append(r)
+    got = {(r.n, r.part): r for r in G.info_lists(df, 3, empty_token).collect()}
+    assert set(got) == set(want) and len(rows) == sum(r.n_grams for r in got.values())
+    for k, of in want.items():
+        assert got[k].totals == "\n".join(f"{r.gram}\t{r.tot}" for r in of) and got[k].wholes == "\n".join(f"{r.gram}\t{r.whole}" for r in of)
+        assert abs(got[k].info - sum(r.info for r in of)) < 1e-9
+    assert G.info_lists(df.where(F.lit(False)), 3).count() == 0
+
+
+@pytest.mark.parametrize("name", ["ngram_info", "cider"])
+def test_no_gram_is_joined(spark, name):
+    plan = getattr(q_scores, name)(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in line and ("gram#" in line or " id#" in line or "key#" in line) for line in plan.splitlines())
