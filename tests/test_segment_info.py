@@ -33,3 +33,20 @@ def test_parts_do_not_change_the_sums(spark, monkeypatch):
         rows = V.segment_info(V.by_instance(texts, "perl", 3), 3).collect()
         told.append({r.inst_id: [round(x, 9) for x in r.info] for r in rows})
     assert told[0] == told[1] and len(told[0]) == 4
+
+
+def test_grams_that_begin_at_a_token_travel_together(spark, monkeypatch):
+    """A row a token of a reference and a row where a hit begins, whatever the number of orders (a row a gram before)."""
+    texts = spark.createDataFrame([(i, no, " ".join(f"w{(i * 31 + k * k) % 97}" for k in range(40 - 3 * no))) for i in range(6) for no in (-1, 0, 1)],
+                                  "inst_id long, ref_no int, text string")
+    rows = V.by_instance(texts, "perl", 9)
+    told = V.frequent_tokens(rows)
+    assert told[3] == 6 * (40 + 37) and [x.tolist() for x in told[:3]] == [x.tolist() for x in V.frequent_tokens(rows, texts)[:3]]
+    sizes = []
+    for max_n in (3, 9):
+        cells = V._cells(rows, max_n, spark.sparkContext.broadcast(told), True).collect()
+        sizes.append(sum(c.size for c in cells))
+        assert len({(c.key, c.block) for c in cells}) == len(cells)
+    assert max(sizes) <= 6 * (40 + 37 + 43)
+    plain = {n: V.corpus_info(rows, n).orderBy("n").collect() for n in (2, 5)}
+    assert all(abs(a.ref_info - b.ref_info) < 1e-9 and abs(a.tst_info - b.tst_info) < 1e-9 for a, b in zip(plain[2], plain[5]))

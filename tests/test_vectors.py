@@ -178,4 +178,4 @@ def test_texts_go_to_python_without_nested_columns(spark):
     assert rows.schema["merged"].dataType.simpleString() == "binary"
     cells = {r.ref_no: V._read_row(bytes(r.merged)) for r in rows.collect() if r.merged is not None}
     assert list(cells) == [1] and cells[1]["lens"].tolist() == [2] and cells[1]["n"].tolist() == [1, 1, 2]
-    assert [x.tolist() for x in V._read_row(V._merged_row(np.empty(0, np.int64))).values()] == [[]] * 7
+    assert [x.tolist() for x in V._read_row(V._merged_row(*[np.empty(0, np.int64)] * 2)).values()] == [[]] * 8
