@@ -90,3 +90,18 @@ def test_information_lists_equal_the_rows(spark, empty_token):
 def test_no_gram_is_joined(spark, name):
     plan = getattr(q_scores, name)(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Join" in line and ("gram#" in line or " id#" in line or "key#" in line) for line in plan.splitlines())
+
+
+def test_long_grams_travel_as_one_run_of_words(spark, monkeypatch):
+    """A run of words a place, whatever the orders (``ngram_info`` sent a gram and its prefix for each), also in small lots."""
+    df = spark.createDataFrame([*ROWS, (6, 0, "a b a b a c"), (7, 0, "a  b"), (8, 0, "b a b a c d e")], "inst_id long, ref_no int, txt string")
+    key = lambda r: (r.n, r.part)
+    want = sorted(G.info_lists(df, 5).collect(), key=key)
+    monkeypatch.setattr(G, "HELD_GRAMS", 3)
+    assert sorted(G.info_lists(df, 5).collect(), key=key) == want
+    runs = G._Windows(5)
+    assert list(runs.taken("a b a b a c")) != [] and not runs.words
+    monkeypatch.setattr(G, "HELD_GRAMS", 100)
+    assert list(runs.taken("a b a b a b a")) == []
+    sent = [x for rows in runs.dealt().values() for x in rows]
+    assert sorted(sent) == sorted([(b"a b a b a", 5, 2), (b"b a b a b", 5, 1), (b"b a b a", 4, 1), (b"a b a", 3, 1), (b"b a", 2, 1)])
