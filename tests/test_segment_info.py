@@ -46,7 +46,7 @@ def test_grams_that_begin_at_a_token_travel_together(spark, monkeypatch):
     for max_n in (3, 9):
         cells = V._cells(rows, max_n, spark.sparkContext.broadcast(told), True).collect()
         sizes.append(sum(c.size for c in cells))
-        assert len({(c.key, c.block) for c in cells}) == len(cells)
+        assert len({(c.id, c.block) for c in cells}) == len(cells)
     assert max(sizes) <= 6 * (40 + 37 + 43)
     plain = {n: V.corpus_info(rows, n).orderBy("n").collect() for n in (2, 5)}
     assert all(abs(a.ref_info - b.ref_info) < 1e-9 and abs(a.tst_info - b.tst_info) < 1e-9 for a, b in zip(plain[2], plain[5]))
